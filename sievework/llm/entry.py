@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, quality, simhash, spm
+from . import chat, langid, licenses, quality, simhash, spm, toxicity
 from .common import fold, table
 
 
@@ -45,6 +45,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digest_documents(table(spark, sf_dir, "documents"), _piece_model())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    scored = toxicity.add_score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 

@@ -12,7 +12,7 @@ from .common import cut
 from .graph import connected_components
 
 #: Fewest fingerprints in a block of the comparison grid, and the number of blocks beyond which blocks grow instead.
-BLOCK_ROWS, GRID = 16_384, 48
+BLOCK_ROWS, GRID = 8_192, 48
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -58,8 +58,8 @@ def components(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, gr
 
     Every pair of distinct fingerprints is compared, but for blocks and tiles whose population counts
     alone prove a greater distance.  The fingerprints, sorted by population count, are cut into blocks;
-    a block pair is one group of at most two blocks' rows.  A fingerprint is sent to at most `grid`
-    (and a few) block pairs whatever the table's size, as blocks grow with it.  Each pair sends back a
+    a block pair is one group of two packed blocks.  A block is sent to at most `grid` (and a few) block
+    pairs whatever the table's size, as blocks grow with it.  Each pair sends back a
     spanning forest of its links, so a dense group gives no more rows than it has members.
     """
     distinct = cut(fps.select("fp").distinct())
@@ -87,19 +87,24 @@ def components(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, gr
         if j != i:
             where[j].append((k, True))
     plan = spark.createDataFrame(  # as many rows as blocks, whose number is bounded by the grid
-        [(pc, s, [(k, right) for k, right in where[b + s]]) for pc, (b, n) in first.items() for s in range(n)],
-        "pc int, part int, pair array<struct<id: int, other: boolean>>",
+        [(pc, s, b + s, where[b + s]) for pc, (b, n) in first.items() for s in range(n)],
+        "pc int, part int, block int, pair array<struct<id: int, other: boolean>>",
     )
     parts = F.create_map(*[F.lit(x) for pc, (_, n) in first.items() for x in (pc, n)]) if first else None
     if parts is None:
         return distinct.select("fp", F.col("fp").alias("root"))
-    placed = distinct.withColumn("pc", F.bit_count("fp").cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.try_element_at(parts, F.col("pc"))).cast("int"))
-    sent = placed.join(F.broadcast(plan), ["pc", "part"]).select("fp", F.explode("pair").alias("pair")).select("fp", "pair.id", "pair.other")
+    placed = distinct.withColumn("pc", F.bit_count("fp").cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.try_element_at(parts, F.col("pc"))).cast("int")).join(F.broadcast(plan), ["pc", "part"])
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "fps": [pdf["fp"].to_numpy(np.int64).tobytes()]})
+
+    # a block travels as one binary row to each of its pairs
+    packed = placed.select("block", "fp").groupBy("block").applyInPandas(pack, "block int, fps binary")
+    sent = packed.join(F.broadcast(plan.select("block", "pair").dropDuplicates(["block"])), "block").select("fps", F.explode("pair").alias("pair")).select("fps", "pair.id", "pair.other")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        other = pdf["other"].to_numpy()
-        fp = pdf["fp"].to_numpy()
-        return pd.DataFrame(forest(fp[~other], fp[other] if other.any() else None, radius), columns=["u", "v"])
+        side = {bool(o): np.frombuffer(x, np.int64) for o, x in zip(pdf["other"], pdf["fps"])}
+        return pd.DataFrame(forest(side[False], side.get(True), radius), columns=["u", "v"])
 
     edges = sent.repartition(max(1, len(pairs)), "id").groupBy("id").applyInPandas(compare, "u long, v long")
     roots = connected_components(edges)
