@@ -35,6 +35,19 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)
 
 
+def _labelled(labels: DataFrame, label: str, allowed: Column) -> DataFrame:
+    return (
+        labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & allowed)
+        .groupBy("doc_id").agg(F.max("label").alias("label"))
+    )
+
+
+def class_counts(labels: DataFrame, label: str, allowed: Column) -> dict[int, int]:
+    """Labelled ids of each label among the allowed ones."""
+    return {0: 0, 1: 0} | {r.label: r.n for r in _labelled(labels, label, allowed).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int) -> DataFrame:
     """Text and label (0/1) of at most 2 * per_class labelled rows, per_class of each label at most.
 
@@ -42,11 +55,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     partitioning.  Rows with a null id or label take no part; of an id labelled twice the larger
     label counts.  The bound makes the id list safe to broadcast: texts are not shuffled.
     """
-    ok = (
-        labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & allowed)
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-    )
+    ok = _labelled(labels, label, allowed)
     halves = [
         ok.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)
     ]

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample
+from .common import class_counts, labelled_sample
 
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of the word beginnings and endings that pattern voters look at.
-LENGTHS = (4, 5, 6)
+LENGTHS = (4, 5, 6, 7, 8)
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -68,16 +68,16 @@ class LabelModel:
     together: a voter counts 1 / (1 + sum of its correlations with the others that fired).
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 15):
+    def __init__(self, votes: np.ndarray, start: np.ndarray, weight: np.ndarray, rounds: int = 15):
         none = ~votes.any(axis=1)
         v = np.column_stack([votes, none]).astype(float)
         p = np.clip(start.astype(float), 0.02, 0.98)
-        self.prior = float(np.clip(p.mean(), 0.02, 0.98)) if len(p) else 0.5
+        self.prior = float(np.clip((weight * p).sum() / weight.sum(), 0.002, 0.998))
         base = np.log(self.prior / (1 - self.prior))
         for _ in range(rounds):
-            n = v.sum(axis=0)
-            self.accuracy = np.clip((v.T @ p + 2 * self.prior) / (n + 2), 0.002, 0.998)
-            self.correlation = self._correlations(v[:, :-1], p)
+            n = weight @ v
+            self.accuracy = np.clip(((weight * p) @ v + 2 * self.prior) / (n + 2), 0.002, 0.998)
+            self.correlation = self._correlations(v[:, :-1], p, weight)
             w = np.log(self.accuracy / (1 - self.accuracy)) - base
             share = 1.0 / (1.0 + v[:, :-1] @ self.correlation)
             logit = base + (v[:, :-1] * share) @ w[:-1] + v[:, -1] * w[-1]
@@ -85,10 +85,10 @@ class LabelModel:
         self.posterior = p
 
     @staticmethod
-    def _correlations(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def _correlations(v: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Positive correlations of voter pairs, averaged over the two labels by their weight."""
         total = np.zeros((v.shape[1], v.shape[1]))
-        for q in (p, 1 - p):
+        for q in (weight * p, weight * (1 - p)):
             s = q.sum()
             if s < 1e-9:
                 continue
@@ -96,7 +96,7 @@ class LabelModel:
             cov = (c * q[:, None]).T @ c / s
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             total += s * np.maximum(cov / np.outer(sd, sd), 0)
-        total /= max(len(p), 1)
+        total /= weight.sum()
         np.fill_diagonal(total, 0)
         return total
 
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 30
         have = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not have.get(1) or not have.get(0):
             return Model([], np.array([0.0, 0.0, 0.0, 4.0 if have.get(1) else -4.0]))
+        natural = class_counts(labels, label, allowed)  # the sample is weighted back to these
         few = max(3, int(0.001 * have[1]))
 
         def count(known: frozenset | None):
@@ -160,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 30
         v = np.zeros((len(got), len(kept)), bool)
         for i, r in enumerate(got):
             v[i, r.hit] = True
-        chosen = _choose(v, y, voters)
+        chosen = _choose(v, y, voters, (natural[0] / have[0]) / (natural[1] / have[1]))
         model = Model([kept[j] for j in chosen], np.zeros(len(chosen) + 4))
         few_terms = Voters(model.terms)
 
@@ -173,8 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 30
         v2 = np.zeros((len(back), len(kept)), bool)
         for i, h in enumerate(back["hit"]):
             v2[i, list(h)] = True
-        posterior = LabelModel(v2[:, chosen], back["label"].to_numpy()).posterior
-        model.weights = _logistic(np.stack(list(back["x"])), posterior)
+        y2 = back["label"].to_numpy()
+        weight = np.where(y2 == 1, natural[1] / have[1], natural[0] / have[0])
+        weight /= weight.mean()
+        posterior = LabelModel(v2[:, chosen], y2, weight).posterior
+        model.weights = _logistic(np.stack(list(back["x"])), posterior, weight)
         return model
     finally:
         sample.unpersist()
@@ -188,11 +192,11 @@ def _excess(n1: int, n0: int, share: float) -> float:
     return n1 * np.log(p / share) + (n0 * np.log((1 - p) / (1 - share)) if n0 else 0.0)
 
 
-def _choose(v: np.ndarray, y: np.ndarray, most: int) -> list[int]:
-    """First the terms that each add most toxic rows not yet covered, for every false row two; then the best rest."""
+def _choose(v: np.ndarray, y: np.ndarray, most: int, ratio: float) -> list[int]:
+    """First the terms that each add most toxic rows not yet covered, each false row (times its weight) against two of them; then the best rest."""
     pos, neg = v[y == 1], v[y == 0]
     left, chosen = np.ones(len(pos), bool), []
-    cost = 2.0 * neg.sum(axis=0) * (len(pos) / max(len(neg), 1))
+    cost = 2.0 * ratio * neg.sum(axis=0)
     while len(chosen) < most and left.any():
         gain = pos[left].sum(axis=0) - cost
         gain[chosen] = -np.inf
@@ -206,15 +210,15 @@ def _choose(v: np.ndarray, y: np.ndarray, most: int) -> list[int]:
     return chosen + rest[: most - len(chosen)]
 
 
-def _logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> np.ndarray:
+def _logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> np.ndarray:
     """Soft-label logistic regression by Newton steps; the constant is not penalised."""
     w = np.zeros(x.shape[1])
     keep = np.full(x.shape[1], ridge)
     keep[-1] = 1e-6
     for _ in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (s - p) + keep * w
-        h = (x * (s * (1 - s) + 1e-9)[:, None]).T @ x + np.diag(keep)
+        g = x.T @ (weight * (s - p)) + keep * w
+        h = (x * (weight * s * (1 - s) + 1e-9)[:, None]).T @ x + np.diag(keep)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
