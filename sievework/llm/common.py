@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id in join keys; ids themselves are passed through unchanged.
 NULL_ID = -(2**63)
@@ -64,3 +66,56 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     spark = docs.sparkSession
     small = spark.createDataFrame([(r.doc_id, r.label) for r in rows], "doc_id long, label int")
     return docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", "text", "label")
+
+
+def text_blocks(texts: list, most: int) -> Iterator[list]:
+    """Slices of a list of texts that hold about `most` characters (one text at least)."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield texts[start : k + 1]
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+def add_columns(docs: DataFrame, keep: list[str], fields: str, make: Callable[[], Callable[[list], list]], text: str = "text", binary: bool = False, block_chars: int = 4_000_000) -> DataFrame:
+    """The columns `keep` unchanged and new ones computed from whole texts, block by block.
+
+    make() runs once for each task and gives a function from a list of texts (null: empty) to one list or
+    array for each new column.  Kept columns pass through as Arrow arrays, so nulls and large integers
+    stay exact.  No shuffle; rows keep their number.
+    """
+    hidden = "__whole_text"
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary" if binary else "string").alias(hidden))
+    new = T.StructType.fromDDL(fields)
+    out = T.StructType([f for f in src.schema.fields if f.name != hidden] + new.fields)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        work, empty = make(), b"" if binary else ""
+        kinds = [to_arrow_type(f.dataType) for f in new.fields]
+        for b in batches:
+            texts = [empty if t is None else t for t in b.column(b.num_columns - 1).to_pylist()]
+            parts = [work(block) for block in text_blocks(texts, block_chars)]
+            columns = [pa.array([x for p in parts for x in p[k]], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(b.num_columns - 1)] + columns, names=out.names)
+
+    return src.mapInArrow(run, out)
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
+    """The rows, all columns, for whose text the function that make() gives says True (null text: None)."""
+    src = docs.withColumn("__whole_text", F.col(f"`{text}`"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        for b in batches:
+            yield b.filter(pa.array(work(b.column(b.num_columns - 1).to_pylist()), pa.bool_()))
+
+    return src.mapInArrow(run, src.schema).drop("__whole_text")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 #: Runs of letters, cut at MOST characters so that one endless run is many words.
 MOST = 40
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % MOST)
@@ -130,20 +132,21 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: floa
     the language first in the alphabet.  Repeated rows and null ids stay; other columns are left out.
     The broadcast table has BUCKETS rows whatever the corpus.
     """
-    from .spm import blocks
-
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches):
-        for pdf in batches:
-            for ids, texts in blocks(pdf, block_chars):
-                pi, k = infer([Counter(LETTERS.findall(t.lower())) for t in texts], shared.value, penalty)
-                order = np.argsort(-pi, axis=1, kind="stable") if len(langs) else None
-                yield pd.DataFrame({
-                    "doc_id": ids,
-                    "lang_pred": [langs[order[i, 0]] if k[i] else "und" for i in range(len(texts))],
-                    "score": [float(min(1.0, pi[i, order[i, 0]])) if k[i] else 0.0 for i in range(len(texts))],
-                    "langs": [",".join(langs[j] for j in order[i, : k[i]]) if k[i] else "" for i in range(len(texts))],
-                })
-
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, langs string")
+    def make():
+        grams = shared.value
+
+        def run(texts):
+            pi, k = infer([Counter(LETTERS.findall(t.lower())) for t in texts], grams, penalty)
+            order = np.argsort(-pi, axis=1, kind="stable")
+            some = [i if k[i] else None for i in range(len(texts))]
+            return [
+                ["und" if i is None else langs[order[i, 0]] for i in some],
+                [0.0 if i is None else float(min(1.0, pi[i, order[i, 0]])) for i in some],
+                ["" if i is None else ",".join(langs[j] for j in order[i, : k[i]]) for i in some],
+            ]
+
+        return run
+
+    return add_columns(docs, ["doc_id"], "lang_pred string, score double, langs string", make, block_chars=block_chars)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import add_columns, labelled_sample
 
 #: Hash buckets of words and of form features.
 WORDS, FORMS = 1 << 14, 1 << 12
@@ -163,18 +163,14 @@ def add_score(docs: DataFrame, model: Model, keep: list[str], name: str = "score
 
     Null and empty texts are scored alike, by their one feature.  Rows keep their number; no shuffle.
     """
-    from pyspark.sql import types as T
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    hidden = "__text"
 
-    def run(batches):
-        forms = Forms()
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[hidden]]
-            s = np.concatenate([np.zeros(0)] + [shared.value.score(shared.value.project([features(t, forms) for t in texts[a : a + block]])) for a in range(0, len(texts), block)])
-            yield pdf.drop(columns=hidden).assign(**{name: s})
+    def make():
+        forms, m = Forms(), shared.value
+
+        def run(texts):
+            return [np.concatenate([m.score(m.project([features(t, forms) for t in texts[a : a + block]])) for a in range(0, len(texts), block)])]
+
+        return run
 
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(hidden))
-    fields = [f for f in src.schema.fields if f.name != hidden]
-    return src.mapInPandas(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return add_columns(docs, keep, f"`{name}` double", make)

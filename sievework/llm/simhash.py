@@ -6,9 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut
+from .common import add_columns, cut
 from .graph import connected_components
 
 #: Fewest fingerprints in a block of the comparison grid, and the number of blocks beyond which blocks grow instead.
@@ -41,16 +40,11 @@ def add_fingerprint(docs: DataFrame, shingle: int = 4, keep: list[str] | None =
     A null text has no words.  Only `text` goes through Python with the kept columns; no shuffle.
     """
     keep = docs.columns if keep is None else keep
-    hidden = "__text_bytes"
 
-    def run(batches):
-        for pdf in batches:
-            fps = np.array([fingerprint(t, shingle) for t in pdf[hidden]], np.uint64).view(np.int64)
-            yield pdf.drop(columns=hidden).assign(**{name: fps})
+    def make():
+        return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
 
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias(hidden))
-    fields = [f for f in src.schema.fields if f.name != hidden]
-    return src.mapInPandas(run, T.StructType([*fields, T.StructField(name, T.LongType())]))
+    return add_columns(docs, keep, f"`{name}` long", make, binary=True)
 
 
 def components(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, grid: int = GRID) -> DataFrame:

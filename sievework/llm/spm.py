@@ -15,9 +15,9 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import add_columns
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -251,44 +251,33 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """(id, ids array<int>, decoded string): every whole text encoded, then decoded again from its ids.
 
     A null text counts as empty; rows keep their number, repeated rows and null ids included; an empty
-    table gives an empty result; other columns are left out.  No shuffle; memory is bounded by
+    table gives an empty result; other columns are left out (id_col must not be called ids or decoded).  No shuffle; memory is bounded by
     block_chars characters (or one text).
     """
 
-    def run(batches):
+    def make():
         model = load(model_path)
-        for pdf in batches:
-            for ids, texts in blocks(pdf, block_chars):
-                coded = encode_block(model, texts)
-                yield pd.DataFrame({"id": ids, "ids": [c.astype(np.int32) for c in coded], "decoded": [decode(model, c) for c in coded]})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+        def run(texts):
+            coded = encode_block(model, texts)
+            return [[c.astype(np.int32) for c in coded], [decode(model, c) for c in coded]]
+
+        return run
+
+    return add_columns(docs, [id_col], "ids array<int>, decoded string", make, text_col, block_chars=block_chars)
 
 
 def digest_documents(docs: DataFrame, model_path: str, block_chars: int = 4_000_000) -> DataFrame:
     """The digests of encode_documents' output, taken in the same pass so that no id array leaves the worker."""
 
-    def run(batches):
+    def make():
         model = load(model_path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for pdf in batches:
-            for ids, texts in blocks(pdf, block_chars):
-                coded = encode_block(model, texts)
-                yield pd.DataFrame({"doc_id": ids, "n_tokens": [len(c) for c in coded], "ids_sha256": [sha(c.tobytes()) for c in coded], "decoded_sha256": [sha(decode(model, c).encode()) for c in coded]})
-
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def blocks(pdf: pd.DataFrame, most: int):
-    """Slices of a batch (columns id, text) that hold about `most` characters; null text: empty."""
-    texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-    ids = pdf["id"]
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield ids.iloc[start : k + 1].reset_index(drop=True), texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield ids.iloc[start:].reset_index(drop=True), texts[start:]
+
+        def run(texts):
+            coded = encode_block(model, texts)
+            return [[len(c) for c in coded], [sha(c.tobytes()) for c in coded], [sha(decode(model, c).encode()) for c in coded]]
+
+        return run
+
+    return add_columns(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make, block_chars=block_chars)

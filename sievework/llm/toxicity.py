@@ -9,9 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import class_counts, labelled_sample
+from .common import add_columns, class_counts, labelled_sample
 
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of the word beginnings and endings that pattern voters look at.
@@ -231,16 +230,11 @@ def add_score(docs: DataFrame, model: Model, keep: list[str], name: str = "score
 
     Null and empty texts hold no term.  Rows keep their number; no shuffle; the model is of bounded size.
     """
-    hidden = "__text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def make():
         m = shared.value
         voters = Voters(m.terms)
-        for pdf in batches:
-            s = [m.score(m.row(voters, t if isinstance(t, str) else "")) for t in pdf[hidden]]
-            yield pdf.drop(columns=hidden).assign(**{name: np.array(s, float)})
+        return lambda texts: [[float(m.score(m.row(voters, t))) for t in texts]]
 
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(hidden))
-    fields = [f for f in src.schema.fields if f.name != hidden]
-    return src.mapInPandas(run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))
+    return add_columns(docs, keep, f"`{name}` double", make)
