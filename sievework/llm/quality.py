@@ -104,7 +104,7 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 2000, rank: int = 48, k: int = 15, power: float = 8.0, label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 1500, rank: int = 48, k: int = 15, power: float = 8.0, label: str = "quality") -> Model:
     """Latent axes and labelled vectors from at most `per_class` labelled rows of either label.
 
     Both the sample and the broadcast model are bounded: 2 * per_class vectors of `rank` numbers and
@@ -141,7 +141,15 @@ def _axes(rows: list, idf: np.ndarray, size: int, rank: int) -> np.ndarray:
     value = np.concatenate([x for _, x in scaled])[:, None]
     n = np.array([len(a) for a, _ in scaled])
     at, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-    times = lambda m: np.add.reduceat(value * m[index], at, axis=0)
+
+    def times(m):
+        # in blocks of documents, so that the gathered rows stay small
+        out = np.empty((len(n), m.shape[1]))
+        for a in range(0, len(n), 128):
+            b = min(a + 128, len(n))
+            lo, hi = at[a], at[b - 1] + n[b - 1]
+            out[a:b] = np.add.reduceat(value[lo:hi] * m[index[lo:hi]], at[a:b] - lo, axis=0)
+        return out
 
     def back(m):
         out = np.zeros((size, m.shape[1]))
