@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Written as a table in the shared checkpoint folder and read again: no lineage to recompute."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/sievework-{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id's decimal text modulo k (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)

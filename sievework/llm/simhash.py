@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut
+from .common import NULL_ID, add_columns, cut
 from .graph import connected_components
 
 #: Fewest fingerprints in a block of the comparison grid, and the number of blocks beyond which blocks grow instead.
@@ -180,14 +180,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     repeated rows stay repeated; extra columns are left out; an empty table gives an empty result.
     """
     fps = cut(add_fingerprint(docs, shingle, ["doc_id"]))
-    return with_component(fps, fps, radius)
+    return with_component(fps, fps, radius).select("doc_id", "fp", "component_id")
 
 
 def with_component(rows: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
-    """`rows` with component_id; rows need fp, fps are all the pairs (doc_id, fp)."""
+    """`rows` with root and component_id; rows need fp, fps are all the pairs (doc_id, fp)."""
     classes = components(fps, radius)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = least.join(classes, "fp")
     name = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = cut(named.join(name, "root").select("fp", "component_id"))
+    by_fp = cut(named.join(name, "root").select("fp", "root", "component_id"))
     return rows.join(by_fp, "fp")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """One row, all columns, of every class of near-duplicates: the one with the smallest doc_id.
+
+    Null ids come last, and of rows with one id in one class that with the smaller text hash stays.  Only
+    ids, text hashes and fingerprints take part in the classes; texts are shuffled once, to meet the
+    keys of those that stay.
+    """
+    i, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64(F.lit("row"), "text")
+    fps = cut(add_fingerprint(docs.select("doc_id", "text", th.alias("th")), shingle, ["doc_id", "th"]))
+    cand = with_component(fps, fps, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    same = cand.groupBy("root", "th").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"))
+    stay = cut(same.groupBy("root").agg(F.min(F.struct("th", "n", "doc_id")).alias("s")).select(F.coalesce("s.doc_id", F.lit(NULL_ID)).alias("__i"), F.col("s.th").alias("__th"), F.col("s.n").alias("n")))
+    again = stay.where("n > 1").limit(1).count()
+    out = docs.withColumn("__i", i).withColumn("__th", th).join(stay.select("__i", "__th"), ["__i", "__th"], "left_semi")
+    if again:  # the very row comes more than once
+        out = out.dropDuplicates(["__i", "__th"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

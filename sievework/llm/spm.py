@@ -281,3 +281,18 @@ def digest_documents(docs: DataFrame, model_path: str, block_chars: int = 4_000_
         return run
 
     return add_columns(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make, block_chars=block_chars)
+
+
+def encode_rows(docs: DataFrame, model_path: str, block_chars: int = 4_000_000) -> DataFrame:
+    """(doc_id, n_tokens, ids, exact): the ids of every whole text, and whether their decoding equals it."""
+
+    def make():
+        model = load(model_path)
+
+        def run(texts):
+            coded = encode_block(model, texts)
+            return [[len(c) for c in coded], [c.astype(np.int32) for c in coded], [decode(model, c) == t for c, t in zip(coded, texts)]]
+
+        return run
+
+    return add_columns(docs, ["doc_id"], "n_tokens long, ids array<int>, exact boolean", make, block_chars=block_chars)

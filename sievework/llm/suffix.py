@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, ensure_checkpoint_dir
+from .common import NULL_ID, stored
 
 #: Bits of the fixed-size key filter (16 MB): keys seen twice set a bit, whatever the corpus.
 FILTER_BITS = 27
@@ -310,7 +309,7 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     twice = src.select(F.col("text").cast("binary")).mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    twice = _stored(twice, "keys")
+    twice = stored(twice, "keys")
     shared = spark.sparkContext.broadcast((_bitmap(twice), _bitmap(twice.where(F.col("n") > HOT))))
 
     def snippets(batches):
@@ -334,7 +333,7 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
                         rows.append((x, y, a + lo, size, into, hashlib.blake2b(s, digest_size=16).digest(), s))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], names=["r1", "r2", "first", "n", "key", "sid", "snippet"])
 
-    pieces = _stored(src.select(r1.alias("r1"), r2.alias("r2"), F.col("text").cast("binary").alias("t")).mapInArrow(snippets, "r1 long, r2 long, first int, n int, key long, sid binary, snippet binary"), "pieces")
+    pieces = stored(src.select(r1.alias("r1"), r2.alias("r2"), F.col("text").cast("binary").alias("t")).mapInArrow(snippets, "r1 long, r2 long, first int, n int, key long, sid binary, snippet binary"), "pieces")
     alone = pieces.groupBy("key", "sid").agg(F.first("snippet").alias("snippet"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     dealt = alone.select("key", "sid", "copies", "n", "snippet").repartition("key").sortWithinPartitions("key")
 
@@ -362,13 +361,6 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
     return back.groupBy("r1", "r2").agg(F.collect_set(F.struct("first", "n", "bits")).alias("marks"))
 
 
-def _stored(df: DataFrame, what: str) -> DataFrame:
-    """Written as a table in the shared checkpoint folder and read again: no lineage to recompute."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/sievework-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def covered(n_bytes: int, marks: list, length: int) -> np.ndarray:
     """Which bytes a repeated string covers."""
     edge = np.zeros(n_bytes + 1, np.int64)
