@@ -14,49 +14,82 @@ from .graph import connected_components
 BLOCK_ROWS, GRID = 8_192, 48
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """Majority of the XXH64 (seed 42) bits of the word shingles, repeats included; no words: zero."""
-    import xxhash
+def _majority(h: np.ndarray) -> np.ndarray:
+    """The bits that over half of the rows of 64-bit numbers (rows x words) have."""
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for k in range(0, len(h), 4096):
+        part = np.ascontiguousarray(h[k : k + 4096])
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
+
 
-    words = text.lower().split() if text else []  # bytes: A-Z only, and cuts at 0x20 and 0x09-0x0D
-    if not words:
-        return 0
+def shingles(text: bytes, size: int) -> list[bytes]:
+    """Space-joined runs of `size` words, repeats included; the whole sequence if there are fewer."""
+    words = text.lower().split()  # bytes: A-Z only, and cuts at 0x20 and 0x09-0x0D
     joined = b" ".join(words)
+    if len(words) <= size:
+        return [joined] if words else []
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n + 1) - 1
+    return [joined[a:b] for a, b in zip((ends - n)[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Majority of the XXH64 (seed 42) bits of the word shingles; no words: zero."""
+    import xxhash
+
     hash_of = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hash_of(joined, 42)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    h = np.array([hash_of(joined[a:b], 42) for a, b in zip((ends - size)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 4096):
-        ones += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    h = np.array([hash_of(x, 42) for x in shingles(text, shingle)], np.uint64)
+    return int(_majority(h[:, None])[0]) if len(h) else 0
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, bytes]:
+    """fingerprint(), and 128 more bits made alike from XXH3."""
+    import xxhash
 
+    parts = shingles(text, shingle)
+    if not parts:
+        return 0, bytes(16)
+    one, two = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
+    h = np.column_stack([np.array([one(x, 42) for x in parts], np.uint64), np.frombuffer(b"".join([two(x, 42) for x in parts]), np.uint64).reshape(-1, 2)])
+    got = _majority(h)
+    return int(got[0]), got[1:].tobytes()
 
-def add_fingerprint(docs: DataFrame, shingle: int = 4, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
-    """The columns `keep` (all by default) and the fingerprint of `text` as a signed long called `name`.
 
-    A null text has no words.  Only `text` goes through Python with the kept columns; no shuffle.
+def add_fingerprint(docs: DataFrame, shingle: int = 4, keep: list[str] | None = None, wide: bool = False) -> DataFrame:
+    """The columns `keep` (all by default) and the fingerprint of `text`: fp, a signed long, and if `wide` more, 16 bytes.
+
+    A null text has no words.  Kept columns pass through unchanged; no shuffle.
     """
     keep = docs.columns if keep is None else keep
 
     def make():
-        return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+        if not wide:
+            return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+
+        def run(texts):
+            got = [wide_fingerprint(t, shingle) for t in texts]
+            return [np.array([g[0] for g in got], np.uint64).view(np.int64), [g[1] for g in got]]
+
+        return run
 
-    return add_columns(docs, keep, f"`{name}` long", make, binary=True)
+    return add_columns(docs, keep, "fp long, more binary" if wide else "fp long", make, binary=True)
 
 
-def components(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, grid: int = GRID) -> DataFrame:
+def components(fps: DataFrame, radius: int = 4, total_radius: int | None = None, block_rows: int = BLOCK_ROWS, grid: int = GRID) -> DataFrame:
     """(fp, root): the class of every distinct fingerprint of `fps` (a column fp), linked at `radius` or fewer bits.
 
+    With `total_radius`, fps has the column more as well, and a link needs at most that many differing
+    bits in both together besides.
+
     Every pair of distinct fingerprints is compared, but for blocks and tiles whose population counts
     alone prove a greater distance.  The fingerprints, sorted by population count, are cut into blocks;
     a block pair is one group of two packed blocks.  A block is sent to at most `grid` (and a few) block
     pairs whatever the table's size, as blocks grow with it.  Each pair sends back a
     spanning forest of its links, so a dense group gives no more rows than it has members.
     """
-    distinct = cut(fps.select("fp").distinct())
+    wide = total_radius is not None
+    distinct = cut(fps.groupBy("fp").agg(F.min("more").alias("more")) if wide else fps.select("fp").distinct())
     spark = distinct.sparkSession
     counts = {r.pc: r.n for r in distinct.groupBy(F.bit_count("fp").alias("pc")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65 rows
     total = sum(counts.values())
@@ -90,30 +123,41 @@ def components(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, gr
     placed = distinct.withColumn("pc", F.bit_count("fp").cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.try_element_at(parts, F.col("pc"))).cast("int")).join(F.broadcast(plan), ["pc", "part"])
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "fps": [pdf["fp"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "fps": [_matrix(pdf).tobytes()]})
 
     # a block travels as one binary row to each of its pairs
-    packed = placed.select("block", "fp").groupBy("block").applyInPandas(pack, "block int, fps binary")
+    packed = placed.select("block", *distinct.columns).groupBy("block").applyInPandas(pack, "block int, fps binary")
     sent = packed.join(F.broadcast(plan.select("block", "pair").dropDuplicates(["block"])), "block").select("fps", F.explode("pair").alias("pair")).select("fps", "pair.id", "pair.other")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = {bool(o): np.frombuffer(x, np.int64) for o, x in zip(pdf["other"], pdf["fps"])}
-        return pd.DataFrame(forest(side[False], side.get(True), radius), columns=["u", "v"])
+        side = {bool(o): np.frombuffer(x, np.int64).reshape(-1, 3 if wide else 1) for o, x in zip(pdf["other"], pdf["fps"])}
+        return pd.DataFrame(forest(side[False], side.get(True), radius, total_radius), columns=["u", "v"])
 
     edges = sent.repartition(max(1, len(pairs)), "id").groupBy("id").applyInPandas(compare, "u long, v long")
     roots = connected_components(edges)
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int, tile: int = 128, wide: int = 4096) -> np.ndarray:
-    """A spanning forest of the links among `a` (b None) or between `a` and `b`, as (member, root) pairs."""
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    fp = pdf["fp"].to_numpy(np.int64)[:, None]
+    if "more" not in pdf:
+        return fp
+    return np.column_stack([fp, np.frombuffer(b"".join(pdf["more"]), np.int64).reshape(-1, 2)])
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int, total_radius: int | None = None, tile: int = 128, wide: int = 4096) -> np.ndarray:
+    """A spanning forest of the links among `a` (b None) or between `a` and `b`, as (member, root) pairs.
+
+    Rows are fingerprints, the first word the one that the radius holds for.
+    """
     a = _ordered(a)
     b = a if b is None else _ordered(b)
     same = b is a
-    box_a, box_b = _boxes(a, tile), _boxes(b, tile)
+    box_a, box_b = _boxes(a[:, 0], tile), _boxes(b[:, 0], tile)
     parent = np.arange(len(a) + (0 if same else len(b)))
     base = 0 if same else len(a)
-    ua, ub = a.view(np.uint64), b.view(np.uint64)
+    wa, wb = a.view(np.uint64), b.view(np.uint64)
+    ua, ub = np.ascontiguousarray(wa[:, 0]), np.ascontiguousarray(wb[:, 0])
     for i in range(0, len(a), tile):
         lo, hi = box_a[0][i // tile], box_a[1][i // tile]
         gap = np.maximum(np.maximum(lo - box_b[1], box_b[0] - hi), 0).sum(axis=1)
@@ -130,23 +174,30 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, tile: int = 128, wi
             x, y = x + i, c[y]
             if same:
                 x, y = x[x < y], y[x < y]
+            if total_radius is not None and len(x):
+                on = np.bitwise_count(wa[x] ^ wb[y]).sum(axis=1) <= total_radius
+                x, y = x[on], y[on]
             if len(x):
                 _unite(parent, x, y + base)
     root = _roots(parent)
-    every = a if same else np.concatenate([a, b])
+    every = a[:, 0] if same else np.concatenate([a[:, 0], b[:, 0]])
     moved = np.flatnonzero(root != np.arange(len(root)))
     return np.stack([every[moved], every[root[moved]]], axis=1)
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
-    """Sorted by the population counts of the four 16-bit quarters, so that tiles have narrow ranges."""
-    q = np.bitwise_count(np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)).astype(np.int64)
-    return x[np.lexsort((q[:, 3], q[:, 2], q[:, 1], q[:, 0]))]
+    """Sorted by the population counts of the four 16-bit quarters of the first word, so that tiles have narrow ranges."""
+    q = _quarters(x[:, 0])
+    return np.ascontiguousarray(x[np.lexsort((q[:, 3], q[:, 2], q[:, 1], q[:, 0]))])
+
+
+def _quarters(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)).astype(np.int64)
 
 
 def _boxes(x: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest population count of each quarter in each tile; their gaps bound the distance from below."""
-    q = np.bitwise_count(np.ascontiguousarray(x).view(np.uint16).reshape(-1, 4)).astype(np.int64)
+    q = _quarters(x)
     at = np.arange(0, len(x), tile)
     return np.minimum.reduceat(q, at), np.maximum.reduceat(q, at)
 
@@ -183,9 +234,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return with_component(fps, fps, radius).select("doc_id", "fp", "component_id")
 
 
-def with_component(rows: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
+def with_component(rows: DataFrame, fps: DataFrame, radius: int, total_radius: int | None = None) -> DataFrame:
     """`rows` with root and component_id; rows need fp, fps are all the pairs (doc_id, fp)."""
-    classes = components(fps, radius)
+    classes = components(fps, radius, total_radius)
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = least.join(classes, "fp")
     name = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -193,16 +244,19 @@ def with_component(rows: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
     return rows.join(by_fp, "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row, all columns, of every class of near-duplicates: the one with the smallest doc_id.
 
+    Two texts are linked if at least `similarity` of 192 fingerprint bits agree, and three quarters of the
+    first 64, which the grid compares; 192 bits keep unrelated texts apart at that similarity.
+
     Null ids come last, and of rows with one id in one class that with the smaller text hash stays.  Only
     ids, text hashes and fingerprints take part in the classes; texts are shuffled once, to meet the
     keys of those that stay.
     """
     i, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64(F.lit("row"), "text")
-    fps = cut(add_fingerprint(docs.select("doc_id", "text", th.alias("th")), shingle, ["doc_id", "th"]))
-    cand = with_component(fps, fps, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    fps = cut(add_fingerprint(docs.select("doc_id", "text", th.alias("th")), shingle, ["doc_id", "th"], wide=True))
+    cand = with_component(fps, fps, 16, int(192 * (1 - similarity) + 1e-9)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     same = cand.groupBy("root", "th").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"))
     stay = cut(same.groupBy("root").agg(F.min(F.struct("th", "n", "doc_id")).alias("s")).select(F.coalesce("s.doc_id", F.lit(NULL_ID)).alias("__i"), F.col("s.th").alias("__th"), F.col("s.n").alias("n")))
     again = stay.where("n > 1").limit(1).count()
