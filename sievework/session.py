@@ -22,3 +22,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root}/sievework-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="sievework-")
