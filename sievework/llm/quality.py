@@ -99,7 +99,7 @@ class Model:
         for a in range(0, len(x), block):
             cos = x[a : a + block] @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6) ** self.power
+            w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(float), 1e-6) ** self.power
             out[a : a + block] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
 

@@ -6,7 +6,7 @@ import hashlib
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,27 +120,23 @@ class Index:
         back[0].tofile(self.bwt)
         np.zeros(m, kind).tofile(self.lcp)
         self.kind, self.m = kind, m
-        at = np.arange(m)  # place of each document's newest suffix
+        #: places of the transform by (byte, place), and how often each byte stands there
+        self.sorted, self.counts = np.argsort(back[0], kind="stable").astype(np.int32), np.bincount(back[0], minlength=256)
+        at = np.arange(m)  # place of each document's newest suffix, and that place's number in self.sorted
+        number = np.empty(m, np.int64)
+        number[self.sorted] = at
         for j in range(1, rounds + 1):
             active = int(np.searchsorted(-self.size, -j, "right"))
-            at = self._insert(at[:active], back[j, :active])
+            at, number = self._insert(at[:active], number[:active], back[j, :active])
 
-    def _insert(self, at: np.ndarray, before: np.ndarray) -> np.ndarray:
-        b, lcp = np.fromfile(self.bwt, np.uint8), np.fromfile(self.lcp, self.kind)
+    def _insert(self, at: np.ndarray, number: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b, lcp, order = np.fromfile(self.bwt, np.uint8), np.fromfile(self.lcp, self.kind), self.sorted
         n, a = len(b), len(at)
-        order = np.argsort(b, kind="stable")  # places by their byte
-        mark = np.zeros(n, bool)
-        mark[at] = True
-        k = np.flatnonzero(mark[order])  # the newest suffixes by (byte before, place)
-        p = order[k]
-        doc = np.empty(n, np.int32)
-        doc[at] = np.arange(a)
-        who = doc[p]
-        zeros = int((b == 0).sum())
+        who = np.argsort(number)  # the newest suffixes by (byte before, place)
+        k, p = number[who], at[who]
         c = b[p]
         # of the k places before it by (byte, place), those that are ends or newest have no longer suffix yet
-        old = k - zeros - np.arange(a) + self.m
-        new = old + np.arange(a)
+        new = k - self.counts[0] + self.m
         # common prefixes with the neighbours that begin with the same byte
         left, right = order[k - 1], order[np.minimum(k + 1, n - 1)]
         has_left, has_right = (k > 0) & (b[left] == c), (k + 1 < n) & (b[right] == c)
@@ -156,12 +152,29 @@ class Index:
         ok = follows < n + a
         ok[ok] = keep[follows[ok]]
         l2[follows[ok]] = down[ok]
-        b2[new], l2[new] = before[who], up
+        put = before[who]
+        b2[new], l2[new] = put, up
         b2.tofile(self.bwt)
         l2.tofile(self.lcp)
-        out = np.empty(a, np.int64)
-        out[who] = new
-        return out
+        # the same for the places by (byte, place): old ones move up, new ones find theirs in their byte's part
+        moved = np.flatnonzero(keep).astype(np.int32)[order]
+        by = np.argsort(put, kind="stable")
+        s, q = put[by], new[by]
+        cut = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), a)
+        part = np.append(0, np.cumsum(self.counts))
+        spot = np.empty(a, np.int64)
+        for x, y in zip(cut[:-1], cut[1:]):
+            lo, hi = part[s[x]], part[s[x] + 1]
+            spot[x:y] = lo + np.searchsorted(moved[lo:hi], q[x:y])
+        spot += np.arange(a)
+        keep[:] = True
+        keep[spot] = False
+        self.sorted = np.empty(n + a, np.int32)
+        self.sorted[keep], self.sorted[spot] = moved, q
+        self.counts = self.counts + np.bincount(s, minlength=256)
+        at2, number2 = np.empty(a, np.int64), np.empty(a, np.int64)
+        at2[who], number2[who[by]] = new, spot
+        return at2, number2
 
     @staticmethod
     def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, on: np.ndarray) -> np.ndarray:
@@ -175,12 +188,11 @@ class Index:
 
     def repeated(self) -> list[np.ndarray]:
         """For each document, which starts have `cap` bytes in common with a neighbour in the index."""
-        b, lcp = np.fromfile(self.bwt, np.uint8), np.fromfile(self.lcp, self.kind)
+        lcp = np.fromfile(self.lcp, self.kind)
         flag = lcp >= self.cap
         flag[:-1] |= flag[1:]
-        order = np.argsort(b, kind="stable")
-        step = np.empty(len(b), np.int64)
-        step[order] = np.arange(len(b))  # from a suffix to the one a byte longer
+        step = np.empty(len(flag), np.int64)
+        step[self.sorted] = np.arange(len(flag))  # from a suffix to the one a byte longer
         out: list[np.ndarray] = [np.zeros(max(0, int(s) - self.cap + 1), bool) for s in self.size]
         grid = np.zeros((int(self.size.max(initial=0)) + 1, self.m), bool)
         at = np.arange(self.m)
@@ -202,10 +214,10 @@ def _row_keys() -> tuple[Column, Column]:
     return F.xxhash64(i, "text"), F.xxhash64(F.lit("second"), "text", i)
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the slots of all keys, at most 2 ** FILTER_BITS: built in parts on the executors."""
-    slot = F.shiftrightunsigned("key", 64 - FILTER_BITS) + 1
-    parts = keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Bits of the slots of a column's values, 2 ** FILTER_BITS in all: built in parts on the executors."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    parts = rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for r in parts:
         a = (r.bucket - 1) * 4096
@@ -214,7 +226,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    slot = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    slot = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -228,10 +240,10 @@ def _finer(data: np.ndarray, length: int, key: int) -> list[tuple[int, int, int]
     return list(zip(first.tolist(), np.diff(cuts).tolist(), mixed.view(np.int64).tolist()))
 
 
-def decide(rows: list[tuple[int, bytes, int, int, bytes]], length: int) -> list[tuple[bytes, bytes]]:
-    """(snippet id, packed bits of its repeated starts) for snippets (key, id, copies, starts, bytes).
+def decide(rows: list[tuple], length: int) -> list[tuple[int, int, bytes]]:
+    """(key, snippet id, packed bits of its repeated starts) for snippets (key, id, copies, starts, bytes).
 
-    Rows of one key are all here.  A key with one snippet needs no comparison: its copies repeat it.
+    Rows of one key are all here, with their bytes unless the key has but one.  A key with one snippet needs no comparison: its copies repeat it.
     Starts whose whole string no other start can equal, by a hash of the string, are cut off; what
     remains is collapsed and indexed, and the common prefixes in the index decide.
     """
@@ -242,9 +254,10 @@ def decide(rows: list[tuple[int, bytes, int, int, bytes]], length: int) -> list[
         while end < len(rows) and rows[end][0] == rows[at][0]:
             end += 1
         if end - at == 1:
-            _, sid, copies, n, _ = rows[at]
+            key, sid, copies, n, text = rows[at]
             if copies > 1:
-                out.append((sid, np.packbits(np.ones(n, bool)).tobytes()))
+                out.append((key, sid, np.packbits(np.ones(n, bool)).tobytes()))
+            if copies > 1 or text is None:
                 at = end
                 continue
         several += rows[at:end]
@@ -275,28 +288,63 @@ def decide(rows: list[tuple[int, bytes, int, int, bytes]], length: int) -> list[
         number.append(k)
     flags = np.zeros(len(maybe), bool)
     if texts:
+        # copies repeat each other; an index is needed where a text without a copy is in question, and it
+        # holds that text and all that may share a string with it
+        alone = np.array(count)[number] == 1
+        asked = np.zeros(int(which.max()) + 1, bool)
+        for a, b in zip(begins[alone].tolist(), ends[alone].tolist()):
+            asked[which[a:b]] = True
+        meets = np.add.reduceat(asked[which] & maybe, np.stack([begins, np.minimum(ends, len(maybe) - 1)], axis=1).ravel())[::2] > 0
+        meets |= asked[which[ends - 1]]
+        chosen = sorted(set(np.array(number)[meets].tolist()))
+        every = list(texts)
         with tempfile.TemporaryDirectory() as folder:
-            found = Index(list(texts), length, folder).repeated()
+            found = dict(zip(chosen, Index([every[k] for k in chosen], length, folder).repeated()))
         for a, b, k in zip(begins.tolist(), ends.tolist(), number):
             flags[a:b] = True if count[k] > 1 else found[k]
     edge = np.append(0, np.cumsum(starts))
     for r, a, b in zip(several, edge[:-1], edge[1:]):
         if flags[a:b].any():
-            out.append((r[1], np.packbits(flags[a:b]).tobytes()))
+            out.append((r[0], r[1], np.packbits(flags[a:b]).tobytes()))
     return out
 
 
+def _candidates(text: bytes, length: int, seen: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, starts, key) of the runs whose key may come twice, hot ones cut finer."""
+    data = np.frombuffer(text, np.uint8)
+    first, n, key = runs(data, length, PIECE)
+    on = _has(seen, key)
+    first, n, key = first[on], n[on], key[on]
+    much = _has(hot, key)
+    if not much.any():
+        return first, n, key.view(np.int64)
+    parts = [(first[~much], n[~much], key[~much].view(np.int64))]
+    for k in np.flatnonzero(much).tolist():
+        a, m = int(first[k]), int(n[k])
+        cut = np.array(_finer(data[a : a + m + length - 1], length, int(key[k])), object)
+        parts.append((cut[:, 0].astype(np.int64) + a, cut[:, 1].astype(np.int64), cut[:, 2].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _place_of(row: int, first: np.ndarray) -> np.ndarray:
+    """A well mixed 64-bit value of a row and a start in it."""
+    x = (np.uint64(row & (2**64 - 1)) ^ (first.astype(np.uint64) * _M[3])) * _M[5]
+    x ^= x >> np.uint64(32)
+    return (x * _M[1]).view(np.int64)
+
+
 def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
     """(r1, r2, marks): for each row with any, the starts of its strings of `length` bytes that also start elsewhere.
 
-    r1 and r2 are _row_keys(); marks is a set of (first, starts, bits).  Steps: the keys of all runs are
-    counted (pre-aggregated); a fixed-size filter of the keys that come twice selects the runs that are
-    sent on as snippets, a superset of what repeats; equal snippets collapse before they meet by key;
-    each task indexes its keys in collections of bounded size; the result goes back by snippet id.
+    r1 and r2 are _row_keys(); marks is a set of (first, starts, bits).  The texts are read three times and
+    not shuffled here: once to count the keys of all runs (pre-aggregated), once to name the snippets
+    at keys that come twice by a hash, and once to send the text of one copy of each snippet that
+    shares its key with another.  Fixed-size filters select what is sent, always a superset of what is
+    needed.  Snippets meet by key; each task indexes its keys in collections of bounded size.
     """
     spark = docs.sparkSession
     r1, r2 = _row_keys()
-    src = docs.select("doc_id", "text").where(F.octet_length("text") >= length)
+    src = docs.select(r1.alias("r1"), r2.alias("r2"), F.col("text").cast("binary").alias("t")).where(F.octet_length("t") >= length)
 
     def keys(batches):
         import pyarrow as pa
@@ -308,56 +356,71 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
             k, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    twice = src.select(F.col("text").cast("binary")).mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    twice = stored(twice, "keys")
-    shared = spark.sparkContext.broadcast((_bitmap(twice), _bitmap(twice.where(F.col("n") > HOT))))
+    twice = stored(src.select("t").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "keys")
+    shared = spark.sparkContext.broadcast((_bitmap(twice, "key"), _bitmap(twice.where(F.col("n") > HOT), "key")))
 
-    def snippets(batches):
+    def name(batches):
         import pyarrow as pa
+        import xxhash
 
-        seen, hot = shared.value
+        hash_of = xxhash.xxh3_64_intdigest
         for b in batches:
-            rows = []
+            out: list = [[np.zeros(0, np.int64)] for _ in range(7)]
             for x, y, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                data = np.frombuffer(t, np.uint8)
-                first, n, key = runs(data, length, PIECE)
-                on = _has(seen, key)
-                signed = key.view(np.int64)
-                for k in np.flatnonzero(on).tolist():
-                    a, m = int(first[k]), int(n[k])
-                    cut = [(0, m, int(signed[k]))]
-                    if _has(hot, key[k : k + 1])[0]:
-                        cut = _finer(data[a : a + m + length - 1], length, int(key[k]))
-                    for lo, size, into in cut:
-                        s = t[a + lo : a + lo + size + length - 1]
-                        rows.append((x, y, a + lo, size, into, hashlib.blake2b(s, digest_size=16).digest(), s))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], names=["r1", "r2", "first", "n", "key", "sid", "snippet"])
-
-    pieces = stored(src.select(r1.alias("r1"), r2.alias("r2"), F.col("text").cast("binary").alias("t")).mapInArrow(snippets, "r1 long, r2 long, first int, n int, key long, sid binary, snippet binary"), "pieces")
-    alone = pieces.groupBy("key", "sid").agg(F.first("snippet").alias("snippet"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    dealt = alone.select("key", "sid", "copies", "n", "snippet").repartition("key").sortWithinPartitions("key")
+                first, n, key = _candidates(t, length, *shared.value)
+                ids = np.array([hash_of(t[a : a + m + length - 1]) for a, m in zip(first.tolist(), n.tolist())], np.uint64).view(np.int64)
+                for k, v in enumerate((np.full(len(first), x), np.full(len(first), y), first, n, key, ids, _place_of(x, first))):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int32 if k in (2, 3) else np.int64)) for k, v in enumerate(out)], names=["r1", "r2", "first", "n", "key", "sid", "spot"])
+
+    pieces = stored(src.mapInArrow(name, "r1 long, r2 long, first int, n int, key long, sid long, spot long"), "pieces")
+    alone = pieces.groupBy("key", "sid").agg(F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("spot").alias("spot"))
+    alone = stored(alone.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("key")) > 1), "snippets")
+    chosen = spark.sparkContext.broadcast(_bitmap(alone.where("several OR copies = 1"), "spot"))  # one alone may still repeat itself
+
+    def send(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for x, t in zip(*(b.column(k).to_pylist() for k in range(2))):
+                first, n, key = _candidates(t, length, *shared.value)
+                on = _has(chosen.value, _place_of(x, first).view(np.uint64))
+                for a, m, k in zip(first[on].tolist(), n[on].tolist(), key[on].tolist()):
+                    text = t[a : a + m + length - 1]
+                    sid = xxhash.xxh3_64_intdigest(text)
+                    rows.append((k, sid - (sid >> 63 << 64), 0, m, text))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])], names=["key", "sid", "copies", "n", "snippet"])
+
+    texts = src.select("r1", "t").mapInArrow(send, "key long, sid long, copies long, n int, snippet binary")
+    dealt = alone.select("key", "sid", "copies", "n", F.lit(None).cast("binary").alias("snippet")).unionByName(texts).repartition("key").sortWithinPartitions("key", "sid")
 
     def index(batches):
         import pyarrow as pa
 
         def result(rows):
             got = decide(rows, length)
-            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.binary()) for k in (0, 1)], names=["sid", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["key", "sid", "bits"])
 
         held: list = []
         size = 0
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if held and held[-1][:2] == r[:2]:  # the count and the text of one snippet
+                    old = held[-1]
+                    held[-1] = (*r[:2], old[2] + r[2], r[3], old[4] or r[4])
+                    continue
                 if size >= COLLECTION and r[0] != held[-1][0]:
                     yield result(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += r[3] + length
         if held:
             yield result(held)
 
-    marks = dealt.mapInArrow(index, "sid binary, bits binary")
-    back = pieces.select("r1", "r2", "first", "n", "sid").join(marks, "sid")
+    marks = dealt.mapInArrow(index, "key long, sid long, bits binary")
+    back = pieces.select("r1", "r2", "first", "n", "key", "sid").join(marks, ["key", "sid"])
     return back.groupBy("r1", "r2").agg(F.collect_set(F.struct("first", "n", "bits")).alias("marks"))
 
 

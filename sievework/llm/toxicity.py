@@ -73,9 +73,10 @@ class LabelModel:
         p = np.clip(start.astype(float), 0.02, 0.98)
         self.prior = float(np.clip((weight * p).sum() / weight.sum(), 0.002, 0.998))
         base = np.log(self.prior / (1 - self.prior))
+        n = weight @ v
+        seed = ((weight * p) @ v + 2 * self.prior) / (n + 2)  # smoothed once; later rounds are drawn to this, not to the prior
         for _ in range(rounds):
-            n = weight @ v
-            self.accuracy = np.clip(((weight * p) @ v + 2 * self.prior) / (n + 2), 0.002, 0.998)
+            self.accuracy = np.clip(((weight * p) @ v + 4 * seed) / (n + 4), 0.002, 0.998)
             self.correlation = self._correlations(v[:, :-1], p, weight)
             w = np.log(self.accuracy / (1 - self.accuracy)) - base
             share = 1.0 / (1.0 + v[:, :-1] @ self.correlation)
