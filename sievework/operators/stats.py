@@ -10,9 +10,10 @@ PERCENTS = [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99, 100]
 
 
 def percentiles(column: str) -> Column:
-    """Exact percentiles, linear between neighbours, cut to whole numbers: map '0'..'100' to int (A3)."""
+    """Exact percentiles, linear between neighbours, cut to whole numbers (of which rounding in the
+    interpolation may leave a hair): map '0'..'100' to int (A3)."""
     values = F.percentile(column, F.array(*[F.lit(p / 100.0) for p in PERCENTS]))
-    return F.map_from_arrays(F.array(*[F.lit(str(p)) for p in PERCENTS]), F.transform(values, lambda x: x.cast("int")))
+    return F.map_from_arrays(F.array(*[F.lit(str(p)) for p in PERCENTS]), F.transform(values, lambda x: (x + 1e-6).cast("int")))
 
 
 def folder_stats(chunks: DataFrame, skipped: DataFrame, folder: str = "folder") -> DataFrame:

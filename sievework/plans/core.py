@@ -223,7 +223,7 @@ def t_frame(s, d):
     return c.select("doc_id", "chunk_no", F.col("len").cast("bigint").alias("len"), F.element_at("input_ids", 1).alias("first_id"), F.element_at("input_ids", -1).alias("last_id"), (total - 50281 - 50282).alias("body_sum"))
 
 
-@query("t_chunk_stats", plan_sql(126, 64, 16, True) + """SELECT source, count(*) AS chunks, sum(len)::BIGINT AS written, any_value(s)::BIGINT AS skipped, trunc(quantile_cont(len, 0.5))::INTEGER AS p50, trunc(quantile_cont(len, 0.99))::INTEGER AS p99
+@query("t_chunk_stats", plan_sql(126, 64, 16, True) + """SELECT source, count(*) AS chunks, sum(len)::BIGINT AS written, any_value(s)::BIGINT AS skipped, trunc(quantile_cont(len, 0.5) + 1e-6)::INTEGER AS p50, trunc(quantile_cont(len, 0.99) + 1e-6)::INTEGER AS p99
 FROM c JOIN (SELECT source, sum(skipped) AS s FROM p GROUP BY source) USING (source) GROUP BY source""")
 def t_chunk_stats(s, d):
     rule, n = ChunkRule(128, 64, 16, True), counts(s, d)
@@ -322,7 +322,7 @@ def a_token_totals(s, d):
     return counts(s, d).agg(F.sum("n").cast("bigint").alias("num_tokens"), F.sum(F.least("n", F.lit(1024))).cast("bigint").alias("num_truncated_tokens"))
 
 
-@query("a_percentiles", N + "SELECT source, " + ", ".join(f"trunc(quantile_cont(n, {p / 100}))::INTEGER AS p{p}" for p in stats.PERCENTS) + " FROM n GROUP BY source")
+@query("a_percentiles", N + "SELECT source, " + ", ".join(f"trunc(quantile_cont(n, {p / 100}) + 1e-6)::INTEGER AS p{p}" for p in stats.PERCENTS) + " FROM n GROUP BY source")
 def a_percentiles(s, d):
     p = counts(s, d).groupBy("source").agg(stats.percentiles("n").alias("p"))
     return p.select("source", *[F.col("p")[str(k)].alias(f"p{k}") for k in stats.PERCENTS])

@@ -9,7 +9,7 @@ import pytest
 
 from sievework.plans import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("SIEVEWORK_TEST_DATA", "/root/testdata/sf0.001")
 
 
 def same(mine, ref):
