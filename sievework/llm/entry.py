@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op5_topk": topk.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op9_licenses": licenses.oracle_sql()}

@@ -133,3 +133,28 @@ def scan(docs: DataFrame, threshold: float = 0.8, phrases: dict[str, str] | None
         F.array_join(F.array_sort(F.array_union("__base", more)), ",").alias("labels"),
         F.greatest(F.array_max("__share"), F.when(F.col("__n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
     )
+
+
+def oracle_sql(threshold: float = 0.8) -> str:
+    """DuckDB: places found in the word lists, and every line against every template, without filters."""
+    gap = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = lambda x: f"list_filter(string_split_regex({x}, '{gap}'), lambda x: x <> '')"
+    places = {k: f"list_filter(range(0, len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()})" for k, p in enumerate(PHRASES)}
+    labels = list(PHRASES.values())
+    templates = ", ".join(f"('{k}', {sorted(set(t.split()))})" for k, t in TEMPLATES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row_no, doc_id, {words(f"translate(text, '{upper}', '{upper.lower()}')")} AS w FROM d),
+p AS (SELECT row_no, doc_id, len(w) AS n_words, {", ".join(f"{x} AS p{k}" for k, x in places.items())} FROM w),
+b AS (SELECT *, list_sort(flatten([{", ".join(f"p{k}" for k in places)}])) AS spots, list_sort(list_distinct(flatten([{", ".join(f"CASE WHEN len(p{k}) > 0 THEN ['{labels[k]}'] ELSE [] END" for k in places)}]))) AS base FROM p),
+t(label, toks) AS (VALUES {templates}),
+l AS (SELECT row_no, unnest(string_split(text, chr(10))) AS line FROM d),
+s AS (SELECT row_no, list_distinct({words("lower(line)")}) AS ws FROM l),
+m AS (SELECT row_no, label, max(len(list_intersect(ws, toks)) / len(toks)::DOUBLE) AS share FROM s, t WHERE len(list_intersect(ws, toks)) >= ceil({threshold} * len(toks) - 1e-9) GROUP BY ALL),
+g AS (SELECT row_no, list(label) AS more, max(share) AS share FROM m GROUP BY row_no)
+SELECT doc_id, n_words::BIGINT AS n_words, len(spots)::BIGINT AS n_base, spots[1]::BIGINT AS first_word, spots[-1]::BIGINT AS last_word,
+  array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+  greatest(coalesce(share, 0), CASE WHEN len(spots) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM b LEFT JOIN g USING (row_no)
+"""
