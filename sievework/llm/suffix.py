@@ -15,7 +15,7 @@ from .common import NULL_ID, stored
 #: Bits of the fixed-size key filter (16 MB): keys seen twice set a bit, whatever the corpus.
 FILTER_BITS = 27
 #: Starts in a piece of a run, bytes of a collection, and runs of one key beyond which its runs are cut finer.
-PIECE, COLLECTION, HOT = 128, 4_000_000, 20_000
+PIECE, COLLECTION, HOT = 128, 600_000, 20_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
