@@ -15,7 +15,7 @@ from .common import NULL_ID, stored
 #: Bits of the fixed-size key filter (16 MB): keys seen twice set a bit, whatever the corpus.
 FILTER_BITS = 27
 #: Starts in a piece of a run, bytes of a collection, and runs of one key beyond which its runs are cut finer.
-PIECE, COLLECTION, HOT = 128, 600_000, 20_000
+PIECE, COLLECTION, HOT = 128, 1_000_000, 20_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -116,10 +116,11 @@ class Index:
             if len(d) and d.max() == 255:
                 raise ValueError("not UTF-8")
             back[: len(d), k] = d[::-1] + 1
-        self.bwt, self.lcp = f"{folder}/bwt", f"{folder}/lcp"
-        back[0].tofile(self.bwt)
-        np.zeros(m, kind).tofile(self.lcp)
-        self.kind, self.m = kind, m
+        # opened once and overwritten in place: closing a rewritten file would send it to the disk each round
+        self.bwt, self.lcp = (open(f"{folder}/{x}", "w+b", buffering=0) for x in ("bwt", "lcp"))  # noqa: SIM115
+        self.kind, self.m, self.n = kind, m, m
+        self._write(self.bwt, back[0])
+        self._write(self.lcp, np.zeros(m, kind))
         #: places of the transform by (byte, place), and how often each byte stands there
         self.sorted, self.counts = np.argsort(back[0], kind="stable").astype(np.int32), np.bincount(back[0], minlength=256)
         at = np.arange(m)  # place of each document's newest suffix, and that place's number in self.sorted
@@ -130,7 +131,7 @@ class Index:
             at, number = self._insert(at[:active], number[:active], back[j, :active])
 
     def _insert(self, at: np.ndarray, number: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b, lcp, order = np.fromfile(self.bwt, np.uint8), np.fromfile(self.lcp, self.kind), self.sorted
+        b, lcp, order = self._read(self.bwt, np.uint8), self._read(self.lcp, self.kind), self.sorted
         n, a = len(b), len(at)
         who = np.argsort(number)  # the newest suffixes by (byte before, place)
         k, p = number[who], at[who]
@@ -154,8 +155,9 @@ class Index:
         l2[follows[ok]] = down[ok]
         put = before[who]
         b2[new], l2[new] = put, up
-        b2.tofile(self.bwt)
-        l2.tofile(self.lcp)
+        self._write(self.bwt, b2)
+        self._write(self.lcp, l2)
+        self.n = n + a
         # the same for the places by (byte, place): old ones move up, new ones find theirs in their byte's part
         moved = np.flatnonzero(keep).astype(np.int32)[order]
         by = np.argsort(put, kind="stable")
@@ -176,6 +178,17 @@ class Index:
         at2[who], number2[who[by]] = new, spot
         return at2, number2
 
+    def _read(self, file, kind) -> np.ndarray:
+        file.seek(0)
+        return np.fromfile(file, kind, self.n)
+
+    @staticmethod
+    def _write(file, data: np.ndarray) -> None:
+        file.seek(0)
+        left = memoryview(np.ascontiguousarray(data)).cast("B")
+        while len(left):
+            left = left[file.write(left) :]
+
     @staticmethod
     def _least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, on: np.ndarray) -> np.ndarray:
         """Least of x[lo:hi] for each pair that is on."""
@@ -188,7 +201,9 @@ class Index:
 
     def repeated(self) -> list[np.ndarray]:
         """For each document, which starts have `cap` bytes in common with a neighbour in the index."""
-        lcp = np.fromfile(self.lcp, self.kind)
+        lcp = self._read(self.lcp, self.kind)
+        self.bwt.close()
+        self.lcp.close()
         flag = lcp >= self.cap
         flag[:-1] |= flag[1:]
         step = np.empty(len(flag), np.int64)
