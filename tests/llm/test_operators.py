@@ -89,6 +89,27 @@ def test_keep_one(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_keep_one_against_brute_force_jaccard(spark):
+    rnd = random.Random(11)
+    line = big(10, rnd)
+    docs = [big(300, rnd) + (" " + line) * 20 for _ in range(6)]  # unlike texts with one repeated line
+    for share in (0.005, 0.02, 0.022, 0.03, 0.05):  # near copies on both sides of 0.8
+        for _ in range(6):
+            base = big(rnd.choice((40, 200, 600)), rnd).split()
+            docs += [" ".join(base), " ".join("zz" + w if rnd.random() < share else w for w in base)]
+    docs = list(dict.fromkeys(docs))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert 5 < sum(r != i for i, r in enumerate(root)) < 25
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+
+
 # --- suffix index
 
 def brute_repeats(texts: list, n: int) -> list:

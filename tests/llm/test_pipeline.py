@@ -40,6 +40,17 @@ def near(docs):
     return [d for i, d in enumerate(docs) if d[0] == min(docs[k][0] for k in range(len(docs)) if root[k] == root[i])]
 
 
+def near_by_jaccard(docs):
+    sets = [set(simhash.shingles(t.encode(), 5)) for _, t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return [d for i, d in enumerate(docs) if d[0] == min(docs[k][0] for k in range(len(docs)) if root[k] == root[i])]
+
+
 def cut(docs, n=200):
     raw = [t.encode() for _, t in docs]
     c = Counter(hash(t[i : i + n]) for t in raw for i in range(len(t) - n + 1))
@@ -88,6 +99,17 @@ def test_pipeline_against_plain_stages(spark):
     assert got == {d: lib.encode(t, add_bos=True, add_eos=True) for d, t in docs}
 
 
+def test_pipeline_against_plain_stages_by_jaccard(spark):
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()}
+    docs = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()]
+    model = quality.fit(table(spark, DATA, "documents"), table(spark, DATA, "labels"), fold(F.col("doc_id"), 5) != 0)
+    docs = cut(near_by_jaccard([d for d in docs if votes(model, d[1]) >= corpus_pipeline.REJECT_BELOW]))
+    bench = [r.text for r in table(spark, DATA, "benchmark").collect()]
+    docs = [d for d in docs if not any(holds(d[1], b) for b in bench)]
+    lib = sp.SentencePieceProcessor(model_file=entry.piece_model())
+    assert got == {d: lib.encode(t, add_bos=True, add_eos=True) for d, t in docs}
+
+
 def test_stages_on_odd_tables(spark):
     """Nulls, empty texts, repeated rows, extra columns: every stage but the last keeps the columns."""
     rows = [(1, None), (2, ""), (None, "a b c"), (None, None), (3, "x " * 500), (3, "x " * 500)]
