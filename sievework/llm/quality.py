@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, labelled_sample
+from .common import add_columns, class_counts, labelled_sample
 
 #: Hash buckets of words and of form features.
 WORDS, FORMS = 1 << 14, 1 << 12
@@ -78,10 +78,11 @@ def features(text: str, forms: Forms) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Inverse document frequencies, the latent axes, and the labelled vectors with their labels."""
+    """Inverse document frequencies, the latent axes, and the labelled vectors with their labels and weights."""
 
-    def __init__(self, idf: np.ndarray, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int, power: float):
+    def __init__(self, idf: np.ndarray, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int, power: float, weights: np.ndarray | None = None):
         self.idf, self.axes, self.vectors, self.labels, self.k, self.power = idf, axes, vectors, labels, k, power
+        self.weights = np.ones(len(labels)) if weights is None else weights
 
     def project(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         out = np.zeros((len(rows), self.axes.shape[1]), np.float32)
@@ -91,7 +92,7 @@ class Model:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def score(self, x: np.ndarray, block: int = 256) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, each with its similarity's power as weight."""
+        """Share of label 1 among the nearest labelled vectors, each with its similarity's power times its own weight."""
         if not len(self.labels):
             return np.full(len(x), 0.5)
         k = min(self.k, len(self.labels))
@@ -99,7 +100,7 @@ class Model:
         for a in range(0, len(x), block):
             cos = x[a : a + block] @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(float), 1e-6) ** self.power
+            w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(float), 1e-6) ** self.power * self.weights[near]
             out[a : a + block] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
 
@@ -109,7 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 15
 
     Both the sample and the broadcast model are bounded: 2 * per_class vectors of `rank` numbers and
     WORDS + FORMS axis rows.  Features are taken on the executors; the driver only sees their numbers.
+    Votes are weighted back to the natural counts of the labels, so that scores do not depend on the bound.
     """
+    natural = class_counts(labels, label, allowed)
     sample = labelled_sample(docs, labels, label, allowed, per_class)
 
     def take(batches):
@@ -129,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 15
     if not rows:
         return Model(idf, np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k, power)
     axes = _axes(rows, idf, size, rank)
-    model = Model(idf, axes, np.zeros((0, 1), np.float32), got["label"].to_numpy(float), k, power)
+    weights = np.array([natural[y] / min(natural[y], per_class) for y in got["label"]])
+    model = Model(idf, axes, np.zeros((0, 1), np.float32), got["label"].to_numpy(float), k, power, weights)
     model.vectors = model.project(rows)
     return model
 

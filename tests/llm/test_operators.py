@@ -276,6 +276,17 @@ def test_learned_operators_on_odd_tables(spark, odd):
     assert toxicity.add_score(odd, toxicity.fit(odd, none, every), ["doc_id"]).count() == odd.count()
 
 
+def test_quality_score_does_not_depend_on_the_sample_bound(spark):
+    """Texts that tell nothing of their label score its natural share, however many rows of either label vote."""
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(i, big(30, rnd)) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(700)], "doc_id long, quality int")
+    new = docs.where("doc_id >= 700")
+    for most in (1500, 100):
+        got = quality.add_score(new, quality.fit(docs, labels, F.lit(True), per_class=most), ["doc_id"]).agg(F.avg("score")).first()[0]
+        assert abs(got - 6 / 7) < 0.06, most
+
+
 def test_language_mixture(spark, odd):
     rnd = random.Random(7)
     word = {"aa": lambda: "".join(rnd.choice("abcde") for _ in range(5)), "zz": lambda: "".join(rnd.choice("vwxyz") for _ in range(5))}
