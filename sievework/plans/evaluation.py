@@ -211,6 +211,16 @@ def r_cosine_topk(s, d):
     return c.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 
 
+@query("r_cosine_topk_all", f"WITH e AS ({VEC}), c AS (SELECT q.vec_id AS query_id, e.vec_id, round({COS.format('q.v', 'e.v')}, 9) AS sim FROM e JOIN e q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, vec_id, sim, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM c) WHERE r <= 5")
+def r_cosine_topk_all(s, d):
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    q = q.repartition(-(-q.count() // 1000) or 1)  # blocks of 1,000 or so meet every part of the rows; nothing is broadcast
+    c = e.join(q.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("qv"), F.col("v")), 9).alias("sim"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+
+
 TRIPLETS = f"WITH e AS ({VEC}), t AS (SELECT a.v AS a, p.v AS p, n.v AS n FROM e a JOIN e p ON p.vec_id = a.vec_id + 1 JOIN e n ON n.vec_id = a.vec_id + 2) "
 
 

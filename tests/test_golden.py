@@ -111,3 +111,11 @@ def test_native_plans_hold_no_python(spark):
     df = spark.createDataFrame([("a", "x y z")], "doc_id string, text string")
     plan = tokens.encode(df, tokens.vocabulary(df))._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_cosine_search_takes_every_hundredth_row(spark):
+    from sievework.plans import catalog
+
+    out = catalog.QUERIES["r_cosine_topk_all"](spark, "/root/testdata/sf0.01").groupBy("query_id").count().collect()
+    ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 100 = 0").collect()]
+    assert sorted(r.query_id for r in out) == sorted(ids) and {r["count"] for r in out} == {5}
