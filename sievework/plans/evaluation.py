@@ -196,6 +196,12 @@ def f_softmax(s, d):
     return table(s, d, "embeddings").select("vec_id", F.round(F.array_max(bias.softmax(v)), 9).alias("top"))
 
 
+@query("f_softmax_whole", "WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM l) SELECT vec_id, round(list_max(e) / list_sum(e), 9) AS top FROM e")
+def f_softmax_whole(s, d):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return table(s, d, "embeddings").select("vec_id", F.round(F.array_max(bias.softmax(v)), 9).alias("top"))
+
+
 # --- group 8: retrieval
 
 COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"

@@ -119,3 +119,15 @@ def test_cosine_search_takes_every_hundredth_row(spark):
     out = catalog.QUERIES["r_cosine_topk_all"](spark, "/root/testdata/sf0.01").groupBy("query_id").count().collect()
     ids = [r.vec_id for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id % 100 = 0").collect()]
     assert sorted(r.query_id for r in out) == sorted(ids) and {r["count"] for r in out} == {5}
+
+
+def test_softmax_takes_whole_vectors(spark):
+    import math
+
+    from sievework.plans import catalog
+
+    path = "/root/testdata/sf0.001"
+    got = {r.vec_id: r.top for r in catalog.QUERIES["f_softmax_whole"](spark, path).collect()}
+    for r in spark.read.parquet(f"{path}/embeddings.parquet").collect():
+        e = [math.exp(x - max(r.embedding)) for x in r.embedding]
+        assert abs(got[r.vec_id] - max(e) / sum(e)) < 1e-6
