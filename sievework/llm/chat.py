@@ -43,6 +43,23 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), null.cast("string").alias("ref"), null.cast("int").alias("width"), null.cast("int").alias("height"), null.cast("double").alias("seconds"), null.cast("int").alias("pages")))
 
 
+def _is_text(part: Column) -> Column:
+    return part["kind"].isNull() | ~part["kind"].isin(*TOKENS)
+
+
+def _content(parts: Column) -> Column:
+    """All parts visited and joined.  Text parts next to each other, empty ones left out, are escaped as one text:
+    where one ends with `<` and the next begins with `|`, the backslash goes between them."""
+    some = F.filter(parts, lambda p: ~(_is_text(p) & (F.coalesce(p["text"], F.lit("")) == "")))
+
+    def seam(part: Column, i: Column) -> Column:
+        before = F.get(some, i - 1)
+        forged = _is_text(part) & _is_text(before) & F.endswith(before["text"], F.lit("<")) & F.startswith(part["text"], F.lit("|"))
+        return F.concat(F.when((i > 0) & forged, F.lit("\\")).otherwise(F.lit("")), _visit(part))
+
+    return F.coalesce(F.array_join(F.transform(some, seam), ""), F.lit(""))
+
+
 def _visit(part: Column) -> Column:
     """The placeholder or the escaped text of a part; an unknown or null kind with a text counts as text."""
     out = escape(F.coalesce(part["text"], F.lit("")))
@@ -74,7 +91,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.struct(
             F.col(f"`{turn}`").alias("turn"),
             F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"),
-            F.coalesce(F.array_join(F.transform(F.col(f"`{parts}`"), _visit), ""), F.lit("")).alias("content"),
+            _content(F.col(f"`{parts}`")).alias("content"),
             F.coalesce(F.filter(F.transform(F.col(f"`{parts}`"), lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["kind"].isin(*TOKENS)), F.array().cast("array<struct<part: int, kind: string, ref: string, tokens: bigint>>")).alias("files"),
         ).alias("t"),
     )

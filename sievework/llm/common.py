@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder; a local one only in local mode (tests), elsewhere it must be set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievework-ckpt-"))
     return named or sc.getCheckpointDir()
 
@@ -40,6 +44,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, as a reused Python worker would keep it from task to task."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id's decimal text modulo k (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)
@@ -76,54 +92,83 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     return docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", "text", "label")
 
 
-def text_blocks(texts: list, most: int) -> Iterator[list]:
-    """Slices of a list of texts that hold about `most` characters (one text at least)."""
+def text_slices(column, most: int) -> Iterator[tuple[int, int]]:
+    """(offset, rows) of slices of an Arrow string or binary column that hold about `most` bytes (one text at least)."""
+    import pyarrow.compute as pc
+
     start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
+    for k, n in enumerate(pc.binary_length(column).to_pylist()):
+        size += n or 0
         if size >= most:
-            yield texts[start : k + 1]
+            yield start, k + 1 - start
             start, size = k + 1, 0
-    if start < len(texts):
-        yield texts[start:]
+    if start < len(column):
+        yield start, len(column) - start
+
+
+def _packed(docs: DataFrame, keep: list[str], text: Column) -> DataFrame:
+    """All kept columns as one struct (so that no name can clash) beside the text.
+
+    A struct needs a field: a constant stands in where nothing is kept.
+    """
+    fields = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)] or [F.lit(0).alias("none")]
+    return docs.select(F.struct(*fields).alias("kept"), text.alias("text"))
+
 
+def _unpacked(keep: list[str]) -> list[Column]:
+    return [F.col("kept").getField(f"c{k}").alias(c) for k, c in enumerate(keep)]
 
-def add_columns(docs: DataFrame, keep: list[str], fields: str, make: Callable[[], Callable[[list], list]], text: str = "text", binary: bool = False, block_chars: int = 4_000_000) -> DataFrame:
+
+def add_columns(docs: DataFrame, keep: list[str], fields: str, make: Callable[[], Callable[[list], list]], text: str = "text", binary: bool = False, block_bytes: int = 1_000_000) -> DataFrame:
     """The columns `keep` unchanged and new ones computed from whole texts, block by block.
 
     make() runs once for each task and gives a function from a list of texts (null: empty) to one list or
     array for each new column.  Kept columns pass through as Arrow arrays, so nulls and large integers
-    stay exact.  No shuffle; rows keep their number.
+    stay exact; a new column takes the place of a kept one of its name.  No shuffle; rows keep their
+    number.  A block holds about block_bytes bytes of text, or one text.
     """
-    hidden = "__whole_text"
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary" if binary else "string").alias(hidden))
     new = T.StructType.fromDDL(fields)
-    out = T.StructType([f for f in src.schema.fields if f.name != hidden] + new.fields)
+    names = {f.name for f in new.fields}
+    keep = [c for c in keep if c not in names]
+    src = _packed(docs, keep, F.col(f"`{text}`").cast("binary" if binary else "string"))
+    made = T.StructType([T.StructField(f"n{k}", f.dataType) for k, f in enumerate(new.fields)])
+    out = T.StructType([src.schema["kept"], T.StructField("made", made)])
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
         work, empty = make(), b"" if binary else ""
-        kinds = [to_arrow_type(f.dataType) for f in new.fields]
-        for b in batches:
-            texts = [empty if t is None else t for t in b.column(b.num_columns - 1).to_pylist()]
-            parts = [work(block) for block in text_blocks(texts, block_chars)]
-            columns = [pa.array([x for p in parts for x in p[k]], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(b.num_columns - 1)] + columns, names=out.names)
-
-    return src.mapInArrow(run, out)
-
-
-def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
+        kinds = [to_arrow_type(f.dataType) for f in made.fields]
+        try:
+            for b in batches:
+                for at, n in text_slices(b.column(1), block_bytes):
+                    part = b.slice(at, n)
+                    got = work([empty if t is None else t for t in part.column(1).to_pylist()])
+                    columns = [pa.array(x, kind) for x, kind in zip(got, kinds)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.StructArray.from_arrays(columns, names=made.names)], names=["kept", "made"])
+        finally:
+            del work
+            tidy()
+
+    return src.mapInArrow(run, out).select(*_unpacked(keep), *[F.col("made").getField(f"n{k}").alias(f.name) for k, f in enumerate(new.fields)])
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text", block_bytes: int = 1_000_000) -> DataFrame:
     """The rows, all columns, for whose text the function that make() gives says True (null text: None)."""
-    src = docs.withColumn("__whole_text", F.col(f"`{text}`"))
+    src = _packed(docs, docs.columns, F.col(f"`{text}`"))
 
     def run(batches):
         import pyarrow as pa
 
         work = make()
-        for b in batches:
-            yield b.filter(pa.array(work(b.column(b.num_columns - 1).to_pylist()), pa.bool_()))
-
-    return src.mapInArrow(run, src.schema).drop("__whole_text")
+        try:
+            for b in batches:
+                for at, n in text_slices(b.column(1), block_bytes):
+                    part = b.slice(at, n)
+                    yield part.filter(pa.array(work(part.column(1).to_pylist()), pa.bool_())).select(["kept"])
+        finally:
+            del work
+            tidy()
+
+    return src.mapInArrow(run, T.StructType([src.schema["kept"]])).select(*_unpacked(docs.columns))

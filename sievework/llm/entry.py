@@ -65,7 +65,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), threshold=0.8, windows=True)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, class_counts, labelled_sample
+from .common import add_columns, class_counts, keep_rows, labelled_sample
 
 #: Hash buckets of words and of form features.
 WORDS, FORMS = 1 << 14, 1 << 12
@@ -26,13 +26,13 @@ def _form(word: str) -> str:
     """Small letters as a, capitals as A, digits as 0, runs of one sign shortened: 'Thndou***' is 'Aa*'."""
     if word.isalpha():
         return "a" if word.islower() else "A" if word.isupper() else "Aa" if word[1:].islower() else "aA"
-    return _RUN.sub(r"\1", "".join(["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word[:40]]))
+    return _RUN.sub(r"\1", "".join(["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word]))
 
 
 class Forms(dict):
     """Word to the numbers of its two features in one integer; emptied when it holds `most` words."""
 
-    most = 300_000
+    most = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
@@ -95,12 +95,14 @@ class Model:
         """Share of label 1 among the nearest labelled vectors, each with its similarity's power times its own weight."""
         if not len(self.labels):
             return np.full(len(x), 0.5)
-        k = min(self.k, len(self.labels))
+        n = len(self.labels)
+        k = min(self.k, n)
         out = np.empty(len(x))
         for a in range(0, len(x), block):
-            cos = x[a : a + block] @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1).astype(float), 1e-6) ** self.power * self.weights[near]
+            # whole billionths, so that the shape of a block cannot tell; of equal ones the vector with the smaller number is nearer
+            cos = np.rint(x[a : a + block].astype(float) @ self.vectors.T.astype(float) * 1e9).astype(np.int64)
+            near = np.sort(np.argpartition(np.arange(n) - cos * n, k - 1, axis=1)[:, :k], axis=1)
+            w = np.maximum(np.take_along_axis(cos, near, axis=1) * 1e-9, 1e-6) ** self.power * self.weights[near]
             out[a : a + block] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
 
@@ -110,6 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 15
 
     Both the sample and the broadcast model are bounded: 2 * per_class vectors of `rank` numbers and
     WORDS + FORMS axis rows.  Features are taken on the executors; the driver only sees their numbers.
+    Rows without id, label or text (an empty one) follow labelled_sample(); repeated ids of `docs` vote once
+    for each row; with no labelled row every score is 0.5.  Extra columns are not looked at.
     Votes are weighted back to the natural counts of the labels, so that scores do not depend on the bound.
     """
     natural = class_counts(labels, label, allowed)
@@ -173,7 +177,10 @@ def _axes(rows: list, idf: np.ndarray, size: int, rank: int) -> np.ndarray:
 def add_score(docs: DataFrame, model: Model, keep: list[str], name: str = "score", block: int = 1024) -> DataFrame:
     """The columns `keep` of `docs` and a score from 0 to 1 of each whole text, called `name`.
 
-    Null and empty texts are scored alike, by their one feature.  Rows keep their number; no shuffle.
+    Null and empty texts are scored alike, by their one feature; very long ones are scored whole, a block of
+    texts holding at least one.  Repeated rows get equal scores, null ids stay, a kept column called `name`
+    is replaced, an empty table gives an empty result.  Of equally near vectors that with the smaller id
+    votes.  Rows keep their number; no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -186,3 +193,19 @@ def add_score(docs: DataFrame, model: Model, keep: list[str], name: str = "score
         return run
 
     return add_columns(docs, keep, f"`{name}` double", make)
+
+
+def accepted(docs: DataFrame, model: Model, least: float, block: int = 1024) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is `least` or more; ties and odd rows as in add_score()."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        forms, m = Forms(), shared.value
+
+        def run(texts):
+            rows = [features(t or "", forms) for t in texts]
+            return np.concatenate([m.score(m.project(rows[a : a + block])) for a in range(0, len(rows), block)]) >= least
+
+        return run
+
+    return keep_rows(docs, make)

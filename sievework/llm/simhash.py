@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, add_columns, cut
 from .graph import connected_components
 
-#: Fewest fingerprints in a block of the comparison grid, and the number of blocks beyond which blocks grow instead.
-BLOCK_ROWS, GRID = 8_192, 48
+#: Fewest and most fingerprints in a block of the comparison grid, and the number of blocks a small table is cut into.
+#: A block is at most 4 MB in a task; a larger table has more of them.
+BLOCK_ROWS, MOST_ROWS, GRID = 8_192, 131_072, 48
 #: keep_one() looks at pairs that differ in at most so many of the first 64 and of all 192 bits.  Sets of equal
 #: size at Jaccard 0.8 differ in 10 (standard deviation 3) and 29 (5) on average, unrelated ones in 32 and 96.
 NEAR, NEAR_ALL = 25, 58
@@ -104,62 +105,63 @@ def components(fps: DataFrame, radius: int = 4, total_radius: int | None = None,
     bits in fp and more together besides, and the classes are those of the distinct sid: (sid, root).
 
     Every pair of distinct fingerprints is compared, but for blocks and tiles whose population counts
-    alone prove a greater distance.  The fingerprints, sorted by population count, are cut into blocks;
-    a block pair is one group of two packed blocks.  A block is sent to at most `grid` (and a few) block
-    pairs whatever the table's size, as blocks grow with it.  Each pair sends back a
-    spanning forest of its links, so a dense group gives no more rows than it has members.
+    alone prove a greater distance.  The fingerprints, sorted by population count, are cut into blocks of
+    at most MOST_ROWS; a block pair is one group of two packed blocks, and a larger table has more of
+    them.  Blocks whose population counts are near have neighbouring numbers, so a block's partners are a
+    range of numbers, which the executors enumerate.  Each pair sends back a spanning forest of its links,
+    so a dense group gives no more rows than it has members.
     """
     wide = total_radius is not None
     key = "sid" if wide else "fp"
     distinct = cut(fps.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("more").alias("more")) if wide else fps.select("fp").distinct())
     spark = distinct.sparkSession
-    counts = {r.pc: r.n for r in distinct.groupBy(F.bit_count("fp").alias("pc")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65 rows
-    total = sum(counts.values())
-    size = max(block_rows, -(-total // grid))
-    blocks: list[tuple[int, int]] = []  # range of population counts
-    first: dict[int, tuple[int, int]] = {}  # population count: its first block and its number of blocks
-    have = size
-    for pc in sorted(counts):
-        parts = -(-counts[pc] // size)
-        if parts == 1 and have + counts[pc] <= size and blocks:
-            blocks[-1] = (blocks[-1][0], pc)
-            have += counts[pc]
-            first[pc] = (len(blocks) - 1, 1)
-        else:
-            first[pc] = (len(blocks), parts)
-            blocks += [(pc, pc)] * parts
-            have = counts[pc] if parts == 1 else size
-    pairs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if blocks[j][0] - blocks[i][1] <= radius]
-    where: dict[int, list[tuple[int, bool]]] = {i: [] for i in range(len(blocks))}
-    for k, (i, j) in enumerate(pairs):
-        where[i].append((k, False))
-        if j != i:
-            where[j].append((k, True))
-    plan = spark.createDataFrame(  # as many rows as blocks, whose number is bounded by the grid
-        [(pc, s, b + s, where[b + s]) for pc, (b, n) in first.items() for s in range(n)],
-        "pc int, part int, block int, pair array<struct<id: int, other: boolean>>",
-    )
-    parts = F.create_map(*[F.lit(x) for pc, (_, n) in first.items() for x in (pc, n)]) if first else None
-    if parts is None:
+    counts = {r.pc: r.n for r in distinct.groupBy(F.bit_count("fp").cast("int").alias("pc")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65 rows
+    if not counts:
         return distinct.select(key, F.col(key).alias("root"))
-    placed = distinct.withColumn("pc", F.bit_count("fp").cast("int")).withColumn("part", F.pmod(F.xxhash64(key), F.try_element_at(parts, F.col("pc"))).cast("int")).join(F.broadcast(plan), ["pc", "part"])
+    plan, pairs = _block_plan(counts, radius, min(max(block_rows, -(-sum(counts.values()) // grid)), max(block_rows, MOST_ROWS)))
+    small = spark.createDataFrame(plan, "pc int, first long, parts long, begin long, last long")  # at most 65 rows
+    placed = distinct.withColumn("pc", F.bit_count("fp").cast("int")).join(F.broadcast(small), "pc").withColumn("block", F.col("first") + F.pmod(F.xxhash64(key), F.col("parts")))
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "fps": [_matrix(pdf).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "begin": [key[1]], "last": [key[2]], "fps": [_matrix(pdf).tobytes()]})
 
     # a block travels as one binary row to each of its pairs
-    packed = placed.select("block", *distinct.columns).groupBy("block").applyInPandas(pack, "block int, fps binary")
-    sent = packed.join(F.broadcast(plan.select("block", "pair").dropDuplicates(["block"])), "block").select("fps", F.explode("pair").alias("pair")).select("fps", "pair.id", "pair.other")
+    packed = placed.select("block", "begin", "last", *distinct.columns).groupBy("block", "begin", "last").applyInPandas(pack, "block long, begin long, last long, fps binary")
+    here = F.col("block")
+    ahead = F.transform(F.sequence(here, "last"), lambda j: F.struct(here.alias("i"), j.alias("j"), F.lit(False).alias("other")))
+    behind = F.when(F.col("begin") < here, F.transform(F.sequence("begin", here - 1), lambda i: F.struct(i.alias("i"), here.alias("j"), F.lit(True).alias("other"))))
+    sent = packed.select("fps", F.explode(F.concat(ahead, F.coalesce(behind, F.array().cast("array<struct<i: bigint, j: bigint, other: boolean>>")))).alias("pair")).select("fps", "pair.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         side = {bool(o): np.frombuffer(x, np.int64).reshape(-1, 4 if wide else 1) for o, x in zip(pdf["other"], pdf["fps"])}
         return pd.DataFrame(forest(side[False], side.get(True), radius, total_radius), columns=["u", "v"])
 
-    edges = sent.repartition(max(1, len(pairs)), "id").groupBy("id").applyInPandas(compare, "u long, v long")
+    edges = sent.repartition(min(max(1, pairs), 100_000), "i", "j").groupBy("i", "j").applyInPandas(compare, "u long, v long")
     roots = connected_components(edges)
     return distinct.join(roots.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 
+def _block_plan(counts: dict[int, int], radius: int, size: int) -> tuple[list[tuple], int]:
+    """(pc, first, parts, begin, last) for each population count, and the number of block pairs.
+
+    Rows of a population count lie in `parts` blocks from number `first`; small counts next to each other
+    share a block.  Blocks from `begin` to `last` may hold a fingerprint within the radius.
+    """
+    spans: list[list] = []  # first block, blocks, least and greatest population count, rows
+    at: dict[int, int] = {}
+    for pc in sorted(counts):
+        if spans and spans[-1][1] == 1 and spans[-1][4] + counts[pc] <= size:
+            spans[-1][3:] = [pc, spans[-1][4] + counts[pc]]
+        else:
+            start = spans[-1][0] + spans[-1][1] if spans else 0
+            spans.append([start, -(-counts[pc] // size), pc, pc, counts[pc]])
+        at[pc] = len(spans) - 1
+    begin = [min(t[0] for t in spans if s[2] - t[3] <= radius) for s in spans]
+    last = [max(t[0] + t[1] - 1 for t in spans if t[2] - s[3] <= radius) for s in spans]
+    pairs = sum((e - s[0] + 1) * s[1] - s[1] * (s[1] - 1) // 2 for s, e in zip(spans, last))
+    return [(pc, spans[k][0], spans[k][1], begin[k], last[k]) for pc, k in at.items()], pairs
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     fp = pdf["fp"].to_numpy(np.int64)[:, None]
     if "more" not in pdf:
@@ -326,22 +328,25 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
 
     Null ids come last, and of rows with one id in one class that with the smaller text hash stays.  Only
     ids, hashes and fingerprints, and one text of each proposed member, take part in the classes; texts are
-    shuffled to meet the keys of the members and of those that stay.
+    shuffled to meet the keys of the members and of those that stay.  Texts without words have the empty set
+    and are one class; of equal ids the tie goes to the smaller text hash; very long texts are whole; an
+    empty table gives an empty result; columns of any other name pass through.
     """
     i, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64(F.lit("row"), "text")
     fps = cut(add_fingerprint(docs.select("doc_id", "text", th.alias("th")), shingle, ["doc_id", "th"], wide=True))
     proposed = cut(components(fps, NEAR, NEAR_ALL))
     several = proposed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     one = fps.groupBy("sid").agg(F.min(F.struct(i.alias("i"), "th")).alias("s"))
-    members = cut(one.join(proposed.join(several, "root"), "sid").select("sid", "root", F.col("s.i").alias("__i"), F.col("s.th").alias("__th")))
-    texts = docs.select(i.alias("__i"), th.alias("__th"), F.col("text").cast("binary").alias("text")).join(members, ["__i", "__th"]).select("sid", "root", "text")
+    members = cut(one.join(proposed.join(several, "root"), "sid").select("sid", "root", F.col("s.i").alias("i"), F.col("s.th").alias("th")))
+    texts = docs.select(i.alias("i"), th.alias("th"), F.col("text").cast("binary").alias("text")).join(members, ["i", "th"]).select("sid", "root", "text")
     settled = exact_classes(texts, shingle, similarity)
     classes = cut(fps.select("sid").distinct().join(settled, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root")))
     cand = with_component(fps, fps, classes, "sid").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     same = cand.groupBy("root", "th").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"))
-    stay = cut(same.groupBy("root").agg(F.min(F.struct("th", "n", "doc_id")).alias("s")).select(F.coalesce("s.doc_id", F.lit(NULL_ID)).alias("__i"), F.col("s.th").alias("__th"), F.col("s.n").alias("n")))
+    stay = cut(same.groupBy("root").agg(F.min(F.struct("th", "n", "doc_id")).alias("s")).select(F.coalesce("s.doc_id", F.lit(NULL_ID)).alias("i"), F.col("s.th").alias("th"), F.col("s.n").alias("n")))
     again = stay.where("n > 1").limit(1).count()
-    out = docs.withColumn("__i", i).withColumn("__th", th).join(stay.select("__i", "__th"), ["__i", "__th"], "left_semi")
+    whole = docs.select(i.alias("i"), th.alias("th"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("kept"))
+    out = whole.join(stay.select("i", "th"), ["i", "th"], "left_semi")
     if again:  # the very row comes more than once
-        out = out.dropDuplicates(["__i", "__th"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["i", "th"])
+    return out.select(*[F.col("kept").getField(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -247,12 +247,12 @@ def decode(model: BpeModel, ids: np.ndarray) -> str:
     return raw.decode("utf-8", errors="replace")
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1_000_000) -> DataFrame:
     """(id, ids array<int>, decoded string): every whole text encoded, then decoded again from its ids.
 
     A null text counts as empty; rows keep their number, repeated rows and null ids included; an empty
     table gives an empty result; other columns are left out (id_col must not be called ids or decoded).  No shuffle; memory is bounded by
-    block_chars characters (or one text).
+    block_chars bytes (or one text).
     """
 
     def make():
@@ -264,11 +264,15 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
         return run
 
-    return add_columns(docs, [id_col], "ids array<int>, decoded string", make, text_col, block_chars=block_chars)
+    return add_columns(docs, [id_col], "ids array<int>, decoded string", make, text_col, block_bytes=block_chars)
 
 
-def digest_documents(docs: DataFrame, model_path: str, block_chars: int = 4_000_000) -> DataFrame:
-    """The digests of encode_documents' output, taken in the same pass so that no id array leaves the worker."""
+def digest_documents(docs: DataFrame, model_path: str, block_chars: int = 1_000_000) -> DataFrame:
+    """The digests of encode_documents' output, taken in the same pass so that no id array leaves the worker.
+
+    Null and empty texts have the begin and end ids alone; very long ones are a block of their own; repeated
+    rows and null ids stay, extra columns are left out, an empty table gives an empty result.
+    """
 
     def make():
         model = load(model_path)
@@ -280,11 +284,14 @@ def digest_documents(docs: DataFrame, model_path: str, block_chars: int = 4_000_
 
         return run
 
-    return add_columns(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make, block_chars=block_chars)
+    return add_columns(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", make, block_bytes=block_chars)
 
 
-def encode_rows(docs: DataFrame, model_path: str, block_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, n_tokens, ids, exact): the ids of every whole text, and whether their decoding equals it."""
+def encode_rows(docs: DataFrame, model_path: str, block_chars: int = 1_000_000) -> DataFrame:
+    """(doc_id, n_tokens, ids, exact): the ids of every whole text, and whether their decoding equals it.
+
+    Odd rows as in digest_documents().
+    """
 
     def make():
         model = load(model_path)
@@ -295,4 +302,4 @@ def encode_rows(docs: DataFrame, model_path: str, block_chars: int = 4_000_000)
 
         return run
 
-    return add_columns(docs, ["doc_id"], "n_tokens long, ids array<int>, exact boolean", make, block_chars=block_chars)
+    return add_columns(docs, ["doc_id"], "n_tokens long, ids array<int>, exact boolean", make, block_bytes=block_chars)

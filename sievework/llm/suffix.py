@@ -6,16 +6,19 @@ import hashlib
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, stored
+from .common import NULL_ID, stored, text_slices, tidy
 
 #: Bits of the fixed-size key filter (16 MB): keys seen twice set a bit, whatever the corpus.
 FILTER_BITS = 27
 #: Starts in a piece of a run, bytes of a collection, and runs of one key beyond which its runs are cut finer.
+#: HOT changes how keys are cut, not what is found: finer keys are equal for equal strings too.
 PIECE, COLLECTION, HOT = 128, 1_000_000, 20_000
+#: Bytes of text whose snippets are collapsed before they are sent.
+SENT = 4_000_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -100,8 +103,8 @@ class Index:
 
     Round j puts in the suffix of j bytes of every document that has so many, at the place that the
     ranks of its first byte give; the transform and the (capped) common prefixes of neighbours are read
-    and written anew as whole sequential files each round.  Bytes are shifted by one, 0 ends a document;
-    0xFF, which UTF-8 never has, is not supported.
+    and written anew as whole sequential files each round.  Bytes are shifted by one, 0 ends a document.
+    Where a document holds 0xFF, which UTF-8 never has, symbols take two bytes.
     """
 
     def __init__(self, docs: list[bytes], cap: int, folder: str):
@@ -110,19 +113,18 @@ class Index:
         self.cap = cap
         kind = np.uint8 if cap < 255 else np.uint16
         m, rounds = len(docs), int(self.size.max(initial=0))
-        back = np.zeros((rounds + 1, m), np.uint8)  # back[j]: the byte before the suffix of j bytes
+        self.symbol, self.symbols = (np.uint16, 257) if any(b"\xff" in d for d in docs) else (np.uint8, 256)
+        back = np.zeros((rounds + 1, m), self.symbol)  # back[j]: the byte before the suffix of j bytes
         for k, i in enumerate(self.order):
             d = np.frombuffer(docs[i], np.uint8)
-            if len(d) and d.max() == 255:
-                raise ValueError("not UTF-8")
-            back[: len(d), k] = d[::-1] + 1
+            back[: len(d), k] = d[::-1].astype(self.symbol) + 1
         # opened once and overwritten in place: closing a rewritten file would send it to the disk each round
         self.bwt, self.lcp = (open(f"{folder}/{x}", "w+b", buffering=0) for x in ("bwt", "lcp"))  # noqa: SIM115
         self.kind, self.m, self.n = kind, m, m
         self._write(self.bwt, back[0])
         self._write(self.lcp, np.zeros(m, kind))
         #: places of the transform by (byte, place), and how often each byte stands there
-        self.sorted, self.counts = np.argsort(back[0], kind="stable").astype(np.int32), np.bincount(back[0], minlength=256)
+        self.sorted, self.counts = np.argsort(back[0], kind="stable").astype(np.int32), np.bincount(back[0], minlength=self.symbols)
         at = np.arange(m)  # place of each document's newest suffix, and that place's number in self.sorted
         number = np.empty(m, np.int64)
         number[self.sorted] = at
@@ -131,7 +133,7 @@ class Index:
             at, number = self._insert(at[:active], number[:active], back[j, :active])
 
     def _insert(self, at: np.ndarray, number: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b, lcp, order = self._read(self.bwt, np.uint8), self._read(self.lcp, self.kind), self.sorted
+        b, lcp, order = self._read(self.bwt, self.symbol), self._read(self.lcp, self.kind), self.sorted
         n, a = len(b), len(at)
         who = np.argsort(number)  # the newest suffixes by (byte before, place)
         k, p = number[who], at[who]
@@ -146,7 +148,7 @@ class Index:
         down = np.where(has_right, np.minimum(1 + self._least(ext, p + 1, right + 1, has_right), self.cap), 0)
         keep = np.ones(n + a, bool)
         keep[new] = False
-        b2, l2 = np.empty(n + a, np.uint8), np.empty(n + a, self.kind)
+        b2, l2 = np.empty(n + a, self.symbol), np.empty(n + a, self.kind)
         b2[keep], l2[keep] = b, lcp
         # an old suffix that now follows a new one shares `down` bytes with it
         follows = new + 1
@@ -173,7 +175,7 @@ class Index:
         keep[spot] = False
         self.sorted = np.empty(n + a, np.int32)
         self.sorted[keep], self.sorted[spot] = moved, q
-        self.counts = self.counts + np.bincount(s, minlength=256)
+        self.counts = self.counts + np.bincount(s, minlength=self.symbols)
         at2, number2 = np.empty(a, np.int64), np.empty(a, np.int64)
         at2[who], number2[who[by]] = new, spot
         return at2, number2
@@ -258,9 +260,11 @@ def _finer(data: np.ndarray, length: int, key: int) -> list[tuple[int, int, int]
 def decide(rows: list[tuple], length: int) -> list[tuple[int, int, bytes]]:
     """(key, snippet id, packed bits of its repeated starts) for snippets (key, id, copies, starts, bytes).
 
-    Rows of one key are all here, with their bytes unless the key has but one.  A key with one snippet needs no comparison: its copies repeat it.
-    Starts whose whole string no other start can equal, by a hash of the string, are cut off; what
-    remains is collapsed and indexed, and the common prefixes in the index decide.
+    All snippets of a key are here, each once, with the number of its copies (compared byte by byte).  The
+    copies of a snippet repeat each other; whether its starts repeat in other snippets, or in itself, the
+    common prefixes of the index decide.  Only a snippet that is the one of its key and has copies needs
+    no index.  Starts whose hash of the whole string comes but once (so that no string can equal theirs)
+    are cut off before.
     """
     out, several = [], []
     at = 0
@@ -268,14 +272,10 @@ def decide(rows: list[tuple], length: int) -> list[tuple[int, int, bytes]]:
         end = at
         while end < len(rows) and rows[end][0] == rows[at][0]:
             end += 1
-        if end - at == 1:
-            key, sid, copies, n, text = rows[at]
-            if copies > 1:
-                out.append((key, sid, np.packbits(np.ones(n, bool)).tobytes()))
-            if copies > 1 or text is None:
-                at = end
-                continue
-        several += rows[at:end]
+        if end - at == 1 and rows[at][2] > 1:
+            out.append((rows[at][0], rows[at][1], np.packbits(np.ones(rows[at][3], bool)).tobytes()))
+        else:
+            several += rows[at:end]
         at = end
     if not several:
         return out
@@ -303,18 +303,8 @@ def decide(rows: list[tuple], length: int) -> list[tuple[int, int, bytes]]:
         number.append(k)
     flags = np.zeros(len(maybe), bool)
     if texts:
-        # copies repeat each other; an index is needed where a text without a copy is in question, and it
-        # holds that text and all that may share a string with it
-        alone = np.array(count)[number] == 1
-        asked = np.zeros(int(which.max()) + 1, bool)
-        for a, b in zip(begins[alone].tolist(), ends[alone].tolist()):
-            asked[which[a:b]] = True
-        meets = np.add.reduceat(asked[which] & maybe, np.stack([begins, np.minimum(ends, len(maybe) - 1)], axis=1).ravel())[::2] > 0
-        meets |= asked[which[ends - 1]]
-        chosen = sorted(set(np.array(number)[meets].tolist()))
-        every = list(texts)
-        with tempfile.TemporaryDirectory() as folder:
-            found = dict(zip(chosen, Index([every[k] for k in chosen], length, folder).repeated()))
+        with io_folder() as folder:
+            found = Index(list(texts), length, folder).repeated()
         for a, b, k in zip(begins.tolist(), ends.tolist(), number):
             flags[a:b] = True if count[k] > 1 else found[k]
     edge = np.append(0, np.cumsum(starts))
@@ -324,6 +314,11 @@ def decide(rows: list[tuple], length: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def io_folder() -> tempfile.TemporaryDirectory:
+    """A task's own folder for the index files of one collection: scratch space that a retry makes anew, never shared."""
+    return tempfile.TemporaryDirectory(prefix="sievework-index-")
+
+
 def _candidates(text: bytes, length: int, seen: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first start, starts, key) of the runs whose key may come twice, hot ones cut finer."""
     data = np.frombuffer(text, np.uint8)
@@ -341,21 +336,15 @@ def _candidates(text: bytes, length: int, seen: np.ndarray, hot: np.ndarray) ->
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _place_of(row: int, first: np.ndarray) -> np.ndarray:
-    """A well mixed 64-bit value of a row and a start in it."""
-    x = (np.uint64(row & (2**64 - 1)) ^ (first.astype(np.uint64) * _M[3])) * _M[5]
-    x ^= x >> np.uint64(32)
-    return (x * _M[1]).view(np.int64)
-
-
 def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
     """(r1, r2, marks): for each row with any, the starts of its strings of `length` bytes that also start elsewhere.
 
     r1 and r2 are _row_keys(); marks is a set of (first, starts, bits).  The texts are read three times and
-    not shuffled here: once to count the keys of all runs (pre-aggregated), once to name the snippets
-    at keys that come twice by a hash, and once to send the text of one copy of each snippet that
-    shares its key with another.  Fixed-size filters select what is sent, always a superset of what is
-    needed.  Snippets meet by key; each task indexes its keys in collections of bounded size.
+    not shuffled here: once to count the keys of all runs (pre-aggregated), once to name the snippets at
+    keys that come twice by a hash, and once to send the snippets, those of a few megabytes of text
+    collapsed with their number of copies.  A fixed-size filter selects what is sent, always a superset
+    of what is needed.  Snippets meet by key, sorted, so that copies from many tasks collapse as they
+    stream in, after a comparison of their bytes; each task indexes its keys in collections of bounded size.
     """
     spark = docs.sparkSession
     r1, r2 = _row_keys()
@@ -366,10 +355,11 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
 
         for b in batches:
             found = [np.zeros(0, np.uint64)]
-            for t in b.column(0).to_pylist():
-                found.append(run_keys(np.frombuffer(t, np.uint8), length, PIECE))
+            for t in b.column(0):
+                found.append(run_keys(np.frombuffer(t.as_py(), np.uint8), length, PIECE))
             k, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
+        tidy()
 
     twice = stored(src.select("t").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "keys")
     shared = spark.sparkContext.broadcast((_bitmap(twice, "key"), _bitmap(twice.where(F.col("n") > HOT), "key")))
@@ -380,36 +370,38 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
 
         hash_of = xxhash.xxh3_64_intdigest
         for b in batches:
-            out: list = [[np.zeros(0, np.int64)] for _ in range(7)]
-            for x, y, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+            out: list = [[np.zeros(0, np.int64)] for _ in range(6)]
+            for x, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                t = t.as_py()
                 first, n, key = _candidates(t, length, *shared.value)
                 ids = np.array([hash_of(t[a : a + m + length - 1]) for a, m in zip(first.tolist(), n.tolist())], np.uint64).view(np.int64)
-                for k, v in enumerate((np.full(len(first), x), np.full(len(first), y), first, n, key, ids, _place_of(x, first))):
+                for k, v in enumerate((np.full(len(first), x), np.full(len(first), y), first, n, key, ids)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int32 if k in (2, 3) else np.int64)) for k, v in enumerate(out)], names=["r1", "r2", "first", "n", "key", "sid", "spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int32 if k in (2, 3) else np.int64)) for k, v in enumerate(out)], names=["r1", "r2", "first", "n", "key", "sid"])
+        tidy()
 
-    pieces = stored(src.mapInArrow(name, "r1 long, r2 long, first int, n int, key long, sid long, spot long"), "pieces")
-    alone = pieces.groupBy("key", "sid").agg(F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("spot").alias("spot"))
-    alone = stored(alone.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("key")) > 1), "snippets")
-    chosen = spark.sparkContext.broadcast(_bitmap(alone.where("several OR copies = 1"), "spot"))  # one alone may still repeat itself
+    pieces = stored(src.mapInArrow(name, "r1 long, r2 long, first int, n int, key long, sid long"), "pieces")
 
     def send(batches):
         import pyarrow as pa
         import xxhash
 
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
-            rows = []
-            for x, t in zip(*(b.column(k).to_pylist() for k in range(2))):
-                first, n, key = _candidates(t, length, *shared.value)
-                on = _has(chosen.value, _place_of(x, first).view(np.uint64))
-                for a, m, k in zip(first[on].tolist(), n[on].tolist(), key[on].tolist()):
-                    text = t[a : a + m + length - 1]
-                    sid = xxhash.xxh3_64_intdigest(text)
-                    rows.append((k, sid - (sid >> 63 << 64), 0, m, text))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])], names=["key", "sid", "copies", "n", "snippet"])
-
-    texts = src.select("r1", "t").mapInArrow(send, "key long, sid long, copies long, n int, snippet binary")
-    dealt = alone.select("key", "sid", "copies", "n", F.lit(None).cast("binary").alias("snippet")).unionByName(texts).repartition("key").sortWithinPartitions("key", "sid")
+            for at, rows in text_slices(b.column(0), SENT):
+                seen: dict[tuple[int, bytes], int] = {}
+                for t in b.column(0).slice(at, rows):
+                    t = t.as_py()
+                    for a, m, k in zip(*(x.tolist() for x in _candidates(t, length, *shared.value))):
+                        one = (k, t[a : a + m + length - 1])
+                        seen[one] = seen.get(one, 0) + 1
+                ids = [xxhash.xxh3_64_intdigest(x) for _, x in seen]
+                columns = [[k for k, _ in seen], [x - (x >> 63 << 64) for x in ids], list(seen.values()), [len(x) - length + 1 for _, x in seen], [x for _, x in seen]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["key", "sid", "copies", "n", "snippet"])
+        tidy()
+
+    texts = src.select("t").mapInArrow(send, "key long, sid long, copies long, n int, snippet binary")
+    dealt = texts.repartition("key").sortWithinPartitions("key", "sid")
 
     def index(batches):
         import pyarrow as pa
@@ -422,9 +414,10 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
         size = 0
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in range(5))):
-                if held and held[-1][:2] == r[:2]:  # the count and the text of one snippet
-                    old = held[-1]
-                    held[-1] = (*r[:2], old[2] + r[2], r[3], old[4] or r[4])
+                if held and held[-1][:2] == r[:2]:  # copies of one snippet from several tasks
+                    if held[-1][4] != r[4]:
+                        raise ValueError("two snippets of one key with one 64-bit id")
+                    held[-1] = (*r[:2], held[-1][2] + r[2], *r[3:])
                     continue
                 if size >= COLLECTION and r[0] != held[-1][0]:
                     yield result(held)
@@ -433,6 +426,7 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
                 size += r[3] + length
         if held:
             yield result(held)
+        tidy()
 
     marks = dealt.mapInArrow(index, "key long, sid long, bits binary")
     back = pieces.select("r1", "r2", "first", "n", "key", "sid").join(marks, ["key", "sid"])
@@ -453,7 +447,7 @@ def covered(n_bytes: int, marks: list, length: int) -> np.ndarray:
 def _with_marks(docs: DataFrame, length: int) -> DataFrame:
     """All columns, with `__marks` (null: nothing repeats)."""
     r1, r2 = _row_keys()
-    return docs.withColumn("r1", r1).withColumn("r2", r2).join(repeated_starts(docs, length).withColumnRenamed("marks", "__marks"), ["r1", "r2"], "left").drop("r1", "r2")
+    return docs.withColumns({"r1": r1, "r2": r2}).join(repeated_starts(docs, length).withColumnRenamed("marks", "__marks"), ["r1", "r2"], "left").drop("r1", "r2")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -465,28 +459,34 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     pass through unchanged.
     """
     names = docs.columns
-    safe = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("__rest"))
-    marked = _with_marks(safe, length).select("__rest", F.col("text").cast("binary").alias("t"), "__marks")
+    safe = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]).alias("__rest"))
+    marked = _with_marks(safe.withColumn("__rest", F.col("__rest").dropFields(f"c{names.index('text')}")), length).select("__rest", F.col("text").cast("binary").alias("t"), "__marks")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             out = []
-            for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for t, m in zip(b.column(1), b.column(2)):
+                t, m = t.as_py(), m.as_py()
                 if t is not None and m:
                     gone = covered(len(t), [(x["first"], x["n"], x["bits"]) for x in m], length)
                     t = np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", errors="ignore").encode()
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["__rest", "t"])
+        tidy()
 
     kinds = T.StructType([marked.schema["__rest"], T.StructField("t", T.BinaryType())])
     got = marked.mapInArrow(run, kinds)
-    return got.select(*[F.col("t").cast("string").alias(c) if c == "text" else F.col("__rest").getField(c).alias(c) for c in names])
+    return got.select(*[F.col("t").cast("string").alias(c) if c == "text" else F.col("__rest").getField(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def digest_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; a null text is empty."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; a null text is empty.
+
+    Repeated rows are copies of each other; null ids stay; other columns are left out; very long texts are
+    whole; an empty table gives an empty result.  Nothing depends on an order, so there are no ties.
+    """
     marked = _with_marks(docs.select("doc_id", "text"), length).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), "__marks")
 
     def run(batches):
@@ -494,7 +494,8 @@ def digest_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
         for b in batches:
             rows = []
-            for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for t, m in zip(b.column(1), b.column(2)):
+                t, m = t.as_py(), m.as_py()
                 kept, removed, spans = t, 0, 0
                 if m:
                     gone = covered(len(t), [(x["first"], x["n"], x["bits"]) for x in m], length)
@@ -502,5 +503,6 @@ def digest_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     spans = int((np.diff(np.append(False, gone).astype(np.int8)) == 1).sum())
                 rows.append((len(t), removed, spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(4)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        tidy()
 
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,4 +1,10 @@
-"""Toxicity by weak supervision: many term voters, a generative label model, a linear classifier."""
+"""Toxicity by weak supervision.
+
+Many voters look at a text: a lexicon (words, word beginnings and endings; a few fixed ones, the rest mined
+from labelled rows) and patterns.  A generative label model estimates each voter's accuracy, and the
+correlations of voters, from how they agree, without any label; labels give the lexicon and the share of
+toxic texts.  A linear classifier is trained on the model's posterior labels.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +21,15 @@ from .common import add_columns, class_counts, labelled_sample
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of the word beginnings and endings that pattern voters look at.
 LENGTHS = (4, 5, 6, 7, 8)
+#: Words of the lexicon whatever the labels say.
+LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "trash"]
+#: Signs that stand for letters, and words of address.
+LEET = str.maketrans("013457@$!", "oieastasi")
+ADDRESS = frozenset("you your yours u ur du dich dir dein deine tu te ton ta toi vous tú ti usted eres".split())
+#: Pattern voters: each says 1, 0, or nothing.
+PATTERNS = ("none", "single", "several", "many", "leet", "shout", "marks", "address")
+_LEET_WORD = re.compile(r"[^\s]*[0-9@$!][^\s]*")
+_MARKS = re.compile(r"[!?]{3,}")
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -35,9 +50,10 @@ class Voters:
         self.begin = {n: {t[1:]: k for t, k in self.number.items() if t[0] == "^" and len(t) == n + 1} for n in LENGTHS}
         self.end = {n: {t[1:]: k for t, k in self.number.items() if t[0] == "$" and len(t) == n + 1} for n in LENGTHS}
 
-    def fired(self, text: str) -> tuple[set[int], int, int]:
-        """Numbers of the terms, matching words, all different words."""
-        words = set(WORD.findall(text.lower()))
+    def fired(self, text: str) -> tuple[set[int], set[str], list[str]]:
+        """Numbers of the terms, the different words that match, and all words."""
+        every = WORD.findall(text.lower())
+        words = set(every)
         hit: set[int] = set()
         matched: set[str] = set()
         for w in words & self.whole.keys():
@@ -56,31 +72,65 @@ class Voters:
                     more = [w for w in words if len(w) > n and w[-n:] in parts]
                     hit.update(self.end[n][w[-n:]] for w in more)
                     matched.update(more)
-        return hit, len(matched), len(words)
+        return hit, matched, every
+
+    def votes(self, text: str) -> tuple[set[int], list[int], list[float]]:
+        """Numbers of the terms, the votes of PATTERNS (1, 0; -1: nothing), and a few rates."""
+        hit, matched, every = self.fired(text)
+        n, m = len(every), len(matched)
+        out = dict.fromkeys(PATTERNS, -1)
+        if not m:
+            out["none"] = 0
+        elif m == 1:
+            one = next(iter(matched))
+            out["single"] = 0 if one not in LEXICON and every.count(one) < 2 and n >= 20 else -1
+        else:
+            out["several"] = 1
+            if m >= 3:
+                out["many"] = 1
+        if any(x.isdigit() or x in "@$!" for x in text):
+            for w in _LEET_WORD.findall(text.lower()):
+                plain = w.strip("!?.,;:").translate(LEET)
+                if plain != w and plain in self.whole and w not in self.whole:
+                    out["leet"] = 1
+                    break
+        if m:
+            capitals = [w for w in WORD.findall(text) if len(w) > 2 and w.isupper() and w.lower() in matched]
+            if capitals:
+                out["shout"] = 1
+            if _MARKS.search(text):
+                out["marks"] = 1
+            if any(a in ADDRESS and b in matched or a in matched and b in ADDRESS for a, b in zip(every, every[1:])):
+                out["address"] = 1
+        return hit, [out[k] for k in PATTERNS], [float(bool(hit)), float(np.log1p(m)), m / max(len(set(every)), 1)]
 
 
 class LabelModel:
-    """Generative model of the votes given the unseen label.
+    """Generative model of votes given the unseen label, fitted by expectation-maximisation on agreement alone.
 
-    Every voter says 1 or abstains; one more says 0 where all others abstain.  Expectation-maximisation
-    estimates each voter's precision; pairwise correlations given the label discount voters that fire
-    together: a voter counts 1 / (1 + sum of its correlations with the others that fired).
+    `votes` holds 1 (toxic), 0 (not) or -1 (nothing).  A voter that speaks is right with its accuracy; one
+    that says nothing tells nothing.  The first guess is the majority of the votes (a tie: the prior); the
+    prior is given and stays.  Correlations given the label discount voters that speak together: a voter
+    counts 1 / (1 + sum of its correlations with the others that spoke).
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, weight: np.ndarray, rounds: int = 15):
-        none = ~votes.any(axis=1)
-        v = np.column_stack([votes, none]).astype(float)
-        p = np.clip(start.astype(float), 0.02, 0.98)
-        self.prior = float(np.clip((weight * p).sum() / weight.sum(), 0.002, 0.998))
-        base = np.log(self.prior / (1 - self.prior))
-        n = weight @ v
-        seed = ((weight * p) @ v + 2 * self.prior) / (n + 2)  # smoothed once; later rounds are drawn to this, not to the prior
+    def __init__(self, votes: np.ndarray, prior: float, weight: np.ndarray, rounds: int = 25):
+        yes, no = (votes == 1).astype(float), (votes == 0).astype(float)
+        spoke = yes + no
+        base = np.log(prior / (1 - prior))
+        margin = yes.sum(axis=1) - no.sum(axis=1)
+        p = np.where(margin > 0, 0.9, np.where(margin < 0, 0.1 * prior, prior))
         for _ in range(rounds):
-            self.accuracy = np.clip(((weight * p) @ v + 4 * seed) / (n + 4), 0.002, 0.998)
-            self.correlation = self._correlations(v[:, :-1], p, weight)
-            w = np.log(self.accuracy / (1 - self.accuracy)) - base
-            share = 1.0 / (1.0 + v[:, :-1] @ self.correlation)
-            logit = base + (v[:, :-1] * share) @ w[:-1] + v[:, -1] * w[-1]
+            # how often a vote of either kind is right; as a rule it is, until it disagrees with others
+            of_yes = np.clip(((weight * p) @ yes + 3.6) / (weight @ yes + 4.0), 0.02, 0.998)
+            of_no = np.clip(((weight * (1 - p)) @ no + 3.6) / (weight @ no + 4.0), 0.02, 0.998)
+            self.accuracy = ((weight @ yes) * of_yes + (weight @ no) * of_no + 0.9) / (weight @ spoke + 1.0)
+            self.correlation = self._correlations(spoke, p, weight)
+            share = 1.0 / (1.0 + spoke @ self.correlation)
+            # a vote weighs its odds against those of chance: the present share of label 1, and of its rest
+            mean = np.clip((weight @ p) / weight.sum(), 0.002, 0.998)
+            chance = np.log(mean / (1 - mean))
+            logit = base + (yes * share) @ (np.log(of_yes / (1 - of_yes)) - chance) - (no * share) @ (np.log(of_no / (1 - of_no)) + chance)
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         self.posterior = p
 
@@ -102,102 +152,123 @@ class LabelModel:
 
 
 class Model:
-    def __init__(self, terms: list[str], weights: np.ndarray):
-        self.terms, self.weights = terms, weights
+    """The lexicon, the classifier's weights, and what fitting found out about the voters.
+
+    `agreement` is the share of the labelled rows (weighted to their natural counts) whose posterior label
+    is theirs: the labels only check the label model.
+    """
+
+    def __init__(self, terms: list[str], weights: np.ndarray, agreement: float | None = None):
+        self.terms, self.weights, self.agreement = terms, weights, agreement
 
     def row(self, voters: Voters, text: str) -> np.ndarray:
-        hit, matched, words = voters.fired(text)
-        x = np.zeros(len(self.terms) + 4)
+        hit, patterns, rates = voters.votes(text)
+        x = np.zeros(len(self.terms) + len(PATTERNS) + 4)
         x[list(hit)] = 1.0
-        x[-4:] = bool(hit), np.log1p(matched), matched / max(words, 1), 1.0
+        x[len(self.terms) : -4] = [float(v >= 0) for v in patterns]
+        x[-4:] = *rates, 1.0
         return x
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 3000, voters: int = 96, label: str = "toxic") -> Model:
+def mine(sample: DataFrame, have: dict[int, int], evidence: float = 5.0, few: int = 3) -> list[tuple[str, int, int]]:
+    """(term, toxic rows, other rows) of every term that tells: no number of terms is set.
+
+    Terms of all rows are counted on the executors.  A term is kept if it stands in `few` toxic rows or more
+    and its log-likelihood ratio is over log(terms tested) + evidence, which chance reaches less than once,
+    and if no kept shorter beginning or ending that holds it is as precise.
+    """
+
+    def count(batches):
+        seen: Counter = Counter()
+        for pdf in batches:
+            for t, y in zip(pdf["text"], pdf["label"]):
+                seen.update((x, int(y)) for x in terms_of(set(WORD.findall(t.lower()))))
+                if len(seen) > 500_000:
+                    yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["term", "label", "n"])
+                    seen.clear()
+        yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["term", "label", "n"])
+
+    n = lambda y: F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}")
+    terms = sample.mapInPandas(count, "term string, label int, n long").groupBy("term").agg(n(1), n(0)).where(F.col("n1") >= few)
+    share = have[1] / (have[0] + have[1])
+    p = F.col("n1") / (F.col("n1") + F.col("n0"))
+    gain = F.col("n1") * F.log(p / share) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    tested = terms.count()
+    got = terms.where((p > share) & (gain > float(np.log(max(tested, 1)) + evidence))).collect()
+    known = {r.term: (r.n1, r.n0) for r in got}
+    precise = {t: a / (a + b) for t, (a, b) in known.items()}
+
+    def shorter(t: str) -> list[str]:
+        w = t[1:]
+        heads = ["^" + w[:n] for n in LENGTHS if n < len(w)] if t[0] in "=^" else []
+        ends = ["$" + w[-n:] for n in LENGTHS if n < len(w)] if t[0] in "=$" else []
+        return heads + ends
+
+    return sorted((t, a, b) for t, (a, b) in known.items() if not any(precise.get(x, 0.0) >= precise[t] for x in shorter(t)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 3000, evidence: float = 5.0, common: float = 0.05, label: str = "toxic") -> Model:
     """A classifier from at most `per_class` labelled rows of either label.
 
-    Terms found in more labelled toxic rows than chance become voters (at most 20,000 candidates, then at
-    most `voters`); what reaches the driver are their counts and the sample's votes, all of bounded size.
+    The lexicon is LEXICON, and of the mined terms those that add toxic rows not yet covered, and those
+    without a false row that stand in a share `common` of the toxic rows or more.  What reaches the driver
+    are the terms kept and the sample's votes.  Rows without id, label or text take no part; repeated ids
+    count once for each row; with rows of one label only, or none, every score is near that label, or 0.
     """
     sample = labelled_sample(docs, labels, label, allowed, per_class).select(F.coalesce("text", F.lit("")).alias("text"), "label").persist()
     try:
         have = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not have.get(1) or not have.get(0):
-            return Model([], np.array([0.0, 0.0, 0.0, 4.0 if have.get(1) else -4.0]))
+            return Model([], np.append(np.zeros(len(PATTERNS) + 3), 4.0 if have.get(1) else -4.0))
         natural = class_counts(labels, label, allowed)  # the sample is weighted back to these
-        few = max(3, int(0.001 * have[1]))
-
-        def count(known: frozenset | None):
-            def run(batches):
-                seen: Counter = Counter()
-                for pdf in batches:
-                    for t, y in zip(pdf["text"], pdf["label"]):
-                        got = terms_of(set(WORD.findall(t.lower())))
-                        seen.update((x, y) for x in (got if known is None else got & known))
-                yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["term", "label", "n"])
-
-            return run
-
-        total = lambda df: df.groupBy("term", "label").agg(F.sum("n").alias("n"))
-        first = total(sample.where("label = 1").mapInPandas(count(None), "term string, label int, n long")).where(F.col("n") >= few).orderBy(F.desc("n"), "term").limit(20_000).collect()
-        known = frozenset(r.term for r in first)
-        n = {y: {} for y in (0, 1)}
-        for r in total(sample.mapInPandas(count(known), "term string, label int, n long")).collect():
-            n[r.label][r.term] = r.n
-        gain = {t: _excess(n[1].get(t, 0), n[0].get(t, 0), have[1] / (have[0] + have[1])) for t in known}
-        needed = np.log(max(len(known), 1)) + 5.0  # chance gives fewer than one such term among so many
-        kept = sorted((t for t in known if gain[t] > needed), key=lambda t: (-gain[t], t))[: 8 * voters]
+        kept = [t for t, _, _ in mine(sample, have, evidence)]
         finder = Voters(kept)
 
-        def votes(batches):
+        def hits(batches):
             for pdf in batches:
                 yield pd.DataFrame({"label": pdf["label"], "hit": [sorted(finder.fired(t)[0]) for t in pdf["text"]]})
 
-        got = sample.mapInPandas(votes, "label int, hit array<int>").collect()  # at most 2 * per_class rows
+        got = sample.mapInPandas(hits, "label int, hit array<int>").collect()  # at most 2 * per_class rows
         y = np.array([r.label for r in got])
         v = np.zeros((len(got), len(kept)), bool)
         for i, r in enumerate(got):
             v[i, r.hit] = True
-        chosen = _choose(v, y, voters, (natural[0] / have[0]) / (natural[1] / have[1]))
-        model = Model([kept[j] for j in chosen], np.zeros(len(chosen) + 4))
-        few_terms = Voters(model.terms)
+        chosen = _choose(v, y, common, (natural[0] / have[0]) / (natural[1] / have[1]))
+        terms = sorted({kept[j] for j in chosen} | {"=" + w for w in LEXICON})
+        model = Model(terms, np.zeros(len(terms) + len(PATTERNS) + 4))
+        voters = Voters(terms)
 
-        def rows(batches):
+        def look(batches):
             for pdf in batches:
-                yield pd.DataFrame({"label": pdf["label"], "x": [model.row(few_terms, t) for t in pdf["text"]], "hit": [sorted(finder.fired(t)[0]) for t in pdf["text"]]})
+                found = [voters.votes(t) for t in pdf["text"]]
+                yield pd.DataFrame({"label": pdf["label"], "hit": [sorted(f[0]) for f in found], "patterns": [f[1] for f in found], "x": [model.row(voters, t) for t in pdf["text"]]})
 
-        back = sample.mapInPandas(rows, "label int, x array<double>, hit array<int>").toPandas()
-        # rows may come in another order than before: the label model is applied to this order
-        v2 = np.zeros((len(back), len(kept)), bool)
+        back = sample.mapInPandas(look, "label int, hit array<int>, patterns array<int>, x array<double>").toPandas()
+        back = back.assign(o=[np.asarray(x).tobytes() for x in back["x"]]).sort_values(["label", "o"])  # the same order in every run
+        votes = np.full((len(back), len(terms)), -1)
         for i, h in enumerate(back["hit"]):
-            v2[i, list(h)] = True
-        y2 = back["label"].to_numpy()
-        weight = np.where(y2 == 1, natural[1] / have[1], natural[0] / have[0])
+            votes[i, list(h)] = 1
+        y = back["label"].to_numpy()
+        weight = np.where(y == 1, natural[1] / have[1], natural[0] / have[0])
         weight /= weight.mean()
-        posterior = LabelModel(v2[:, chosen], y2, weight).posterior
+        prior = float(np.clip(natural[1] / (natural[0] + natural[1]), 0.002, 0.998))
+        posterior = LabelModel(np.column_stack([votes, np.stack(list(back["patterns"]))]), prior, weight).posterior
         model.weights = _logistic(np.stack(list(back["x"])), posterior, weight)
+        model.agreement = float((weight * ((posterior >= 0.5) == (y == 1))).sum() / weight.sum())
         return model
     finally:
         sample.unpersist()
 
 
-def _excess(n1: int, n0: int, share: float) -> float:
-    """Log-likelihood ratio for a term more frequent in label 1 than the share of label 1; 0 if it is not."""
-    p = n1 / max(n1 + n0, 1)
-    if p <= share:
-        return 0.0
-    return n1 * np.log(p / share) + (n0 * np.log((1 - p) / (1 - share)) if n0 else 0.0)
-
-
-def _choose(v: np.ndarray, y: np.ndarray, most: int, ratio: float) -> list[int]:
-    """First the terms that each add most toxic rows not yet covered, each false row (times its weight) against two of them; then the best rest."""
+def _choose(v: np.ndarray, y: np.ndarray, common: float, ratio: float) -> list[int]:
+    """First the terms that each add most toxic rows not yet covered, each false row (times its weight) against two of them; then the common ones without a false row."""
     pos, neg = v[y == 1], v[y == 0]
     left, chosen = np.ones(len(pos), bool), []
     cost = 2.0 * ratio * neg.sum(axis=0)
-    while len(chosen) < most and left.any():
+    while left.any() and v.shape[1]:
         gain = pos[left].sum(axis=0) - cost
         gain[chosen] = -np.inf
         j = int(np.argmax(gain))
@@ -205,9 +276,8 @@ def _choose(v: np.ndarray, y: np.ndarray, most: int, ratio: float) -> list[int]:
             break
         chosen.append(j)
         left &= ~pos[:, j]
-    clean = np.flatnonzero(cost == 0)
-    rest = [int(j) for j in clean[np.argsort(-pos[:, clean].sum(axis=0), kind="stable")] if int(j) not in set(chosen)]
-    return chosen + rest[: most - len(chosen)]
+    rest = np.flatnonzero((cost == 0) & (pos.sum(axis=0) >= common * len(pos)))
+    return chosen + [int(j) for j in rest if int(j) not in set(chosen)]
 
 
 def _logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> np.ndarray:
@@ -229,13 +299,15 @@ def _logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, ridge: float = 0
 def add_score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """The columns `keep` of `docs` and a score from 0 to 1 of each whole text, called `name`.
 
-    Null and empty texts hold no term.  Rows keep their number; no shuffle; the model is of bounded size.
+    Null and empty texts hold no term; very long ones are scored whole; repeated rows get equal scores;
+    null ids stay; a kept column called `name` is replaced; an empty table gives an empty result.  Rows
+    keep their number; no shuffle; the model grows with the lexicon only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
         voters = Voters(m.terms)
-        return lambda texts: [[float(m.score(m.row(voters, t))) for t in texts]]
+        return lambda texts: [m.score(np.stack([m.row(voters, t) for t in texts]))]
 
     return add_columns(docs, keep, f"`{name}` double", make)

@@ -27,19 +27,6 @@ def votes(model, text):
     return sum(a * y for a, (_, y) in zip(weight, cos)) / sum(weight)
 
 
-def near(docs):
-    fps = [simhash.wide_fingerprint(t.encode(), 5) for _, t in docs]
-    bits = [np.unpackbits(np.frombuffer(a.to_bytes(8, "little") + b, np.uint8)) for a, b in fps]
-    root = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            d = bits[i] != bits[j]
-            if d[:64].sum() <= 16 and d.sum() <= 38 and root[i] != root[j]:
-                lo, hi = sorted((root[i], root[j]))
-                root = [lo if r == hi else r for r in root]
-    return [d for i, d in enumerate(docs) if d[0] == min(docs[k][0] for k in range(len(docs)) if root[k] == root[i])]
-
-
 def near_by_jaccard(docs):
     sets = [set(simhash.shingles(t.encode(), 5)) for _, t in docs]
     root = list(range(len(docs)))
@@ -88,17 +75,6 @@ def holds(text, item):
         total += k
 
 
-def test_pipeline_against_plain_stages(spark):
-    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()}
-    docs = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()]
-    model = quality.fit(table(spark, DATA, "documents"), table(spark, DATA, "labels"), fold(F.col("doc_id"), 5) != 0)
-    docs = cut(near([d for d in docs if votes(model, d[1]) >= corpus_pipeline.REJECT_BELOW]))
-    bench = [r.text for r in table(spark, DATA, "benchmark").collect()]
-    docs = [d for d in docs if not any(holds(d[1], b) for b in bench)]
-    lib = sp.SentencePieceProcessor(model_file=entry.piece_model())
-    assert got == {d: lib.encode(t, add_bos=True, add_eos=True) for d, t in docs}
-
-
 def test_pipeline_against_plain_stages_by_jaccard(spark):
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()}
     docs = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()]
