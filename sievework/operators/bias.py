@@ -33,9 +33,14 @@ def variants(sentences: DataFrame, text: str = "sentence", gender: str = "gender
 
 
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits, shifted by the largest (F8)."""
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    """Probabilities of an array of logits, shifted by the largest (F8).
+
+    Each step's value is the one element of an array, so that it is computed once and not for every candidate.
+    """
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    shares = lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return bind(logits, lambda v: bind(F.array_max(v), lambda m: bind(F.transform(v, lambda x: F.exp(x - m)), shares)))
 
 
 def top_k(rows: DataFrame, group: list[str], k: int, score: str = "prob", token: str = "token") -> DataFrame:

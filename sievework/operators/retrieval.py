@@ -32,6 +32,11 @@ def last_pool(vectors: DataFrame, group: str, order: str) -> DataFrame:
     return vectors.groupBy(group).agg(F.max(F.struct(F.col(order).alias("__o"), F.struct(*[F.col(c).alias(c) for c in vectors.columns if c != group]).alias("r"))).alias("m")).select(group, "m.r.*")
 
 
+def last_token(vectors: Column, mask: Column) -> Column:
+    """Of a row's token vectors the last one that its mask (1: a token, 0: padding) keeps; null if there is none."""
+    return F.try_element_at(vectors, F.nullif(F.array_max(F.transform(mask, lambda m, i: F.when(m == 1, i + 1).otherwise(0))), F.lit(0)))
+
+
 def triplet_accuracy(triplets: DataFrame, anchor: str, positive: str, negative: str) -> DataFrame:
     """Share of triplets whose positive is nearer than its negative."""
     right = cosine(F.col(anchor), F.col(positive)) > cosine(F.col(anchor), F.col(negative))

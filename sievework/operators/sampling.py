@@ -6,35 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import draw, order_key
+from sievework.session import stored
 
 
 def prefix_sum(df: DataFrame, order: list[Column], value: Column, out: str, by: Column) -> DataFrame:
     """`df` with the running total of `value` in `order`, no task holding more than one bucket of rows.
 
     `by` must be a bucket that is constant or rises along `order` (for instance the first hex digits of
-    an md5 key).  Totals of the buckets before are added to a running total inside each bucket; the bucket
-    table has as many rows as there are buckets (at most 4096 here), which is why it is broadcast.
+    an md5 key).  Totals of the buckets before are added to a running total inside each bucket.  The bucket
+    table is joined without a hint: Spark broadcasts it only where its measured size is small.
     """
     rows = df.withColumn("__b", by)
     base = rows.groupBy("__b").agg(F.sum(value).alias("__s"))
     base = base.withColumn("__base", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__b", "__base")
     inside = F.sum(value).over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__in", inside).join(F.broadcast(base), "__b").withColumn(out, (F.col("__in") + F.col("__base")).cast("bigint")).drop("__b", "__in", "__base")
+    return rows.withColumn("__in", inside).join(base, "__b").withColumn(out, (F.col("__in") + F.col("__base")).cast("bigint")).drop("__b", "__in", "__base")
 
 
 def ordinal(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
     """`df` with its ordinal (from 1) in `order`: a range-partitioned sort, then offsets of the partitions.
 
-    The order must not have ties.  Nothing but one count for each partition meets in a single task.
+    The order must not have ties.  The bounds of a range partitioning are drawn anew whenever it is computed,
+    so the sorted rows are written once to the shared folder with their part and place, and both the rows
+    and the counts are read from there.  Nothing but one count for each partition meets in a single task.
     """
     name = "__" + out
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
     part = F.shiftrightunsigned(F.col(name), 33)
     local = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = ranged.withColumn("__p", part).withColumn("__i", local)
+    numbered = stored(ranged.withColumn("__p", part).withColumn("__i", local), "ordinal")
     counts = numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__base")
-    return numbered.join(F.broadcast(base), "__p").withColumn(out, (F.col("__i") + 1 + F.col("__base")).cast("bigint")).drop(name, "__p", "__i", "__base")
+    return numbered.join(base, "__p").withColumn(out, (F.col("__i") + 1 + F.col("__base")).cast("bigint")).drop(name, "__p", "__i", "__base")
 
 
 def permute(df: DataFrame, key: str, seed: int, out: str = "rn") -> DataFrame:
@@ -57,6 +60,17 @@ def stop_before(df: DataFrame, key: str, n: str, budget: int, seed: int) -> Data
     return cum.where(F.col("cum") <= budget)
 
 
+def group_stop_before(df: DataFrame, group: str, key: str, n: str, budget: int, seed: int) -> DataFrame:
+    """stop_before() within each group (W4), in two levels, so that a group of a third of all rows is many tasks."""
+    k = order_key(F.col(key), F.lit(seed))
+    rows = df.withColumn("__k", k).withColumn("__b", F.substring("__k", 1, 2))
+    sums = rows.groupBy(group, "__b").agg(F.sum(n).alias("__s"))
+    before = sums.withColumn("__base", F.coalesce(F.sum("__s").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(group, "__b", "__base")
+    inside = rows.withColumn("__in", F.sum(n).over(Window.partitionBy(group, "__b").orderBy("__k", key).rowsBetween(Window.unboundedPreceding, 0)))
+    cum = inside.join(before, [group, "__b"]).withColumn("cum", (F.col("__in") + F.col("__base")).cast("bigint"))
+    return cum.where(F.col("cum") <= budget).drop("__k", "__b", "__in", "__base")
+
+
 def sample_folders(stats: DataFrame, target: int, seed: int, folder: str = "folder", n: str = "tokens") -> DataFrame:
     """Folders without replacement until the target is reached; folders without a count take no part (M2, M3)."""
     return stop_after(stats.where(F.col(n).isNotNull()), folder, n, target, seed)
@@ -126,7 +140,9 @@ def split_unseen(rows: DataFrame, sampled: DataFrame, budget: int, seed: int, ke
     """
     rest = rows.join(sampled.select(folder).distinct(), folder, "left_anti")
     keyed = rest.withColumn("__f", order_key(F.col(folder), F.lit(seed))).withColumn("__k", order_key(F.col(key), F.lit(seed)))
-    cum = prefix_sum(keyed, [F.asc("__f"), F.asc(folder), F.asc("__k"), F.asc(key)], F.col(n), "cum", F.substring("__f", 1, 3))
+    # a bucket is a part of a folder, so that a large folder is many tasks
+    part = F.concat("__f", F.lit(" "), F.col(folder), F.lit(" "), F.substring("__k", 1, 2))
+    cum = prefix_sum(keyed, [F.asc("__k"), F.asc(key)], F.col(n), "cum", part)
     return cum.where(F.col("cum") <= budget).drop("__f", "__k", "cum")
 
 

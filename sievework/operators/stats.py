@@ -37,10 +37,25 @@ def length_histogram(df: DataFrame, n: Column, key: str) -> DataFrame:
     return df.groupBy(length_bucket(n).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_list(key)).alias("members"))
 
 
+def histogram_members(df: DataFrame, n: Column, key: str) -> DataFrame:
+    """(bucket, key): the members of length_histogram() as rows, for buckets too large for one list (A4)."""
+    from sievework.functions.text import length_bucket
+
+    return df.select(length_bucket(n).alias("bucket"), key)
+
+
+def same_totals(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """(key, left_n, right_n, same) of two tables of totals, keys of either side; a missing total counts as 0."""
+    out = left.select(key, F.col(n).alias("__l")).join(right.select(key, F.col(n).alias("__r")), key, "full")
+    return out.select(key, F.coalesce("__l", F.lit(0)).cast("bigint").alias("left_n"), F.coalesce("__r", F.lit(0)).cast("bigint").alias("right_n")).withColumn("same", F.col("left_n") == F.col("right_n"))
+
+
 def merge_stats(stats: DataFrame, dataset: str = "dataset") -> DataFrame:
-    """Totals of each dataset and of all together (dataset null), percentiles left out."""
-    numbers = [f.name for f in stats.schema.fields if f.name != dataset and f.dataType.typeName() in ("integer", "long", "double")]
-    return stats.rollup(dataset).agg(*[F.sum(c).alias(c) for c in numbers])
+    """Totals of each dataset and of all together (dataset null), percentiles left out; of a text column its
+    smallest value, as rows have no order (A6)."""
+    kinds = {f.name: f.dataType.typeName() for f in stats.schema.fields if f.name != dataset}
+    numbers = [F.sum(c).alias(c) for c, k in kinds.items() if k in ("integer", "long", "double")]
+    return stats.rollup(dataset).agg(*numbers, *[F.min(c).alias(c) for c, k in kinds.items() if k == "string"])
 
 
 def renormalise(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions.text import draw, tokens
 from sievework.schemas import BOS, EOS, FIRST_NATIVE, MASK_ID, PAD
 
 
+#: Words of the vocabulary that are broadcast, at most.
+HEAD = 200_000
+
+
 @dataclass(frozen=True)
 class ChunkRule:
     """Framed chunk size, least size of a short piece, size always skipped, and the two switches."""
@@ -39,15 +45,30 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, input_ids): words as ids in their order; documents without words give no row."""
+    """(key, input_ids): words as ids in their order; documents without words give no row.
+
+    Ids rise as counts fall, so the HEAD words with the smallest ids are nearly all places of any text: they
+    are looked up in a broadcast table of that bounded size.  Only places of rarer words are shuffled by word.
+    """
     words = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "tok"))
-    return words.join(vocab.select("tok", "tok_id"), "tok").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok_id"))), lambda x: x["tok_id"]).alias("input_ids"))
+    return _looked_up(words, vocab, "tok", "tok_id").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok_id"))), lambda x: x["tok_id"]).alias("input_ids"))
+
+
+def _looked_up(places: DataFrame, vocab: DataFrame, by: str, what: str) -> DataFrame:
+    """`places` joined with the vocabulary: its head by broadcast, its rest, if any, by a shuffle."""
+    last = FIRST_NATIVE + HEAD
+    found = places.join(F.broadcast(vocab.where(F.col("tok_id") < last).select("tok", "tok_id")), by, "left")
+    head = found.where(F.col(what).isNotNull())
+    rest = vocab.where(F.col("tok_id") >= last).select("tok", "tok_id")
+    if rest.isEmpty():
+        return head
+    return head.unionByName(found.where(F.col(what).isNull()).drop(what).join(rest, by))
 
 
 def decode(ids: DataFrame, vocab: DataFrame, key: str = "doc_id", column: str = "input_ids") -> DataFrame:
     """(key, text): words of the ids joined by spaces, reserved ids left out."""
     flat = ids.select(key, F.posexplode(column).alias("pos", "tok_id")).where(~F.col("tok_id").isin(BOS, EOS, PAD, MASK_ID))
-    return flat.join(vocab.select("tok", "tok_id"), "tok_id").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("text"))
+    return _looked_up(flat, vocab, "tok_id", "tok").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("text"))
 
 
 def append_eos(ids: Column) -> Column:
@@ -117,6 +138,31 @@ def mask_draw(key: Column, pos: Column, rate: float) -> Column:
     return draw(key, pos) % 1000 < F.lit(int(round(rate * 1000)))
 
 
+def mask_ids(ids: Column, key: Column, rate: float) -> Column:
+    """The ids with MASK_ID in the places that mask_draw() says; the row keeps its length and is not shuffled."""
+    return F.transform(ids, lambda x, i: F.when(mask_draw(key, i, rate), F.lit(MASK_ID).cast("bigint")).otherwise(x))
+
+
+def encode_with(docs: DataFrame, tokenizer: Callable[[list[str]], list[list[int]]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, input_ids) by any tokenizer: a function from texts to lists of ids, run on Arrow batches.
+
+    A null text is an empty one.  The function is sent to the workers; what it loads, it should load there.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(input_ids=tokenizer(["" if t is None else t for t in pdf.pop("__text")]))
+
+    src = docs.select(F.col(key), F.col(text).alias("__text"))
+    return src.mapInPandas(run, T.StructType([src.schema[key], T.StructField("input_ids", T.ArrayType(T.LongType()))]))
+
+
+def checked_frames(chunks: DataFrame, rule: ChunkRule, ids: str = "input_ids") -> DataFrame:
+    """`chunks`, but an error where one is not framed or too long."""
+    ok = (F.element_at(ids, 1) == BOS) & (F.element_at(ids, -1) == EOS) & (F.size(ids) <= rule.chunk_size)
+    return chunks.where(F.assert_true(ok, F.lit("a chunk is not framed or too long")).isNull())
+
+
 def warm_up_batch(cumulative: Column, warm_tokens: int, start: int, full: int) -> Column:
     """Batch size that grows in proportion to the tokens seen until warm_tokens (T17, the growth rule is ours)."""
     return F.when(cumulative < warm_tokens, F.greatest(F.lit(start), F.floor(F.lit(full) * cumulative / warm_tokens).cast("int"))).otherwise(F.lit(full))

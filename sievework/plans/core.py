@@ -232,6 +232,12 @@ def t_chunk_stats(s, d):
     return written.join(skipped, "source").select("source", "chunks", "written", "skipped", F.col("p")["50"].alias("p50"), F.col("p")["99"].alias("p99"))
 
 
+@query("t_frame_checked", plan_sql(126, 64, 16, True) + "SELECT doc_id, chunk_no, (len + 2)::BIGINT AS len FROM c")
+def t_frame_checked(s, d):
+    rule = ChunkRule(128, 64, 16, True)
+    return tokens.checked_frames(tokens.chunk(length_ids(s, d), rule, "doc_id"), rule).select("doc_id", "chunk_no", F.col("len").cast("bigint").alias("len"))
+
+
 @query("t_truncate", f"SELECT doc_id, list_sum({LENGTHS}[1:100])::BIGINT AS total FROM documents")
 def t_truncate(s, d):
     return length_ids(s, d).select("doc_id", F.aggregate(F.slice("input_ids", 1, 100), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
@@ -245,8 +251,15 @@ def t_batches(s, d):
 @query("t_mask", f"""WITH f AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {TOKENS} AS t FROM documents))
 SELECT doc_id, count(*) AS n, sum(({draw_sql("doc_id::VARCHAR || '-' || pos::VARCHAR")} % 1000 < 300)::INTEGER)::BIGINT AS n_masked FROM f GROUP BY doc_id""")
 def t_mask(s, d):
-    f = table(s, d, "documents").select("doc_id", F.posexplode(fx.tokens(F.col("text"))).alias("pos", "tok"))
-    return f.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(tokens.mask_draw(F.col("doc_id"), F.col("pos"), 0.3).cast("bigint")).alias("n_masked"))
+    n = table(s, d, "documents").select("doc_id", F.size(fx.tokens(F.col("text"))).alias("n")).where("n > 0")
+    masked = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: tokens.mask_draw(F.col("doc_id"), i, 0.3))
+    return n.select("doc_id", F.col("n").cast("bigint").alias("n"), F.size(masked).cast("bigint").alias("n_masked"))
+
+
+@query("t_masked_ids", f"""SELECT doc_id, md5(array_to_string(list_transform({LENGTHS}, lambda x, i: CASE WHEN {draw_sql("doc_id::VARCHAR || '-' || (i - 1)::VARCHAR")} % 1000 < 300 THEN 50284 ELSE x END), ',')) AS ids_md5 FROM documents""")
+def t_masked_ids(s, d):
+    ids = tokens.mask_ids(F.col("input_ids"), F.col("doc_id"), 0.3)
+    return length_ids(s, d).select("doc_id", F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"))
 
 
 # --- group 3: joins
@@ -295,8 +308,8 @@ def j_fanout(s, d):
 SELECT spot, doc_id, (spot - lo)::BIGINT AS offset_in FROM g JOIN r ON spot >= lo AND spot < hi""")
 def j_range_index(s, d):
     r = sampling.prefix_sum(table(s, d, "documents").select("doc_id", "n_chars"), [F.asc("doc_id")], F.col("n_chars"), "hi", F.floor(F.col("doc_id") / 100_000)).withColumn("lo", F.col("hi") - F.col("n_chars"))
-    total = table(s, d, "documents").agg(F.sum("n_chars").alias("t"))
-    g = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("t") - 1, F.lit(10007).cast("bigint"))).alias("spot"))
+    total = table(s, d, "documents").agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
+    g = s.range(0, total, 10007).withColumnRenamed("id", "spot")
     return relational.range_join(g, r, "spot", "lo", "hi", 4096).select("spot", "doc_id", (F.col("spot") - F.col("lo")).alias("offset_in"))
 
 
@@ -334,6 +347,22 @@ def a_histogram(s, d):
     return h.select("bucket", "rows", F.md5(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").cast("binary")).alias("members_md5"))
 
 
+@query("a_histogram_rows", "SELECT (n_chars // 1000)::VARCHAR || 'k' AS bucket, doc_id FROM documents")
+def a_histogram_rows(s, d):
+    return stats.histogram_members(table(s, d, "documents").select("doc_id", "n_chars"), F.col("n_chars"), "doc_id")
+
+
+@query("a_same_totals", COUNTS3 + "SELECT dataset, coalesce(m.n, 0) AS left_n, coalesce(t.n, 0) AS right_n, coalesce(m.n, 0) = coalesce(t.n, 0) AS same FROM m FULL JOIN t USING (dataset)")
+def a_same_totals(s, d):
+    docs = table(s, d, "documents").select("doc_id", "source")
+    return stats.same_totals(by_source(docs), by_source(docs.where((F.col("doc_id") % 50 != 7) & (F.col("source") != "src4"))), "dataset")
+
+
+@query("p_resume", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) WHERE rn > 300")
+def p_resume(s, d):
+    return files.resume_from(table(s, d, "documents").select("doc_id", "lang"), [F.asc("doc_id")], 300)
+
+
 @query("a_manifest_count", "SELECT source, count(*) AS instances FROM documents GROUP BY source")
 def a_manifest_count(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("instances"))
@@ -416,8 +445,7 @@ def w_running_total(s, d):
 
 @query("w_group_budget", f"SELECT source, doc_id, cum FROM (SELECT source, doc_id, (sum(n_chars) OVER (PARTITION BY source ORDER BY {PERMUTED}, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS cum FROM documents) WHERE cum <= 20000")
 def w_group_budget(s, d):
-    w = Window.partitionBy("source").orderBy(fx.order_key(F.col("doc_id"), F.lit(SEED)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(s, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("cum")).where("cum <= 20000")
+    return sampling.group_stop_before(table(s, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20_000, SEED).select("source", "doc_id", "cum")
 
 
 @query("w_latest", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -484,13 +512,12 @@ STOP = f"SELECT doc_id, n, (sum(n) OVER (ORDER BY {PERMUTED}, doc_id ROWS UNBOUN
 
 @query("m_rows_stop_after", N + f"SELECT doc_id, n, cum FROM ({STOP}) WHERE cum - n < 20000")
 def m_rows_stop_after(s, d):
-    w = Window.orderBy(fx.order_key(F.col("doc_id"), F.lit(SEED)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return counts(s, d).select("doc_id", "n", F.sum("n").over(w).cast("bigint").alias("cum")).where("cum - n < 20000")
+    return sampling.stop_after(counts(s, d).select("doc_id", "n"), "doc_id", "n", 20_000, SEED)
 
 
 @query("m_two_level", N + f"SELECT doc_id, n, cum FROM ({STOP}) WHERE cum - n < 20000")
 def m_two_level(s, d):
-    """The same rows as m_rows_stop_after without a single-task window."""
+    """Running totals in two levels, as m_rows_stop_after."""
     return sampling.stop_after(counts(s, d).select("doc_id", "n"), "doc_id", "n", 20_000, SEED)
 
 

@@ -261,6 +261,15 @@ def r_weighted_pool(s, d):
     return retrieval.weighted_pool(table(s, d, "embeddings"), "label", "embedding", F.lit(1) + F.col("vec_id") % 7).withColumn("value", F.round("value", 9))
 
 
+@query("r_last_token", f"SELECT vec_id, round(v[1 + (vec_id % 64)::INTEGER], 9) AS x FROM ({VEC})")
+def r_last_token(s, d):
+    """Each component as a token vector of its own, the mask ending at vec_id % 64."""
+    e = table(s, d, "embeddings")
+    vectors = F.transform("embedding", lambda x: F.array(x.cast("double")))
+    mask = F.transform("embedding", lambda x, i: F.when(i <= F.col("vec_id") % 64, 1).otherwise(0))
+    return e.select("vec_id", F.round(retrieval.last_token(vectors, mask)[0], 9).alias("x"))
+
+
 @query("r_last_pool", "SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY label")
 def r_last_pool(s, d):
     return retrieval.last_pool(table(s, d, "embeddings").select("label", "vec_id"), "label", "vec_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ def events(s, d) -> DataFrame:
 
 
 def result(df: DataFrame, mode: str = "complete") -> DataFrame:
-    return streams.drain(df, f"s_{uuid.uuid4().hex}", shared_folder(df.sparkSession), mode)
+    return streams.to_table(df, shared_folder(df.sparkSession), mode)
 
 
 def ntz(df: DataFrame, *names: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,10 +24,19 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Written once as a table in the shared folder and read again, so that no part of it is computed anew."""
+    path = f"{shared_folder(df.sparkSession)}/{what}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; a local one only in local mode (tests), elsewhere it must be set."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root}/sievework-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="sievework-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.schemas import TEXT
+from sievework.schemas import TEXT, WINOGENDER
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -67,6 +67,42 @@ def domain_of(df: DataFrame, column: str = "_file") -> DataFrame:
     return df.withColumn("domain", F.try_element_at(F.split(column, "/"), F.lit(-2)))
 
 
+def split_names(df: DataFrame, column: str = "_file") -> DataFrame:
+    """`df` with folder (the one that holds the file) and dataset (the one above); a folder whose name comes in
+    several datasets gets its dataset as a prefix (S18, S19).
+
+    The table of folders, one row for each, is what is aggregated and joined back.
+    """
+    parts = F.split(column, "/")
+    named = df.withColumn("folder", F.try_element_at(parts, F.lit(-2))).withColumn("dataset", F.try_element_at(parts, F.lit(-3)))
+    twice = named.groupBy("folder").agg(F.count_distinct("dataset").alias("__d")).where("__d > 1")
+    return named.join(twice, "folder", "left").withColumn("folder", F.when(F.col("__d").isNotNull(), F.concat_ws("_", "dataset", "folder")).otherwise(F.col("folder"))).drop("__d")
+
+
+def quarantined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and the lines that did not parse, of read_jsonl()."""
+    bad = F.col("_corrupt_record")
+    return rows.where(bad.isNull()).drop("_corrupt_record"), rows.where(bad.isNotNull()).select("_corrupt_record")
+
+
+def resume_from(rows: DataFrame, order: list, done: int) -> DataFrame:
+    """Rows after the first `done` in `order`, where a broken run goes on."""
+    from sievework.operators.sampling import ordinal
+
+    return ordinal(rows, order, "__rn").where(F.col("__rn") > done).drop("__rn")
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """The example sentences of bias evaluation from CSV or TSV files with a header, null where a field is empty."""
+    kind = "\t" if path.endswith("tsv") else ","
+    return spark.read.schema(WINOGENDER).option("header", "true").option("sep", kind).csv(path)
+
+
+def export_json(report: DataFrame, path: str) -> None:
+    """A report as one JSON-lines file."""
+    report.coalesce(1).write.json(path)
+
+
 def export_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

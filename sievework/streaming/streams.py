@@ -29,6 +29,25 @@ def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") ->
     return df.sparkSession.table(name)
 
 
+def to_table(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a streaming plan over all that is there into files of `folder`, and reads them: nothing passes the driver.
+
+    Every micro-batch has a folder of its own, which a retry overwrites; with `complete` the last one is the result.
+    """
+    from pyspark.sql import types as T
+
+    ran: list[int] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
+        ran.append(number)
+
+    df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    spark, kept = df.sparkSession, ran[-1:] if mode == "complete" else ran
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    return spark.read.schema(schema).parquet(*[f"{folder}/data/batch={n}" for n in kept]) if kept else spark.createDataFrame([], schema)
+
+
 def running_stats(stream: DataFrame, folder: str, n: str) -> DataFrame:
     """Rows and total of each folder, kept up to date."""
     return stream.groupBy(folder).agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("total"))
