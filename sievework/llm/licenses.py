@@ -181,8 +181,8 @@ def containment(docs: DataFrame, templates: list[tuple[str, list[str], int]], or
     first_words = F.broadcast(spark.createDataFrame(index, "r int, scale int, t int, at int"))
     whole = F.broadcast(spark.createDataFrame([(t, k, len(s), s) for t, (s, k) in enumerate(zip(sets, need))], "t int, need int, size int, s array<int>"))
     rare = sorted({order[r] for r, *_ in index})
-    pattern = rf"(?i)(?<!{WORD})(?:" + "|".join(re.escape(w) for w in rare) + rf")(?!{WORD})"
-    some = docs.where(F.col("text").rlike(pattern)).select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), "text")
+    # a look-up of each word in a hash set: a pattern with every rare word would try them all at every character
+    some = docs.where(F.exists(words_of(F.col("text")), lambda w: w.isin(rare))).select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), "text")
     blocks = some.select("i", "h", F.posexplode(blocks_of(F.col("text"), sorted(set(scales)))).alias("block", "x")).select("i", "h", "block", "x.*").where(F.exists("words", lambda w: w.isin(rare)))
     known = blocks.select("i", "h", "block", "scale", F.explode(F.array_distinct("words")).alias("w")).join(vocabulary, "w")
     ranks = known.groupBy("i", "h", "block", "scale").agg(F.array_sort(F.collect_set("r")).alias("b"))  # at most the vocabulary
