@@ -86,7 +86,7 @@ def test_streams_resume_with_new_files_and_batches(spark, tmp_path):
 
 def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
     src = str(tmp_path / "in")
-    for batch in ([("a", "2024-01-01 10:00:00")], [("b", "2024-01-02 10:00:00")], [("late", "2024-01-01 09:00:00")], [("c", "2024-01-03 10:00:00")]):
+    for batch in ([("a", "2024-01-01 10:00:00")], [("b", "2024-01-02 10:00:00")], [("c", "2024-01-03 10:00:00")], [("late", "2024-01-01 09:00:00")], [("d", "2024-01-04 10:00:00")]):
         spark.createDataFrame(batch, "k string, t string").selectExpr("k", "cast(t as timestamp) ts").coalesce(1).write.mode("append").parquet(src)
         time.sleep(0.05)  # files are taken in the order of their times
     e = streams.file_stream(spark, src, "k string, ts timestamp", 1)
