@@ -139,9 +139,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, UPPER.lower()), GAP + "+"), lambda w: w != "")
 
 
-def blocks_of(text: Column, scales: list[int]) -> Column:
-    """Array of (scale, words): windows of so many words, each beginning in the middle of the one before; scale 0: the lines."""
-    words = words_of(text)
+def blocks_of(text: Column, words: Column, scales: list[int]) -> Column:
+    """Array of (scale, words): windows of so many words, each beginning in the middle of the one before; scale 0: the lines.
+
+    `words` must be a column that holds words_of(text): an expression would be computed again for every window.
+    """
 
     def of(scale: int) -> Column:
         block = lambda w: F.struct(F.lit(scale).alias("scale"), w.alias("words"))
@@ -182,8 +184,8 @@ def containment(docs: DataFrame, templates: list[tuple[str, list[str], int]], or
     whole = F.broadcast(spark.createDataFrame([(t, k, len(s), s) for t, (s, k) in enumerate(zip(sets, need))], "t int, need int, size int, s array<int>"))
     rare = sorted({order[r] for r, *_ in index})
     # a look-up of each word in a hash set: a pattern with every rare word would try them all at every character
-    some = docs.where(F.exists(words_of(F.col("text")), lambda w: w.isin(rare))).select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), "text")
-    blocks = some.select("i", "h", F.posexplode(blocks_of(F.col("text"), sorted(set(scales)))).alias("block", "x")).select("i", "h", "block", "x.*").where(F.exists("words", lambda w: w.isin(rare)))
+    some = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"), "text", words_of(F.col("text")).alias("all")).where(F.exists("all", lambda w: w.isin(rare)))
+    blocks = some.select("i", "h", F.posexplode(blocks_of(F.col("text"), F.col("all"), sorted(set(scales)))).alias("block", "x")).select("i", "h", "block", "x.*").where(F.exists("words", lambda w: w.isin(rare)))
     known = blocks.select("i", "h", "block", "scale", F.explode(F.array_distinct("words")).alias("w")).join(vocabulary, "w")
     ranks = known.groupBy("i", "h", "block", "scale").agg(F.array_sort(F.collect_set("r")).alias("b"))  # at most the vocabulary
     hits = ranks.select("i", "h", "block", "scale", "b", F.posexplode("b").alias("place", "r")).join(first_words, ["r", "scale"])
