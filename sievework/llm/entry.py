@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, quality, simhash, spm, suffix, topk, toxicity
+from . import chat, decontam, langid, licenses, quality, simhash, spm, suffix, topk, toxicity, variants
 from .common import fold, table
 
 
@@ -75,6 +75,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their forms and roots; odd rows as in variants.group_variants."""
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
