@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, quality, simhash, spm, suffix, topk, toxicity, variants
+from . import chat, decontam, langid, licenses, negatives, quality, simhash, spm, suffix, topk, toxicity, variants
 from .common import fold, table
 
 
@@ -75,6 +75,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth row; odd rows as in negatives.mine."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows, label, F.col("vec_id") % 50 == 0)
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their forms and roots; odd rows as in variants.group_variants."""
     return variants.group_variants(table(spark, sf_dir, "documents"))
@@ -85,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op9_licenses": licenses.oracle_sql()}
+    return {"op2_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op9_licenses": licenses.oracle_sql(), "op12_negatives": negatives.ORACLE}
