@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, negatives, quality, simhash, spm, suffix, topk, toxicity, variants
+from . import chat, decontam, langid, licenses, minhash, negatives, quality, simhash, spm, suffix, topk, toxicity, variants
 from .common import fold, table
 
 
@@ -75,6 +75,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents; odd rows as in minhash.near_duplicates."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth row; odd rows as in negatives.mine."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
