@@ -131,7 +131,7 @@ def tries(words: DataFrame) -> DataFrame:
     total = words.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars")).first()
     shards = max(1, -(-total.n // SHARD_WORDS), -(-(total.chars or 0) // SHARD_CHARS))
     each = -(-total.n // shards)
-    placed = ordinal(words, [F.asc("word")], "at").select(F.floor(F.col("at") / max(each, 1)).alias("shard"), "word", F.col("n").alias("times"))
+    placed = ordinal(words, [F.asc("word")], "at").select(F.floor((F.col("at") - 1) / max(each, 1)).alias("shard"), "word", F.col("n").alias("times"))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         coded = sorted(zip((x.encode("latin-1") for x in pdf["word"]), pdf["times"]))
