@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sievework.operators import relational
+from sievework.operators import intervals, relational
 from sievework.plans.registry import query
 from sievework.sources.files import table
 
@@ -117,3 +117,29 @@ def g_distinct_agg(s, d):
 @query("g_date_parts", "SELECT year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, count(*) AS n FROM orders GROUP BY ALL")
 def g_date_parts(s, d):
     return table(s, d, "orders").groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SPANS = "SELECT event_id AS {0}_id, epoch_us(ts) AS {0}_from, epoch_us(ts) + 1000000 * (60 + (user_id % 7) * {1}) AS {0}_to FROM events WHERE event_type = '{2}'"
+
+
+@query("g_interval_join", f"SELECT error_id, click_id FROM ({SPANS.format('error', 600, 'error')}) JOIN ({SPANS.format('click', 30, 'click')}) ON error_from < click_to AND click_from < error_to")
+def g_interval_join(s, d):
+    """Errors and clicks whose spans overlap, without any key that is equal."""
+    def spans(name, step):
+        e = table(s, d, "events").where(F.col("event_type") == name)
+        begin = F.unix_micros(F.col("ts").cast("timestamp"))
+        return e.select(F.col("event_id").alias(f"{name}_id"), begin.alias(f"{name}_from"), (begin + 1_000_000 * (60 + F.col("user_id") % 7 * step)).alias(f"{name}_to"))
+
+    return intervals.overlap_join(spans("error", 600), spans("click", 30), ("error_from", "error_to"), ("click_from", "click_to")).select("error_id", "click_id")
+
+
+@query("g_interval_join_key", """WITH o AS (SELECT o_custkey, o_orderkey, datediff('day', TIMESTAMP '1970-01-01', o_orderdate) AS lo, datediff('day', TIMESTAMP '1970-01-01', o_orderdate) + 1 + o_orderkey % 90 AS hi FROM orders)
+SELECT a.o_custkey, a.o_orderkey AS one, b.o_orderkey AS other FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.lo < b.hi AND b.lo < a.hi""")
+def g_interval_join_key(s, d):
+    """Orders of one customer that are open at the same time."""
+    def open_orders(name):
+        lo = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+        return table(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias(name), lo.alias(f"{name}_lo"), (lo + 1 + F.col("o_orderkey") % 90).alias(f"{name}_hi"))
+
+    out = intervals.overlap_join(open_orders("one"), open_orders("other"), ("one_lo", "one_hi"), ("other_lo", "other_hi"), ["o_custkey"])
+    return out.where("one < other").select("o_custkey", "one", "other")

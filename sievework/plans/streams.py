@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.plans.registry import query
 from sievework.session import shared_folder
-from sievework.streaming import streams
+from sievework.streaming import state, streams
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -62,3 +62,20 @@ def x_session(s, d):
 def x_dedup_watermark(s, d):
     e = events(s, d).select("event_id", "ts")
     return result(streams.dedup(e.unionByName(events(s, d).select("event_id", "ts")), "ts", ["event_id"], "60 days"), "append").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x_token_budget", """SELECT event_type AS folder, event_id AS id, n, cum FROM (SELECT event_type, event_id, length(props)::BIGINT + user_id AS n,
+(sum(length(props) + user_id) OVER (PARTITION BY event_type ORDER BY epoch_ms(ts), event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS cum FROM events) WHERE cum <= 20000""")
+def x_token_budget(s, d):
+    """The budget rule of w_group_budget in the order of arrival, kept as state."""
+    n = F.length("props") + F.col("user_id")
+    out = state.token_budget(events(s, d), F.col("event_type"), F.col("event_id"), n, F.col("user_id"), "ts", 20_000, "1 day", 400 * 86_400_000)
+    return result(out, "append").where("NOT closed").select("folder", "id", "n", "cum")
+
+
+@query("x_interval_join", "SELECT e.user_id, e.event_id AS error_id, c.event_id AS click_id FROM events e JOIN events c ON e.user_id = c.user_id AND c.ts >= e.ts AND c.ts <= e.ts + INTERVAL 2 HOUR WHERE e.event_type = 'error' AND c.event_type = 'click'")
+def x_interval_join(s, d):
+    """Errors with the clicks of the same user in the two hours after them, stream to stream."""
+    errors = events(s, d).where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("error_at"))
+    clicks = events(s, d).where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_at"))
+    return result(streams.interval_pairs(errors, clicks, "user_id", "error_at", "click_at", "2 HOURS", "1 day"), "append").select("user_id", "error_id", "click_id")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1, kind: str = "parquet") -> DataFrame:
@@ -23,29 +25,34 @@ def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming plan over all that is there; its result as a table in memory (for results of bounded size)."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
-
-
 def to_table(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     """Runs a streaming plan over all that is there into files of `folder`, and reads them: nothing passes the driver.
 
-    Every micro-batch has a folder of its own, which a retry overwrites; with `complete` the last one is the result.
+    Every micro-batch has a folder of its own, which a retry overwrites.  Run again on the same folder, the plan goes on
+    where it stopped, and the result still is the whole one: with `append` all batches of all runs, with `complete` the
+    last batch, of whatever run.
     """
-    from pyspark.sql import types as T
-
-    ran: list[int] = []
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
-        ran.append(number)
 
     df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    spark, kept = df.sparkSession, ran[-1:] if mode == "complete" else ran
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    return spark.read.schema(schema).parquet(*[f"{folder}/data/batch={n}" for n in kept]) if kept else spark.createDataFrame([], schema)
+    return read_batches(df.sparkSession, folder, df.schema, last=mode == "complete")
+
+
+def read_batches(spark: SparkSession, folder: str, schema: T.StructType, last: bool = False) -> DataFrame:
+    """What to_table() has written into `folder` so far: all batches, or the last one; no row before the first batch."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in schema.fields]
+    try:
+        every = spark.read.schema(T.StructType([*fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/data")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType(fields))
+    if last:
+        numbers = {int(p.rsplit("batch=", 1)[1].split("/")[0]) for p in every.inputFiles()}
+        every = every.where(F.col("batch") == max(numbers)) if numbers else every
+    return every.select(*[f.name for f in fields])
 
 
 def running_stats(stream: DataFrame, folder: str, n: str) -> DataFrame:
@@ -65,6 +72,17 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str, delay: str, *aggs)
     return events.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap)).agg(*aggs)
 
 
+def interval_pairs(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, within: str, delay: str) -> DataFrame:
+    """Pairs of one key whose right row comes at the left one's time or at most `within` later (stream to stream).
+
+    Both sides have a watermark and the times bound each other, so that rows too old to find a partner leave the
+    state; the sides' other columns must differ in name.
+    """
+    a, b = left.withWatermark(left_ts, delay), right.withWatermark(right_ts, delay).withColumnRenamed(key, "__key")
+    near = (F.col("__key") == F.col(key)) & (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).drop("__key")
+
+
 def dedup(events: DataFrame, ts: str, keys: list[str], delay: str) -> DataFrame:
     """The first row of each key within the watermark."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
