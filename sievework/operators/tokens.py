@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sievework.functions.text import draw, tokens
 from sievework.schemas import BOS, EOS, FIRST_NATIVE, MASK_ID, PAD
+from sievework.session import stored
 
 
 #: Words of the vocabulary that are broadcast, at most.
@@ -47,28 +48,39 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
 def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, input_ids): words as ids in their order; documents without words give no row.
 
-    Ids rise as counts fall, so the HEAD words with the smallest ids are nearly all places of any text: they
-    are looked up in a broadcast table of that bounded size.  Only places of rarer words are shuffled by word.
+    Rows stay apart whatever their keys: rows of one key, or without a key, come back as they went in.  Ids rise as
+    counts fall, so the HEAD words with the smallest ids are nearly all places of any text: they are looked up in
+    a broadcast table of that bounded size.  See look_up().
     """
-    words = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "tok"))
-    return _looked_up(words, vocab, "tok", "tok_id").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok_id"))), lambda x: x["tok_id"]).alias("input_ids"))
+    got = look_up(docs, key, tokens(F.col(text)), vocab.select("tok", "tok_id"), "tok", "tok_id", F.col("tok_id") < FIRST_NATIVE + HEAD)
+    return got.select(key, F.col("__got").alias("input_ids"))
 
 
-def _looked_up(places: DataFrame, vocab: DataFrame, by: str, what: str) -> DataFrame:
-    """`places` joined with the vocabulary: its head by broadcast, its rest, if any, by a shuffle."""
-    last = FIRST_NATIVE + HEAD
-    found = places.join(F.broadcast(vocab.where(F.col("tok_id") < last).select("tok", "tok_id")), by, "left")
-    head = found.where(F.col(what).isNotNull())
-    rest = vocab.where(F.col("tok_id") >= last).select("tok", "tok_id")
-    if rest.isEmpty():
-        return head
-    return head.unionByName(found.where(F.col(what).isNull()).drop(what).join(rest, by))
+def look_up(df: DataFrame, key: str, values: Column, table: DataFrame, by: str, what: str, frequent: Column) -> DataFrame:
+    """(key, __got): the array `values` of each row with each element replaced by the `what` of its row in `table`.
+
+    Elements that the table lacks are left out, and rows of which nothing is left.  Each row gets an identity,
+    in a stored copy, and the rows are dealt by it before they are exploded: elements found in the `frequent` part
+    of the table, which is broadcast, need no shuffle to come together again.  Only the others are shuffled.
+    """
+    rows = stored(df.select(F.col(key), values.alias("__v")).withColumn("__row", F.monotonically_increasing_id()), "rows").repartition("__row")
+    places = rows.select("__row", key, F.posexplode("__v").alias("pos", by))
+    found = places.join(F.broadcast(table.where(frequent)), by, "left")
+    pair, none = F.struct("pos", F.col(what).alias("w")), F.array()
+    got = found.groupBy("__row").agg(F.first(key).alias(key), F.collect_list(F.when(F.col(what).isNotNull(), pair)).alias("__a"))
+    rest = table.where(~frequent)
+    if not rest.isEmpty():
+        rare = found.where(F.col(what).isNull()).drop(what, key).join(rest, by).groupBy("__row").agg(F.collect_list(pair).alias("__b"))
+        kind = got.schema["__a"].dataType
+        got = got.join(rare, "__row", "left").withColumn("__a", F.concat("__a", F.coalesce("__b", none.cast(kind))))
+    return got.where(F.size("__a") > 0).select(key, F.transform(F.array_sort("__a"), lambda x: x["w"]).alias("__got"))
 
 
 def decode(ids: DataFrame, vocab: DataFrame, key: str = "doc_id", column: str = "input_ids") -> DataFrame:
-    """(key, text): words of the ids joined by spaces, reserved ids left out."""
-    flat = ids.select(key, F.posexplode(column).alias("pos", "tok_id")).where(~F.col("tok_id").isin(BOS, EOS, PAD, MASK_ID))
-    return _looked_up(flat, vocab, "tok_id", "tok").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("text"))
+    """(key, text): words of the ids joined by spaces, reserved ids left out; rows stay apart as in encode()."""
+    own = F.filter(F.col(column), lambda x: ~x.isin(BOS, EOS, PAD, MASK_ID))
+    got = look_up(ids, key, own, vocab.select("tok", "tok_id"), "tok_id", "tok", F.col("tok_id") < FIRST_NATIVE + HEAD)
+    return got.select(key, F.array_join("__got", " ").alias("text"))
 
 
 def append_eos(ids: Column) -> Column:
