@@ -21,13 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, add_columns, cut, stored
+from .common import NULL_ID, add_columns, cut, stored, tidy
 from .graph import connected_components
 from .simhash import shingles
+from .suffix import _bitmap, _has
 
 #: Coordinates of a signature, the chance at which a pair at the threshold may be missed, sets of a posting that meet in
 #: one task, and bytes of text in a block (a cell, which a task confirms, holds two blocks, or two texts).
 COORDINATES, MISS, PART, BLOCK_BYTES = 64, 1e-8, 2048, 1 << 20
+#: Rows of postings that a task merges at once, or so: small postings are many, and share a task.
+TOGETHER = 16_384
 
 
 def least_matches(coordinates: int, similarity: float, miss: float = MISS) -> int:
@@ -135,43 +138,68 @@ def confirm(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["u", "v"])
 
 
-def candidates(pdf: pd.DataFrame, matches: int, percent: int, tile: int = 128, wide: int = 1024) -> pd.DataFrame:
-    """Pairs of one posting (or of two parts of it), as rows (bx, by, node, partners) for the cells of their blocks.
+def candidates(pdf: pd.DataFrame, matches: int, percent: int, most: int = 32_768) -> pd.DataFrame:
+    """Pairs of the postings in `pdf`, as rows (xp, xs, yp, ys, node, partners) for the cells of their blocks.
 
-    A pair is taken if at least `matches` coordinates agree, the sets are not of one class, their sizes allow the
-    similarity, and no earlier posting of both prefixes is common.  Rows without partners name the other nodes of a cell.
+    Rows with equal token, i and j are a posting, or two parts of one.  A pair is taken if at least `matches`
+    coordinates agree, the sets are not of one class, their sizes allow the similarity, and no earlier posting of
+    both prefixes is common.  Rows without partners name the other nodes of a cell.  Rows at each distance in turn
+    are compared, in all postings at once.
     """
-    parts = pdf["part"].to_numpy()
-    i_part, j_part = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    pdf = pdf.assign(other=parts != i_part).sort_values(["root", "node"], kind="stable")
-    node, root, n, before, other = (pdf[c].to_numpy() for c in ("node", "root", "n", "before", "other"))
+    pdf = pdf.sort_values(["token", "i", "j", "root"], kind="stable")
+    node, root, n, part = (pdf[c].to_numpy(np.int64) for c in ("node", "root", "n", "part"))
+    before = pdf["before"].to_numpy(np.int64).view(np.uint64)
+    key = pdf[["token", "i", "j"]].to_numpy(np.int64)
     sig = np.array(list(pdf["sig"]), np.int32)
-    block = list(zip(pdf["pivot"], pdf["sub"]))
-    left = np.flatnonzero(~other)
-    right = left if i_part == j_part else np.flatnonzero(other)
-    found: dict[tuple, dict] = {}
-    for a in range(0, len(left), tile):
-        x = left[a : a + tile]
-        y = right[a + 1 :] if right is left else right
-        if (root[x] == root[x[0]]).all():
-            y = y[root[y] != root[x[0]]]
-        for b in range(0, len(y), wide):
-            z = y[b : b + wide]
-            agree = np.packbits(sig[x, None] == sig[None, z], axis=-1, bitorder="little")
-            agree = agree.view(np.uint64) if agree.shape[-1] == 8 else np.pad(agree, ((0, 0), (0, 0), (0, -agree.shape[-1] % 8))).view(np.uint64)
-            on = np.bitwise_count(agree).sum(axis=-1) >= matches
-            on &= (agree[..., 0] & before[x, None].view(np.uint64) & before[None, z].view(np.uint64)) == 0
-            on &= (root[x, None] != root[None, z]) & (100 * np.minimum(n[x, None], n[None, z]) >= percent * np.maximum(n[x, None], n[None, z]))
-            if right is left:
-                on &= x[:, None] < z[None, :]
-            for p, q in zip(*np.nonzero(on)):
-                u, v = sorted((int(x[p]), int(z[q])), key=lambda k: (block[k], k))
-                found.setdefault((block[u], block[v]), {}).setdefault(u, []).append(v)
-    rows = []
-    for (bx, by), lists in found.items():
-        rows += [(*bx, *by, node[u], [int(node[v]) for v in ys]) for u, ys in lists.items()]
-        rows += [(*bx, *by, node[v], []) for v in {v for ys in lists.values() for v in ys} - set(lists)]
-    return pd.DataFrame(rows, columns=["xp", "xs", "yp", "ys", "node", "partners"])
+    fresh = np.ones(len(pdf), bool)
+    fresh[1:] = (key[1:] != key[:-1]).any(axis=1)
+    end = np.append(np.flatnonzero(fresh)[1:], len(pdf))[np.cumsum(fresh) - 1]  # of each row's posting
+    across = key[:, 1] != key[:, 2]  # two parts: only pairs between them
+    pairs: list[np.ndarray] = []
+    waiting: list[np.ndarray] = []
+    size = 0
+
+    def look() -> None:
+        both = np.concatenate(waiting, axis=1)
+        for k in range(0, both.shape[1], most):
+            x, y = both[:, k : k + most]
+            agree = np.packbits(sig[x] == sig[y], axis=1, bitorder="little")
+            agree = np.pad(agree, ((0, 0), (0, -agree.shape[1] % 8))).view(np.uint64)[:, 0]
+            on = (np.bitwise_count(agree) >= matches) & ((agree & before[x] & before[y]) == 0)
+            pairs.append(np.stack([x[on], y[on]]))
+
+    left = np.arange(len(pdf))
+    for d in range(1, len(pdf)):
+        left = left[left + d < end[left]]
+        if not len(left):
+            break
+        x, y = left, left + d
+        on = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        on &= ~across[x] | (part[x] != part[y])
+        if on.any():
+            waiting.append(np.stack([x[on], y[on]]))
+            size += int(on.sum())
+            if size > most:
+                look()
+                waiting, size = [], 0
+    if waiting:
+        look()
+    if not pairs or not sum(p.shape[1] for p in pairs):
+        return pd.DataFrame(columns=["xp", "xs", "yp", "ys", "node", "partners"], dtype=object)
+    x, y = np.concatenate(pairs, axis=1)
+    names, block = np.unique(pdf[["pivot", "sub"]].to_numpy(np.int64), axis=0, return_inverse=True)
+    block = block.ravel()
+    x, y = np.where(block[x] <= block[y], x, y), np.where(block[x] <= block[y], y, x)
+    order = np.lexsort((x, block[y], block[x]))
+    x, y = x[order], y[order]
+    cell = np.stack([block[x], block[y]])
+    begin = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (cell[:, 1:] != cell[:, :-1]).any(axis=0)))
+    lists = np.split(node[y], begin[1:])
+    others = np.unique(np.stack([block[x], block[y], y]), axis=1)
+    ab, u = np.concatenate([cell[:, begin], others[:2]], axis=1), np.concatenate([x[begin], others[2]])
+    out = pd.DataFrame(np.concatenate([names[ab[0]], names[ab[1]], node[u][:, None]], axis=1), columns=["xp", "xs", "yp", "ys", "node"])
+    out["partners"] = [*lists, *[[]] * len(others[0])]
+    return out
 
 
 def _links(cells: DataFrame, key: list[str], shingle: int, percent: int) -> DataFrame:
@@ -182,6 +210,28 @@ def _confirm_cell(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame
     return confirm(pdf, shingle, percent)
 
 
+def _texts(docs: DataFrame, rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """(node, home, sub, pivot, centre, text) of every row of `facts`, one text for each node, stored.
+
+    A filter of a fixed number of bits lets these texts, and a few others, through to the shuffle.
+    """
+    i, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64(F.lit("row"), "text")
+    key = lambda df: df.withColumn("key", F.xxhash64("i", "th"))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(key(facts), "key"))
+    src = key(docs.select(i.alias("i"), th.alias("th"), F.col("text").cast("binary").alias("text")))
+
+    def some(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.filter(pa.array(_has(shared.value, b.column(3).to_numpy().view(np.uint64))))
+        tidy()
+
+    found = src.mapInArrow(some, src.schema).drop("key").join(facts.select("node", "i", "th", "home", "sub", "pivot", "centre"), ["i", "th"]).drop("i", "th")
+    again = rows.groupBy(i, "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
+    return stored(found.dropDuplicates(["node"]) if again else found, "texts")  # else no row comes twice
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the class of every row, named by its smallest doc_id.
 
@@ -208,34 +258,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     star = cut(live.select("node").join(stars(live, matches), "node", "left"))
     facts = sets.select("node", "sig", "n", "r.i", "r.th", "r.bytes").join(star, "node").withColumn("home", F.coalesce("pivot", "node"))
     room = facts.groupBy("home").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("subs"))
-    facts = cut(facts.join(room, "home").withColumn("sub", F.when(F.col("subs") > 1, F.pmod(F.xxhash64("node"), F.col("subs"))).otherwise(F.lit(0).cast("long"))))
-    reps = docs.select(i.alias("i"), th.alias("th"), F.col("text").cast("binary").alias("text")).join(facts.select("node", "i", "th"), ["i", "th"])
-    texts = stored(reps.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    centre = star.where("pivot IS NOT NULL").select(F.col("pivot").alias("node"), F.lit(True).alias("centre")).distinct()
+    sub = F.when(F.col("subs") > 1, F.pmod(F.xxhash64("node"), F.col("subs"))).otherwise(F.lit(0).cast("long"))
+    facts = cut(facts.join(room, "home").withColumn("sub", sub).join(centre, "node", "left"))
+    texts = _texts(docs, rows, facts)
 
     # every set against its pivot, whose text goes to each block of the sets around it
-    around = facts.where("pivot IS NOT NULL").select(F.col("pivot").alias("home"), "sub", "node", F.array("pivot").alias("partners"))
-    middle = facts.where("pivot IS NOT NULL").select(F.col("pivot").alias("home"), "sub", F.col("pivot").alias("node")).distinct().withColumn("partners", F.array().cast("array<long>"))
-    first = cut(_links(around.unionByName(middle).join(texts, "node"), ["home", "sub"], shingle, percent))
+    around = texts.where("pivot IS NOT NULL").select("home", "sub", "node", F.array("pivot").alias("partners"), "text")
+    spread = facts.where("pivot IS NOT NULL").select("home", "sub", F.col("pivot").alias("node")).distinct()
+    middle = spread.join(texts.where("centre").select("node", "text"), "node").select("home", "sub", "node", F.array().cast("array<long>").alias("partners"), "text")
+    first = cut(_links(around.unionByName(middle), ["home", "sub"], shingle, percent))
     roots = connected_components(first).withColumnRenamed("root", "known")
 
     # the prefixes, merged where sets of several classes meet
-    state = facts.join(roots, "node", "left").join(live, "node").withColumn("root", F.coalesce("known", "node"))
+    state = facts.select("node").join(roots, "node", "left").join(live, "node").withColumn("root", F.coalesce("known", "node"))
     head = F.slice("toks", F.lit(1), F.size("toks") - (matches - 1))
     coordinate = lambda t: F.shiftright(t["token"], 32).cast("int")
     marked = F.transform(F.col("head"), lambda t, k: F.struct(t["token"].alias("token"), F.aggregate(F.slice("head", F.lit(1), k), F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), coordinate(e)))).alias("before")))
     posted = cut(state.withColumn("head", head).select("node", "root", F.explode(marked).alias("t")).select("node", "root", "t.token", "t.before"))
-    mixed = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("m") / PART).alias("parts"))
+    mixed = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "m", F.ceil(F.col("m") / PART).alias("parts")))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("i"), F.greatest(F.col("part"), k).alias("j")))
-    open_ = posted.join(mixed, "token").join(facts.select("node", "sig", "n", F.col("home").alias("pivot"), "sub"), "node").withColumn("part", part)
+    open_ = posted.join(mixed.select("token", "parts"), "token").join(facts.select("node", "sig", "n", F.col("home").alias("pivot"), "sub"), "node").withColumn("part", part)
     dealt = open_.withColumn("at", F.explode(meet)).select("token", "at.i", "at.j", "part", "node", "root", "n", "before", "sig", "pivot", "sub")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return candidates(pdf, matches, percent)
 
-    found = dealt.groupBy("token", "i", "j").applyInPandas(merge, "xp long, xs long, yp long, ys long, node long, partners array<long>")
+    rows_of = mixed.agg(F.sum(F.col("m") * F.col("parts"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, -(-rows_of // TOGETHER))))
+    found = dealt.groupBy(group.alias("g")).applyInPandas(merge, "xp long, xs long, yp long, ys long, node long, partners array<long>")
     cells = found.groupBy("xp", "xs", "yp", "ys", "node").agg(F.flatten(F.collect_list("partners")).alias("partners"))  # the nodes of a block at most
-    second = _links(cells.join(texts, "node"), ["xp", "xs", "yp", "ys"], shingle, percent)
+    second = _links(cells.join(texts.select("node", "text"), "node"), ["xp", "xs", "yp", "ys"], shingle, percent)
 
     last = connected_components(first.unionByName(second))
     classes = sets.select("sid", "node", "least").join(last, "node", "left").withColumn("root", F.coalesce("root", "node"))
