@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import GENDERS, all_pronouns, gender_class, masked, rewrite, strip_punctuation, tokens
+from sievework.functions.text import CLASSES, GENDERS, all_pronouns, gender_class, masked, rewrite, strip_punctuation, tokens
 
 
 def masked_rows(sentences: DataFrame, key: list[str], text: str = "sentence") -> DataFrame:
@@ -115,6 +116,61 @@ def score_with(df: DataFrame, column: str, scorer: Callable[[], Callable[[list[s
     return df.withColumn(out, run(F.col(column)))
 
 
+#: What score_masks() gives for each mask.
+MASK_SCORE = "original_rank int, original_prob double, male_raw double, female_raw double, neutral_raw double, total_gender_prob double, male_prob double, female_prob double, neutral_prob double, top_tokens array<string>, top_probs array<double>"
+
+
+def best_of(prob: np.ndarray, tokens: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k most probable tokens, ties by the token; found by selection, only these are sorted."""
+    k = min(k, prob.shape[1])
+    edge = np.partition(prob, prob.shape[1] - k, axis=1)[:, prob.shape[1] - k]
+    out = np.empty((len(prob), k), np.int64)
+    for row, (p, e) in enumerate(zip(prob, edge)):
+        at = np.flatnonzero(p >= e)
+        out[row] = at[np.lexsort((tokens[at], -p[at]))][:k]
+    return out
+
+
+def score_masks(masks: DataFrame, scorer: Callable[[], tuple[list[str], Callable[[list[str]], np.ndarray]]], k: int = 20, report: int = 10, sentence: str = "masked_sentence", original: str = "original", block: int = 64) -> DataFrame:
+    """`masks` with the columns of MASK_SCORE: a masked-word model's view of each mask, one row a mask.
+
+    scorer() loads the model once for each worker and gives its vocabulary and a function from sentences to their
+    logits at the mask (rows x vocabulary); `block` sentences are scored at once.  The vocabulary never becomes rows:
+    softmax, the k best tokens, the rank and probability of the original word among them, and the probability of each gender
+    among them (raw, and as shares, 0 if there is none) are taken where the logits are; the first `report` tokens
+    are returned.  Words are compared without space around them and in lower case.  A null sentence gives nulls.
+    """
+    names = [f.split()[0] for f in MASK_SCORE.split(", ")]
+
+    def rows(tokens: np.ndarray, plain: list[str], gender: np.ndarray, logits: np.ndarray, want: list) -> Iterator[tuple]:
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        prob = e / e.sum(axis=1, keepdims=True)
+        best = best_of(prob, tokens, k)
+        for p, at, word in zip(np.take_along_axis(prob, best, axis=1), best, want):
+            raw = [float(p[gender[at] == g].sum()) for g in range(len(GENDERS))]
+            total = sum(raw)
+            rank = next((i for i, j in enumerate(at) if plain[j] == word), None)
+            yield (None if rank is None else rank + 1, None if rank is None else float(p[rank]), *raw, total, *[x / total if total > 0 else 0.0 for x in raw], tokens[at[:report]].tolist(), p[:report].tolist())
+
+    @F.pandas_udf(MASK_SCORE)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        vocabulary, logits = scorer()
+        tokens = np.array(vocabulary, dtype=object)
+        plain = [t.strip().lower() for t in vocabulary]
+        gender = np.array([next((g for g, name in enumerate(GENDERS) if t in CLASSES[name]), -1) for t in plain])
+        for texts, words in batches:
+            out = [(None,) * len(names)] * len(texts)
+            there = [i for i, t in enumerate(texts) if t is not None]
+            for a in range(0, len(there), block):
+                at = there[a : a + block]
+                want = [None if words.iloc[i] is None else words.iloc[i].strip().lower() for i in at]
+                for i, row in zip(at, rows(tokens, plain, gender, np.asarray(logits([texts.iloc[i] for i in at]), np.float64), want)):
+                    out[i] = row
+            yield pd.DataFrame(out, columns=names).astype({"original_rank": "Int32"})
+
+    return masks.withColumn("__s", run(F.col(sentence), F.col(original))).select(*masks.columns, "__s.*")
+
+
 def pad_sizes(df: DataFrame, sizes: list[str], value: str, size: str = "size") -> DataFrame:
     """(position, size, value) for every expected size in its order, 0 where nothing was observed."""
     dim = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(sizes)], f"position int, {size} string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as fx
-from sievework.operators import relational, sampling, stats, tokens
+from sievework.operators import relational, sampling, stats, subwords, tokens
 from sievework.operators.tokens import ChunkRule
 from sievework.plans.registry import TOKENS, draw_sql, query
 from sievework.sources import files
@@ -580,3 +580,19 @@ def m_test_split(s, d):
 @query("m_no_duplicates", "SELECT doc_id, (row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) - 1)::INTEGER AS batch_offset FROM documents")
 def m_no_duplicates(s, d):
     return sampling.no_duplicate_batches(table(s, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")), "h", "doc_id").select("doc_id", "batch_offset")
+
+
+# --- subwords: no SQL, tests hold them against the tokenizer itself
+
+@query("t_subword_encode")
+def t_subword_encode(s, d):
+    """Every document's ids by a byte-level vocabulary, every distinct piece encoded once."""
+    coded = subwords.encode(table(s, d, "documents").select("doc_id", "text"), "byte_bpe_50k")
+    return coded.select("doc_id", F.size("input_ids").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"))
+
+
+@query("t_subword_rechunk")
+def t_subword_rechunk(s, d):
+    """Chunks of 512 ids, each encoded anew where its text does not begin with a space; totals by document."""
+    chunks = tokens.chunk(subwords.encode(table(s, d, "documents").select("doc_id", "text"), "byte_bpe_50k"), ChunkRule(512, 100, 20), "doc_id")
+    return subwords.reencode(chunks, "byte_bpe_50k", 512).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("len").alias("tokens"), F.sum("lost").alias("lost"))

@@ -98,6 +98,30 @@ def b_topk_rank(s, d):
     return fake_top(s, d).groupBy("c_custkey", "pos").agg(F.min(F.when(hit, F.col("rank"))).alias("original_rank"), F.round(F.max(F.when(hit, F.col("prob"))), 9).alias("original_prob"))
 
 
+SEEN = LOGITS.replace("c_custkey::VARCHAR || '-' || pos::VARCHAR || '-' || token", "masked_sentence || '-' || token")
+
+
+def hash_model():
+    """A fake model for score_masks(): logits drawn from the sentence and the token, as the SQL draws them."""
+    import hashlib
+
+    import numpy as np
+
+    def logits(texts):
+        return np.array([[int(hashlib.md5(f"{t}-{x}".encode()).hexdigest()[:8], 16) / 4294967296.0 * 4 for x in CANDIDATES] for t in texts])
+
+    return CANDIDATES, logits
+
+
+@query("b_mask_scores", SEEN + f""", h AS (SELECT c_custkey, pos, min(CASE WHEN token = original THEN rank END)::INTEGER AS original_rank, round(max(CASE WHEN token = original THEN prob END), 9) AS original_prob,
+{', '.join(f"round(coalesce(sum(prob) FILTER ({class_sql('token')} = '{g}'), 0), 9) AS {g}_raw" for g in GENDERS)}, string_agg(token, ' ' ORDER BY rank) FILTER (rank <= 5) AS best FROM t GROUP BY c_custkey, pos)
+SELECT * FROM h""")
+def b_mask_scores(s, d):
+    """Each mask scored as a whole: one row a mask, whatever the vocabulary."""
+    out = bias.score_masks(bias.masked_rows(sentences(s, d), ["c_custkey"]), hash_model, k=8, report=5)
+    return out.select("c_custkey", "pos", "original_rank", F.round("original_prob", 9).alias("original_prob"), *[F.round(f"{g}_raw", 9).alias(f"{g}_raw") for g in GENDERS], F.array_join("top_tokens", " ").alias("best"))
+
+
 MASS = LOGITS + f""", h AS (SELECT c_custkey, pos, {', '.join(f"coalesce(sum(prob) FILTER ({class_sql('token')} = '{g}'), 0) AS {g}_raw" for g in GENDERS)} FROM t GROUP BY ALL),
 z AS (SELECT c_custkey, sum(male_raw) AS m, sum(female_raw) AS f, sum(neutral_raw) AS n, sum(male_raw + female_raw + neutral_raw) AS tot FROM h GROUP BY c_custkey),
 e AS (SELECT c_custkey, CASE WHEN tot > 0 THEN m / tot ELSE 0 END AS male_mean, CASE WHEN tot > 0 THEN f / tot ELSE 0 END AS female_mean, CASE WHEN tot > 0 THEN n / tot ELSE 0 END AS neutral_mean FROM z),

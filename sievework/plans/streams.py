@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.plans.registry import query
 from sievework.session import shared_folder
+from sievework.sources import addressed
 from sievework.streaming import state, streams
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -79,3 +80,18 @@ def x_interval_join(s, d):
     errors = events(s, d).where("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("error_at"))
     clicks = events(s, d).where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_at"))
     return result(streams.interval_pairs(errors, clicks, "user_id", "error_at", "click_at", "2 HOURS", "1 day"), "append").select("user_id", "error_id", "click_id")
+
+
+@query("s_addressed", "SELECT doc_id, lang, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT // 128 AS block FROM documents")
+def s_addressed(s, d):
+    """The split "documents" of the folder by its address, two columns of it, in blocks of 128 rows."""
+    return addressed.read(s, d, split="documents", columns=["doc_id", "lang"], block_rows=128).select("doc_id", "lang", F.col("_block").alias("block"))
+
+
+@query("x_addressed_ingest", "SELECT doc_id, source FROM documents")
+def x_addressed_ingest(s, d):
+    """The same as a stream with a saved position, run twice: the second run finds nothing new."""
+    out = shared_folder(s)
+    for _ in range(2):
+        rows = streams.to_table(addressed.read_stream(s, d, split="documents", columns=["doc_id", "source"]), out, "append", available_now=False)
+    return rows.select("doc_id", "source")

@@ -25,18 +25,27 @@ def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def to_table(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+def to_table(df: DataFrame, folder: str, mode: str = "complete", available_now: bool = True) -> DataFrame:
     """Runs a streaming plan over all that is there into files of `folder`, and reads them: nothing passes the driver.
 
     Every micro-batch has a folder of its own, which a retry overwrites.  Run again on the same folder, the plan goes on
     where it stopped, and the result still is the whole one: with `append` all batches of all runs, with `complete` the
-    last batch, of whatever run.
+    last batch, of whatever run.  A source that knows no end of what is there takes `available_now` false: it is
+    asked until it has nothing more.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch={number}")
 
-    df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    writer = df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    if available_now:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        running = writer.start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
     return read_batches(df.sparkSession, folder, df.schema, last=mode == "complete")
 
 
