@@ -14,21 +14,20 @@ sets all belong to one class already is dropped, and a pair is taken up at its f
 from __future__ import annotations
 
 import math
-from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, add_columns, cut, stored, tidy
+from .common import NULL_ID, add_columns, cut, stored
 from .graph import connected_components
+from .settle import CELLS, Texts, as_cells, no_cells, pair_links, placed, star_links
 from .simhash import shingles
-from .suffix import _bitmap, _has
 
-#: Coordinates of a signature, the chance at which a pair at the threshold may be missed, sets of a posting that meet in
-#: one task, and bytes of text in a block (a cell, which a task confirms, holds two blocks, or two texts).
-COORDINATES, MISS, PART, BLOCK_BYTES = 64, 1e-8, 2048, 1 << 20
+#: Coordinates of a signature, the chance at which a pair at the threshold may be missed, and sets of a
+#: posting that meet in one task.
+COORDINATES, MISS, PART = 64, 1e-8, 2048
 #: Rows of postings that a task merges at once, or so: small postings are many, and share a task.
 TOGETHER = 16_384
 
@@ -90,11 +89,37 @@ def _token(c: Column, v: Column) -> Column:
     return F.shiftleft(c.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(2**32 - 1)))
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """A number from 0 to 62; sets that may be similar have equal or neighbouring ones, as one is at most 100 / percent larger."""
+    return F.least(F.floor(F.log(n.cast("double")) / math.log(100 / percent * (1 + 1e-9))), F.lit(62)).cast("int")
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
+def _meets(f: str, mask: str) -> Column:
+    """Whether a set of class c may meet a similar one in a posting of f sets whose classes are the bits of `mask`."""
+    beside = _bit(F.col("c") + 1).bitwiseOR(F.when(F.col("c") > 0, _bit(F.col("c") - 1)).otherwise(0))
+    return (F.col(mask).bitwiseAND(beside) != 0) | (F.col(f) > F.bit_count(mask))
+
+
 def postings(sets: DataFrame, matches: int) -> DataFrame:
-    """(node, toks) of the sets with at least `matches` postings that others share: (f, token), the rarest first."""
-    flat = sets.select("node", F.posexplode("sig").alias("c", "v")).select("node", _token(F.col("c"), F.col("v")).alias("token"))
-    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    return flat.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("toks")).where(F.size("toks") >= matches)  # COORDINATES at most
+    """(node, c, toks) of the sets with at least `matches` postings shared by sets of a like size: (f, token), the rarest first."""
+    flat = sets.select("node", "c", F.posexplode("sig").alias("k", "v")).select("node", "c", _token(F.col("k"), F.col("v")).alias("token"))
+    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.bit_or(_bit(F.col("c"))).alias("mask")).where("f > 1")
+    met = flat.join(shared, "token").where(_meets("f", "mask"))
+    return met.groupBy("node", "c").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("toks")).where(F.size("toks") >= matches)  # COORDINATES at most
+
+
+def coordinates_of(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x 64 values, and which coordinates a row has, from lists of tokens: others than the shared ones agree with none."""
+    flat = np.concatenate([np.asarray(t, np.int64) for t in tokens])
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    value, have = np.zeros((len(tokens), 64), np.int32), np.zeros((len(tokens), 64), bool)
+    value[row, flat >> 32] = (flat & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+    have[row, flat >> 32] = True
+    return value, have
 
 
 def stars(live: DataFrame, matches: int) -> DataFrame:
@@ -105,39 +130,6 @@ def stars(live: DataFrame, matches: int) -> DataFrame:
     return met.groupBy("node").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("b")).select("node", (-F.col("b.p")).alias("pivot"))
 
 
-def confirm(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
-    """(u, v): a spanning forest of the true links of a cell, whose rows are (node, partners, text).
-
-    Shingles are compared themselves, not by hashes; of pairs that links join already nothing is compared.
-    """
-    number: dict[bytes, int] = {}
-    at, members = {}, []
-    wanted: dict[int, set] = {}
-    for node, partners, text in zip(pdf["node"], pdf["partners"], pdf["text"]):
-        if node not in at:
-            at[node] = len(members)
-            members.append(np.array([number.setdefault(s, len(number)) for s in set(shingles(text or b"", shingle))], np.int64))
-        wanted.setdefault(at[node], set()).update(partners)
-    n = np.array([len(m) for m in members], np.int64)
-    parent = np.arange(len(members))
-    links, names = [], list(at)
-    mark = np.zeros(len(number) + 1, bool)
-    for x, partners in wanted.items():
-        y = np.array(sorted(at[p] for p in partners), np.int64)
-        y = y[parent[y] != parent[x]]
-        y = y[n[y] > 0] if n[x] else y[:0]
-        if not len(y):
-            continue
-        mark[members[x]] = True
-        both = np.add.reduceat(mark[np.concatenate([members[k] for k in y])], np.cumsum(n[y]) - n[y], dtype=np.int64)
-        mark[members[x]] = False
-        for k in y[100 * both >= percent * (n[x] + n[y] - both)]:
-            if parent[k] != parent[x]:
-                links.append((names[x], names[k]))
-                parent[parent == parent[k]] = parent[x]
-    return pd.DataFrame(links, columns=["u", "v"])
-
-
 def candidates(pdf: pd.DataFrame, matches: int, percent: int, most: int = 32_768) -> pd.DataFrame:
     """Pairs of the postings in `pdf`, as rows (xp, xs, yp, ys, node, partners) for the cells of their blocks.
 
@@ -150,7 +142,7 @@ def candidates(pdf: pd.DataFrame, matches: int, percent: int, most: int = 32_768
     node, root, n, part = (pdf[c].to_numpy(np.int64) for c in ("node", "root", "n", "part"))
     before = pdf["before"].to_numpy(np.int64).view(np.uint64)
     key = pdf[["token", "i", "j"]].to_numpy(np.int64)
-    sig = np.array(list(pdf["sig"]), np.int32)
+    value, have = coordinates_of(pdf["tokens"])
     fresh = np.ones(len(pdf), bool)
     fresh[1:] = (key[1:] != key[:-1]).any(axis=1)
     end = np.append(np.flatnonzero(fresh)[1:], len(pdf))[np.cumsum(fresh) - 1]  # of each row's posting
@@ -163,8 +155,7 @@ def candidates(pdf: pd.DataFrame, matches: int, percent: int, most: int = 32_768
         both = np.concatenate(waiting, axis=1)
         for k in range(0, both.shape[1], most):
             x, y = both[:, k : k + most]
-            agree = np.packbits(sig[x] == sig[y], axis=1, bitorder="little")
-            agree = np.pad(agree, ((0, 0), (0, -agree.shape[1] % 8))).view(np.uint64)[:, 0]
+            agree = np.packbits((value[x] == value[y]) & have[x] & have[y], axis=1, bitorder="little").view(np.uint64)[:, 0]
             on = (np.bitwise_count(agree) >= matches) & ((agree & before[x] & before[y]) == 0)
             pairs.append(np.stack([x[on], y[on]]))
 
@@ -185,51 +176,9 @@ def candidates(pdf: pd.DataFrame, matches: int, percent: int, most: int = 32_768
     if waiting:
         look()
     if not pairs or not sum(p.shape[1] for p in pairs):
-        return pd.DataFrame(columns=["xp", "xs", "yp", "ys", "node", "partners"], dtype=object)
+        return no_cells()
     x, y = np.concatenate(pairs, axis=1)
-    names, block = np.unique(pdf[["pivot", "sub"]].to_numpy(np.int64), axis=0, return_inverse=True)
-    block = block.ravel()
-    x, y = np.where(block[x] <= block[y], x, y), np.where(block[x] <= block[y], y, x)
-    order = np.lexsort((x, block[y], block[x]))
-    x, y = x[order], y[order]
-    cell = np.stack([block[x], block[y]])
-    begin = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (cell[:, 1:] != cell[:, :-1]).any(axis=0)))
-    lists = np.split(node[y], begin[1:])
-    others = np.unique(np.stack([block[x], block[y], y]), axis=1)
-    ab, u = np.concatenate([cell[:, begin], others[:2]], axis=1), np.concatenate([x[begin], others[2]])
-    out = pd.DataFrame(np.concatenate([names[ab[0]], names[ab[1]], node[u][:, None]], axis=1), columns=["xp", "xs", "yp", "ys", "node"])
-    out["partners"] = [*lists, *[[]] * len(others[0])]
-    return out
-
-
-def _links(cells: DataFrame, key: list[str], shingle: int, percent: int) -> DataFrame:
-    return cells.groupBy(*key).applyInPandas(partial(_confirm_cell, shingle=shingle, percent=percent), "u long, v long")
-
-
-def _confirm_cell(pdf: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
-    return confirm(pdf, shingle, percent)
-
-
-def _texts(docs: DataFrame, rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """(node, home, sub, pivot, centre, text) of every row of `facts`, one text for each node, stored.
-
-    A filter of a fixed number of bits lets these texts, and a few others, through to the shuffle.
-    """
-    i, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64(F.lit("row"), "text")
-    key = lambda df: df.withColumn("key", F.xxhash64("i", "th"))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(key(facts), "key"))
-    src = key(docs.select(i.alias("i"), th.alias("th"), F.col("text").cast("binary").alias("text")))
-
-    def some(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield b.filter(pa.array(_has(shared.value, b.column(3).to_numpy().view(np.uint64))))
-        tidy()
-
-    found = src.mapInArrow(some, src.schema).drop("key").join(facts.select("node", "i", "th", "home", "sub", "pivot", "centre"), ["i", "th"]).drop("i", "th")
-    again = rows.groupBy(i, "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count()
-    return stored(found.dropDuplicates(["node"]) if again else found, "texts")  # else no row comes twice
+    return as_cells(pdf[["pivot", "sub"]].to_numpy(np.int64), node, x, y)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
@@ -254,20 +203,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     sets = some.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct(i.alias("i"), "th", "bytes")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
-    live = cut(postings(sets.select("node", "sig"), matches))
+    live = stored(postings(sets.select("node", size_class(F.col("n"), percent).alias("c"), "sig"), matches), "live")
     star = cut(live.select("node").join(stars(live, matches), "node", "left"))
-    facts = sets.select("node", "sig", "n", "r.i", "r.th", "r.bytes").join(star, "node").withColumn("home", F.coalesce("pivot", "node"))
-    room = facts.groupBy("home").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("subs"))
-    centre = star.where("pivot IS NOT NULL").select(F.col("pivot").alias("node"), F.lit(True).alias("centre")).distinct()
-    sub = F.when(F.col("subs") > 1, F.pmod(F.xxhash64("node"), F.col("subs"))).otherwise(F.lit(0).cast("long"))
-    facts = cut(facts.join(room, "home").withColumn("sub", sub).join(centre, "node", "left"))
-    texts = _texts(docs, rows, facts)
-
-    # every set against its pivot, whose text goes to each block of the sets around it
-    around = texts.where("pivot IS NOT NULL").select("home", "sub", "node", F.array("pivot").alias("partners"), "text")
-    spread = facts.where("pivot IS NOT NULL").select("home", "sub", F.col("pivot").alias("node")).distinct()
-    middle = spread.join(texts.where("centre").select("node", "text"), "node").select("home", "sub", "node", F.array().cast("array<long>").alias("partners"), "text")
-    first = cut(_links(around.unionByName(middle), ["home", "sub"], shingle, percent))
+    facts = placed(sets.select("node", "n", "r.i", "r.th", "r.bytes").join(star, "node"))
+    texts = Texts(docs, rows, facts)
+    first = cut(star_links(facts, texts, shingle, percent))
     roots = connected_components(first).withColumnRenamed("root", "known")
 
     # the prefixes, merged where sets of several classes meet
@@ -275,21 +215,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     head = F.slice("toks", F.lit(1), F.size("toks") - (matches - 1))
     coordinate = lambda t: F.shiftright(t["token"], 32).cast("int")
     marked = F.transform(F.col("head"), lambda t, k: F.struct(t["token"].alias("token"), F.aggregate(F.slice("head", F.lit(1), k), F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), coordinate(e)))).alias("before")))
-    posted = cut(state.withColumn("head", head).select("node", "root", F.explode(marked).alias("t")).select("node", "root", "t.token", "t.before"))
-    mixed = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "m", F.ceil(F.col("m") / PART).alias("parts")))
+    posted = cut(state.withColumn("head", head).select("node", "c", "root", F.explode(marked).alias("t")).select("node", "c", "root", "t.token", "t.before"))
+    facts = facts.join(live.select("node", F.col("toks.token").alias("tokens")), "node")
+    mixed = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_or(_bit(F.col("c"))).alias("mask")).where("lo <> hi").select("token", "m", "mask", F.ceil(F.col("m") / PART).alias("parts")))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("i"), F.greatest(F.col("part"), k).alias("j")))
-    open_ = posted.join(mixed.select("token", "parts"), "token").join(facts.select("node", "sig", "n", F.col("home").alias("pivot"), "sub"), "node").withColumn("part", part)
-    dealt = open_.withColumn("at", F.explode(meet)).select("token", "at.i", "at.j", "part", "node", "root", "n", "before", "sig", "pivot", "sub")
+    open_ = posted.join(mixed, "token").where(_meets("m", "mask")).drop("c", "m", "mask").join(facts.select("node", "tokens", "n", F.col("home").alias("pivot"), "sub"), "node").withColumn("part", part)
+    dealt = open_.withColumn("at", F.explode(meet)).select("token", "at.i", "at.j", "part", "node", "root", "n", "before", "tokens", "pivot", "sub")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return candidates(pdf, matches, percent)
 
     rows_of = mixed.agg(F.sum(F.col("m") * F.col("parts"))).first()[0] or 0
     group = F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, -(-rows_of // TOGETHER))))
-    found = dealt.groupBy(group.alias("g")).applyInPandas(merge, "xp long, xs long, yp long, ys long, node long, partners array<long>")
-    cells = found.groupBy("xp", "xs", "yp", "ys", "node").agg(F.flatten(F.collect_list("partners")).alias("partners"))  # the nodes of a block at most
-    second = _links(cells.join(texts.select("node", "text"), "node"), ["xp", "xs", "yp", "ys"], shingle, percent)
+    found = dealt.groupBy(group.alias("g")).applyInPandas(merge, CELLS)
+    second = pair_links(found, texts, shingle, percent)
 
     last = connected_components(first.unionByName(second))
     classes = sets.select("sid", "node", "least").join(last, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from sievework.llm import entry, minhash
+from sievework.llm import entry, minhash, settle
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -62,7 +62,7 @@ def test_query_against_brute_force(spark):
 def test_groups_around_the_threshold(spark, monkeypatch, part, block):
     """Chains and groups at similarities near 0.8, whole and with postings and blocks cut small."""
     monkeypatch.setattr(minhash, "PART", part)
-    monkeypatch.setattr(minhash, "BLOCK_BYTES", block)
+    monkeypatch.setattr(settle, "BLOCK_BYTES", block)
     rnd = random.Random(7)
     texts = []
     for size in (5, 9, 20, 60):
@@ -110,5 +110,5 @@ def test_least_matches():
 
 def test_confirm_leaves_refuted_pairs_apart():
     rows = [(1, [2, 3], b"a b c d e f g h i j"), (2, [3], b"a b c d e f g h i j k"), (3, [], b"a b c d x y z")]
-    got = minhash.confirm(pd.DataFrame(rows, columns=["node", "partners", "text"]), 2, 80)
+    got = settle.confirm(pd.DataFrame(rows, columns=["node", "partners", "text"]), 2, 80)
     assert got.to_numpy().tolist() == [[1, 2]]
