@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, add_columns, cut
+from .common import NULL_ID, add_columns, cut, stored
 from .graph import connected_components
 
 #: Fewest and most fingerprints in a block of the comparison grid, and the number of blocks a small table is cut into.
@@ -47,13 +49,10 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(_majority(h[:, None])[0]) if len(h) else 0
 
 
-def wide_fingerprint(text: bytes, shingle: int, distinct: bool = False) -> tuple[int, bytes]:
-    """fingerprint(), and 128 more bits made alike from XXH3; `distinct` counts each shingle once."""
+def wide_fingerprint(parts: list[bytes]) -> tuple[int, bytes]:
+    """The majority of 64 and of 128 more bits of the shingles."""
     import xxhash
 
-    parts = shingles(text, shingle)
-    if distinct:
-        parts = list(set(parts))
     if not parts:
         return 0, bytes(16)
     one, two = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
@@ -62,83 +61,81 @@ def wide_fingerprint(text: bytes, shingle: int, distinct: bool = False) -> tuple
     return int(got[0]), got[1:].tobytes()
 
 
-def add_fingerprint(docs: DataFrame, shingle: int = 4, keep: list[str] | None = None, wide: bool = False) -> DataFrame:
+def add_fingerprint(docs: DataFrame, shingle: int = 4, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default) and the fingerprint of `text`: fp, a signed long.
 
-    With `wide` that of the distinct shingles, 16 bytes more of it (more), and a hash of their set (sid).
     A null text has no words.  Kept columns pass through unchanged; no shuffle.
     """
     keep = docs.columns if keep is None else keep
+    make = lambda: lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+    return add_columns(docs, keep, "fp long", make, binary=True)
+
+
+def add_set_fingerprint(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """The columns `keep` and, of the set of distinct shingles: fp, 16 bytes more of the fingerprint (more), n, a digest (sid)."""
 
     def make():
-        if not wide:
-            return lambda texts: [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+        import xxhash
 
         def run(texts):
-            got = [wide_fingerprint(t, shingle, distinct=True) for t in texts]
-            return [np.array([g[0] for g in got], np.uint64).view(np.int64), [g[1] for g in got], np.array([set_hash(t, shingle) for t in texts], np.uint64).view(np.int64)]
+            sets = [sorted(set(shingles(t, shingle))) for t in texts]
+            got = [wide_fingerprint(s) for s in sets]
+            return [np.array([g[0] for g in got], np.uint64).view(np.int64), [g[1] for g in got], [len(s) for s in sets], [xxhash.xxh3_128_digest(b"\n".join(s)) for s in sets]]
 
         return run
 
-    return add_columns(docs, keep, "fp long, more binary, sid long" if wide else "fp long", make, binary=True)
-
-
-def set_hash(text: bytes, shingle: int) -> int:
-    """Equal for texts of equal shingle sets."""
-    import xxhash
+    return add_columns(docs, keep, "fp long, more binary, n long, sid binary", make, binary=True)
 
-    return xxhash.xxh3_64_intdigest(shingle_set(text, shingle).tobytes())
 
+def components(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, grid: int = GRID) -> DataFrame:
+    """(fp, root): the class of every distinct fingerprint of `fps` (a column fp), linked at `radius` or fewer bits.
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct shingles as sorted 64-bit hashes."""
-    import xxhash
+    Each pair of blocks sends back a spanning forest of its links, so a dense group gives no more rows than it has
+    members.
+    """
+    distinct = cut(fps.select("fp").distinct())
 
-    hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.array([hash_of(x, 42) for x in shingles(text, shingle)], np.uint64))
+    def links(a: np.ndarray, b: np.ndarray | None) -> pd.DataFrame:
+        return pd.DataFrame(forest(a, b, radius), columns=["u", "v"])
 
+    edges = compared(distinct, ["fp"], radius, links, "u long, v long", block_rows, grid)
+    if edges is None:
+        return distinct.select("fp", F.col("fp").alias("root"))
+    return distinct.join(connected_components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
-def components(fps: DataFrame, radius: int = 4, total_radius: int | None = None, block_rows: int = BLOCK_ROWS, grid: int = GRID) -> DataFrame:
-    """(fp, root): the class of every distinct fingerprint of `fps` (a column fp), linked at `radius` or fewer bits.
 
-    With `total_radius`, fps has the columns more and sid as well, a link needs at most that many differing
-    bits in fp and more together besides, and the classes are those of the distinct sid: (sid, root).
+def compared(distinct: DataFrame, columns: list[str], radius: int, work: Callable[[np.ndarray, np.ndarray | None], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS, grid: int = GRID) -> DataFrame | None:
+    """What `work` gives for every pair of blocks of the rows of `distinct`, and for every block alone; None if there are no rows.
 
-    Every pair of distinct fingerprints is compared, but for blocks and tiles whose population counts
-    alone prove a greater distance.  The fingerprints, sorted by population count, are cut into blocks of
-    at most MOST_ROWS; a block pair is one group of two packed blocks, and a larger table has more of
-    them.  Blocks whose population counts are near have neighbouring numbers, so a block's partners are a
-    range of numbers, which the executors enumerate.  Each pair sends back a spanning forest of its links,
-    so a dense group gives no more rows than it has members.
+    `columns` are longs; the first is the fingerprint, the last tells rows apart.  Every pair of rows is in a block or a
+    pair of blocks, but for blocks whose population counts alone prove a distance over the radius.  The rows, sorted by
+    population count, are cut into blocks of at most MOST_ROWS; a block pair is one group of two packed blocks,
+    and a larger table has more of them.  Blocks whose population counts are near have neighbouring numbers, so a
+    block's partners are a range of numbers, which the executors enumerate.
     """
-    wide = total_radius is not None
-    key = "sid" if wide else "fp"
-    distinct = cut(fps.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("more").alias("more")) if wide else fps.select("fp").distinct())
     spark = distinct.sparkSession
-    counts = {r.pc: r.n for r in distinct.groupBy(F.bit_count("fp").cast("int").alias("pc")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65 rows
+    counts = {r.pc: r.n for r in distinct.groupBy(F.bit_count(columns[0]).cast("int").alias("pc")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65 rows
     if not counts:
-        return distinct.select(key, F.col(key).alias("root"))
+        return None
     plan, pairs = _block_plan(counts, radius, min(max(block_rows, -(-sum(counts.values()) // grid)), max(block_rows, MOST_ROWS)))
     small = spark.createDataFrame(plan, "pc int, first long, parts long, begin long, last long")  # at most 65 rows
-    placed = distinct.withColumn("pc", F.bit_count("fp").cast("int")).join(F.broadcast(small), "pc").withColumn("block", F.col("first") + F.pmod(F.xxhash64(key), F.col("parts")))
+    placed = distinct.select(*columns).withColumn("pc", F.bit_count(columns[0]).cast("int")).join(F.broadcast(small), "pc").withColumn("block", F.col("first") + F.pmod(F.xxhash64(columns[-1]), F.col("parts")))
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "begin": [key[1]], "last": [key[2]], "fps": [_matrix(pdf).tobytes()]})
+        return pd.DataFrame({"block": [key[0]], "begin": [key[1]], "last": [key[2]], "fps": [pdf[columns].to_numpy(np.int64).tobytes()]})
 
     # a block travels as one binary row to each of its pairs
-    packed = placed.select("block", "begin", "last", *distinct.columns).groupBy("block", "begin", "last").applyInPandas(pack, "block long, begin long, last long, fps binary")
+    packed = placed.select("block", "begin", "last", *columns).groupBy("block", "begin", "last").applyInPandas(pack, "block long, begin long, last long, fps binary")
     here = F.col("block")
     ahead = F.transform(F.sequence(here, "last"), lambda j: F.struct(here.alias("i"), j.alias("j"), F.lit(False).alias("other")))
     behind = F.when(F.col("begin") < here, F.transform(F.sequence("begin", here - 1), lambda i: F.struct(i.alias("i"), here.alias("j"), F.lit(True).alias("other"))))
     sent = packed.select("fps", F.explode(F.concat(ahead, F.coalesce(behind, F.array().cast("array<struct<i: bigint, j: bigint, other: boolean>>")))).alias("pair")).select("fps", "pair.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = {bool(o): np.frombuffer(x, np.int64).reshape(-1, 4 if wide else 1) for o, x in zip(pdf["other"], pdf["fps"])}
-        return pd.DataFrame(forest(side[False], side.get(True), radius, total_radius), columns=["u", "v"])
+        side = {bool(o): np.frombuffer(x, np.int64).reshape(-1, len(columns)) for o, x in zip(pdf["other"], pdf["fps"])}
+        return work(side[False], side.get(True))
 
-    edges = sent.repartition(min(max(1, pairs), 100_000), "i", "j").groupBy("i", "j").applyInPandas(compare, "u long, v long")
-    roots = connected_components(edges)
-    return distinct.join(roots.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("root", key).alias("root"))
+    return sent.repartition(min(max(1, pairs), 100_000), "i", "j").groupBy("i", "j").applyInPandas(compare, schema)
 
 
 def _block_plan(counts: dict[int, int], radius: int, size: int) -> tuple[list[tuple], int]:
@@ -162,13 +159,6 @@ def _block_plan(counts: dict[int, int], radius: int, size: int) -> tuple[list[tu
     return [(pc, spans[k][0], spans[k][1], begin[k], last[k]) for pc, k in at.items()], pairs
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    fp = pdf["fp"].to_numpy(np.int64)[:, None]
-    if "more" not in pdf:
-        return fp
-    return np.column_stack([fp, np.frombuffer(b"".join(pdf["more"]), np.int64).reshape(-1, 2), pdf["sid"].to_numpy(np.int64)])
-
-
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int, total_radius: int | None = None, tile: int = 128, wide: int = 4096) -> np.ndarray:
     """A spanning forest of the links among `a` (b None) or between `a` and `b`, as (member, root) pairs.
 
@@ -268,80 +258,90 @@ def with_component(rows: DataFrame, fps: DataFrame, classes: DataFrame, key: str
     return rows.join(by_key, key)
 
 
-def jaccard_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each of the sets (sorted distinct hashes) one index that all sets linked with it share.
+def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, total_radius: int, percent: int, tile: int = 128, wide: int = 4096) -> pd.DataFrame:
+    """The pairs that keep_one() settles in its second round, as rows of settle.CELLS.
 
-    Two sets are linked if their Jaccard similarity is `similarity` or more.  Every such pair shares one of
-    the rarest n - ceil(similarity * n) + 1 elements of both, so that only these are looked up; of pairs that
-    links join already the similarity is not taken.
-    """
-    parent = np.arange(len(sets))
-    n = np.array([len(x) for x in sets], np.int64)
-    if not n.sum():
-        return np.zeros_like(parent)
-    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(times), np.int64)
-    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
-    sets = [np.sort(x) for x in np.split(rank[at], np.cumsum(n)[:-1])]
-    head = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-    order = np.argsort(n, kind="stable")
-    token = np.concatenate([sets[i][: head[i]] for i in order])
-    by = np.argsort(token, kind="stable")
-    holder = np.repeat(order, head[order])[by]  # of each token the sets that have it in their head, small ones first
-    start = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(times)))])
-    seen = np.zeros(len(sets), bool)
-    for i in order:
-        seen[:] = False
-        for t in sets[i][: head[i]]:
-            seen[holder[start[t] : start[t + 1]]] = True
-        other = np.flatnonzero(seen & (n <= n[i]) & (n >= similarity * n[i] - 1e-9) & (parent != parent[i]))
-        for j in other:
-            if parent[i] != parent[j]:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-9:
-                    lo, hi = sorted((parent[i], parent[j]))
-                    parent[parent == hi] = lo
-    return parent
-
-
-def exact_classes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(sid, root) of texts (sid, root, text), whose root is that of their proposed links: the classes by Jaccard.
-
-    All texts of one proposed class meet in one group; links never leave it.
+    Rows are (fp, more, more, n, root, home, sub, node).  A pair is near in the first word and in all three, its sizes
+    allow the similarity, and its nodes are not of one class already.
     """
+    from .settle import as_cells, no_cells
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("sid").sort_values("sid")
-        sid = pdf["sid"].to_numpy(np.int64)
-        roots = jaccard_roots([shingle_set(t or b"", shingle) for t in pdf["text"]], similarity)
-        return pd.DataFrame({"sid": sid, "root": sid[roots]})
-
-    return texts.groupBy("root").applyInPandas(settle, "sid long, root long")
+    a = _ordered(a)
+    same = b is None
+    b = a if same else _ordered(b)
+    every = a if same else np.concatenate([a, b])
+    base, box_a, box_b = 0 if same else len(a), _boxes(a[:, 0], tile), _boxes(b[:, 0], tile)
+    wa, wb = a[:, :3].view(np.uint64), b[:, :3].view(np.uint64)
+    pairs = []
+    for i in range(0, len(a), tile):
+        gap = np.maximum(np.maximum(box_a[0][i // tile] - box_b[1], box_b[0] - box_a[1][i // tile]), 0).sum(axis=1)
+        cols = (np.flatnonzero(gap <= radius)[:, None] * tile + np.arange(tile)).ravel()
+        cols = cols[(cols < len(b)) & ((cols > i) if same else True)]
+        for k in range(0, len(cols), wide):
+            c = cols[k : k + wide]
+            x, y = np.nonzero(np.bitwise_count(wa[i : i + tile, None, 0] ^ wb[None, c, 0]) <= radius)
+            x, y = x + i, c[y]
+            on = (a[x, 4] != b[y, 4]) & (100 * np.minimum(a[x, 3], b[y, 3]) >= percent * np.maximum(a[x, 3], b[y, 3]))
+            x, y = x[on], y[on]
+            if same:
+                x, y = x[x < y], y[x < y]
+            on = np.bitwise_count(wa[x] ^ wb[y]).sum(axis=1) <= total_radius
+            if on.any():
+                pairs.append(np.stack([x[on], y[on] + base]))
+    if not pairs:
+        return no_cells()
+    x, y = np.concatenate(pairs, axis=1)
+    return as_cells(every[:, 5:7], every[:, 7], x, y)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row, all columns, of every class of near-duplicates: the one with the smallest doc_id.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more.
-    Fingerprints of the sets only propose the pairs (NEAR and NEAR_ALL, made for 0.8 and above); the texts
-    of each class of proposals are then compared by their sets, before classes are formed.
-
-    Null ids come last, and of rows with one id in one class that with the smaller text hash stays.  Only
-    ids, hashes and fingerprints, and one text of each proposed member, take part in the classes; texts are
-    shuffled to meet the keys of the members and of those that stay.  Texts without words have the empty set
+    Fingerprints of the distinct sets only propose pairs (NEAR and NEAR_ALL, made for 0.8 and above); each pair is
+    settled by its texts, in cells of bounded size (settle.py), before any class is formed, so that chance proposals
+    join nothing.  First every set is held against one set near it in fingerprint, which joins groups of
+    near-copies; then all proposed pairs whose sets are not in one class yet are settled.  Sets of so few shingles
+    that only an equal set can be similar enough are not compared at all.
+
+    Null ids come last, and of rows with one id in one class that with the smaller text hash stays.  Texts are
+    shuffled to meet the keys of proposed members and of those that stay.  Texts without words have the empty set
     and are one class; of equal ids the tie goes to the smaller text hash; very long texts are whole; an
     empty table gives an empty result; columns of any other name pass through.
     """
+    from .settle import CELLS, Texts, pair_links, placed, star_links
+
+    percent = round(100 * similarity)
     i, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64(F.lit("row"), "text")
-    fps = cut(add_fingerprint(docs.select("doc_id", "text", th.alias("th")), shingle, ["doc_id", "th"], wide=True))
-    proposed = cut(components(fps, NEAR, NEAR_ALL))
-    several = proposed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    one = fps.groupBy("sid").agg(F.min(F.struct(i.alias("i"), "th")).alias("s"))
-    members = cut(one.join(proposed.join(several, "root"), "sid").select("sid", "root", F.col("s.i").alias("i"), F.col("s.th").alias("th")))
-    texts = docs.select(i.alias("i"), th.alias("th"), F.col("text").cast("binary").alias("text")).join(members, ["i", "th"]).select("sid", "root", "text")
-    settled = exact_classes(texts, shingle, similarity)
-    classes = cut(fps.select("sid").distinct().join(settled, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root")))
-    cand = with_component(fps, fps, classes, "sid").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = stored(add_set_fingerprint(docs.select("doc_id", th.alias("th"), F.octet_length("text").cast("long").alias("bytes"), "text"), shingle, ["doc_id", "th", "bytes"]), "fingerprints")
+    word = lambda k: F.conv(F.hex(F.substring("more", k, 8)), 16, -10).cast("long")
+    sets = rows.groupBy("sid").agg(F.min(F.struct(i.alias("i"), "th", "bytes")).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("more").alias("more"))
+    sets = stored(sets.select("sid", "r.*", "n", "fp", word(1).alias("m1"), word(9).alias("m2"), F.monotonically_increasing_id().alias("node")), "sets")
+    fewest = -(-100 // (100 - percent)) - 1  # sets of a and a + 1 shingles are similar at best by a / (a + 1)
+    some = sets.where(F.col("n") >= fewest)
+
+    def stars(a: np.ndarray, b: np.ndarray | None) -> pd.DataFrame:
+        return pd.DataFrame(forest(a, b, NEAR, NEAR_ALL), columns=["node", "pivot"])
+
+    def pairs(a: np.ndarray, b: np.ndarray | None) -> pd.DataFrame:
+        return near_pairs(a, b, NEAR, NEAR_ALL, percent)
+
+    edges = compared(some, ["fp", "m1", "m2", "node"], NEAR, stars, "node long, pivot long")
+    links = rows.sparkSession.createDataFrame([], "u long, v long")
+    if edges is not None:
+        near = cut(edges)
+        pivot = near.groupBy("node").agg(F.min("pivot").alias("pivot"))
+        alone = near.select(F.col("pivot").alias("node")).distinct().join(pivot, "node", "left_anti").withColumn("pivot", F.lit(None).cast("long"))
+        facts = placed(some.join(pivot.unionByName(alone), "node"))
+        texts = Texts(docs, rows, facts)
+        first = cut(star_links(facts, texts, shingle, percent))
+        roots = connected_components(first)
+        state = facts.select("node", "fp", "m1", "m2", "n", "home", "sub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = compared(cut(state), ["fp", "m1", "m2", "n", "root", "home", "sub", "node"], NEAR, pairs, CELLS)
+        links = first if found is None else cut(first.unionByName(pair_links(found, texts, shingle, percent)))
+    classes = sets.select("sid", "node").join(connected_components(links), "node", "left").select("sid", F.coalesce("root", "node").alias("root"))
+    named = rows.select("doc_id", "th", "sid")
+    cand = with_component(named, named, cut(classes), "sid").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     same = cand.groupBy("root", "th").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"))
     stay = cut(same.groupBy("root").agg(F.min(F.struct("th", "n", "doc_id")).alias("s")).select(F.coalesce("s.doc_id", F.lit(NULL_ID)).alias("i"), F.col("s.th").alias("th"), F.col("s.n").alias("n")))
     again = stay.where("n > 1").limit(1).count()
