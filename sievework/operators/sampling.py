@@ -40,6 +40,20 @@ def ordinal(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
     return numbered.join(base, "__p").withColumn(out, (F.col("__i") + 1 + F.col("__base")).cast("bigint")).drop(name, "__p", "__i", "__base")
 
 
+def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
+    """`df` with the running total of `value` in `order`, which must not have ties: parts of a sort by range, then their offsets.
+
+    As in ordinal() the sorted rows are written once, with their part; a part is a window of its own, and one total for
+    each part meets in a single task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    parts = stored(ranged.withColumn("__p", F.shiftrightunsigned("__id", 33)), "running")
+    totals = parts.groupBy("__p").agg(F.sum(value).alias("__s"))
+    base = totals.withColumn("__base", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__base")
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy("__id").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("__in", inside).join(base, "__p").withColumn(out, (F.col("__in") + F.col("__base")).cast("bigint")).drop("__id", "__p", "__in", "__base")
+
+
 def permute(df: DataFrame, key: str, seed: int, out: str = "rn") -> DataFrame:
     """`df` with its place (from 1) in a seeded random order (W2): md5 of key and seed, ties by the key."""
     k = order_key(F.col(key), F.lit(seed))
@@ -139,11 +153,13 @@ def split_unseen(rows: DataFrame, sampled: DataFrame, budget: int, seed: int, ke
     A row's place is its folder's, then its own; the total stays within the budget.
     """
     rest = rows.join(sampled.select(folder).distinct(), folder, "left_anti")
-    keyed = rest.withColumn("__f", order_key(F.col(folder), F.lit(seed))).withColumn("__k", order_key(F.col(key), F.lit(seed)))
-    # a bucket is a part of a folder, so that a large folder is many tasks
-    part = F.concat("__f", F.lit(" "), F.col(folder), F.lit(" "), F.substring("__k", 1, 2))
-    cum = prefix_sum(keyed, [F.asc("__k"), F.asc(key)], F.col(n), "cum", part)
-    return cum.where(F.col("cum") <= budget).drop("__f", "__k", "cum")
+    # folders first: what a folder's rows begin with, and folders that begin beyond the budget go
+    totals = rest.groupBy(folder).agg(F.sum(n).alias("__t")).withColumn("__f", order_key(F.col(folder), F.lit(seed)))
+    begun = prefix_sum(totals, [F.asc("__f"), F.asc(folder)], F.col("__t"), "__end", F.substring("__f", 1, 3)).select(folder, (F.col("__end") - F.col("__t")).alias("__begin"))
+    near = rest.join(begun.where(F.col("__begin") <= budget), folder)
+    # then inside each folder, in parts by the row's key, so that a large folder is many tasks
+    inside = group_stop_before(near, folder, key, n, budget, seed)
+    return inside.where(F.col("__begin") + F.col("cum") <= budget).drop("__begin", "cum")
 
 
 def folder_subset(stats: DataFrame, most: int, seed: int, folder: str = "folder") -> DataFrame:

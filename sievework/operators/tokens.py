@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.functions.text import draw, tokens
+from sievework.functions.text import draw, order_key, tokens
 from sievework.schemas import BOS, EOS, FIRST_NATIVE, MASK_ID, PAD
 from sievework.session import stored
 
@@ -145,14 +145,20 @@ def batches(df: DataFrame, key: str, size: int, seed: int, drop_last: bool = Tru
     return out.join(F.broadcast(total), F.col("batch_no") < F.col("full")).drop("full")  # one row
 
 
-def mask_draw(key: Column, pos: Column, rate: float) -> Column:
-    """Whether a place is masked, a draw of its own for each."""
-    return draw(key, pos) % 1000 < F.lit(int(round(rate * 1000)))
+def mask_flags(key: Column, n: Column, rate: float) -> Column:
+    """For each of n places whether it is masked, a draw of its own for each.
+
+    One md5 of the key serves four places: each takes eight of its digits, which are compared with the rate as they are.
+    """
+    below = F.lit(f"{int(rate * 2**32):08x}") if rate < 1 else F.lit("g")
+    hashes = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda q: order_key(key, q))
+    places = F.flatten(F.transform(hashes, lambda h: F.array(*[F.substring(h, 8 * k + 1, 8) < below for k in range(4)])))
+    return F.when(n > 0, F.slice(places, F.lit(1), n)).otherwise(F.array().cast("array<boolean>"))
 
 
 def mask_ids(ids: Column, key: Column, rate: float) -> Column:
-    """The ids with MASK_ID in the places that mask_draw() says; the row keeps its length and is not shuffled."""
-    return F.transform(ids, lambda x, i: F.when(mask_draw(key, i, rate), F.lit(MASK_ID).cast("bigint")).otherwise(x))
+    """The ids with MASK_ID in the places that mask_flags() says; the row keeps its length and is not shuffled."""
+    return F.zip_with(ids, mask_flags(key, F.size(ids), rate), lambda x, m: F.when(m, F.lit(MASK_ID).cast("bigint")).otherwise(x))
 
 
 def encode_with(docs: DataFrame, tokenizer: Callable[[list[str]], list[list[int]]], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as fx
-from sievework.operators import relational, sampling, stats, subwords, tokens
+from sievework.operators import batching, relational, sampling, stats, subwords, tokens, tree
 from sievework.operators.tokens import ChunkRule
 from sievework.plans.registry import TOKENS, draw_sql, query
-from sievework.sources import files
+from sievework.session import shared_folder
+from sievework.sources import export, files
 from sievework.sources.files import table
 
 SEED = 42
@@ -248,15 +249,20 @@ def t_batches(s, d):
     return tokens.batches(table(s, d, "documents").select("doc_id"), "doc_id", 48, 21)
 
 
+def mask_sql(pos: str) -> str:
+    """Whether a place is masked at a rate of 0.3: eight digits of an md5 that four places share."""
+    return f"substr(md5(doc_id::VARCHAR || '-' || ({pos} // 4)::VARCHAR), (8 * ({pos} % 4) + 1)::INTEGER, 8) < '{int(0.3 * 2**32):08x}'"
+
+
 @query("t_mask", f"""WITH f AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, {TOKENS} AS t FROM documents))
-SELECT doc_id, count(*) AS n, sum(({draw_sql("doc_id::VARCHAR || '-' || pos::VARCHAR")} % 1000 < 300)::INTEGER)::BIGINT AS n_masked FROM f GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, sum(({mask_sql('pos')})::INTEGER)::BIGINT AS n_masked FROM f GROUP BY doc_id""")
 def t_mask(s, d):
     n = table(s, d, "documents").select("doc_id", F.size(fx.tokens(F.col("text"))).alias("n")).where("n > 0")
-    masked = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: tokens.mask_draw(F.col("doc_id"), i, 0.3))
+    masked = F.filter(tokens.mask_flags(F.col("doc_id"), F.col("n"), 0.3), lambda m: m)
     return n.select("doc_id", F.col("n").cast("bigint").alias("n"), F.size(masked).cast("bigint").alias("n_masked"))
 
 
-@query("t_masked_ids", f"""SELECT doc_id, md5(array_to_string(list_transform({LENGTHS}, lambda x, i: CASE WHEN {draw_sql("doc_id::VARCHAR || '-' || (i - 1)::VARCHAR")} % 1000 < 300 THEN 50284 ELSE x END), ',')) AS ids_md5 FROM documents""")
+@query("t_masked_ids", f"""SELECT doc_id, md5(array_to_string(list_transform({LENGTHS}, lambda x, i: CASE WHEN {mask_sql('(i - 1)')} THEN 50284 ELSE x END), ',')) AS ids_md5 FROM documents""")
 def t_masked_ids(s, d):
     ids = tokens.mask_ids(F.col("input_ids"), F.col("doc_id"), 0.3)
     return length_ids(s, d).select("doc_id", F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"))
@@ -307,7 +313,7 @@ def j_fanout(s, d):
 @query("j_range_index", """WITH r AS (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS lo, sum(n_chars) OVER (ORDER BY doc_id) AS hi FROM documents), g AS (SELECT unnest(range(0, (SELECT sum(n_chars) FROM documents)::BIGINT, 10007))::BIGINT AS spot)
 SELECT spot, doc_id, (spot - lo)::BIGINT AS offset_in FROM g JOIN r ON spot >= lo AND spot < hi""")
 def j_range_index(s, d):
-    r = sampling.prefix_sum(table(s, d, "documents").select("doc_id", "n_chars"), [F.asc("doc_id")], F.col("n_chars"), "hi", F.floor(F.col("doc_id") / 100_000)).withColumn("lo", F.col("hi") - F.col("n_chars"))
+    r = sampling.running_total(table(s, d, "documents").select("doc_id", "n_chars"), [F.asc("doc_id")], F.col("n_chars"), "hi").withColumn("lo", F.col("hi") - F.col("n_chars"))
     total = table(s, d, "documents").agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
     g = s.range(0, total, 10007).withColumnRenamed("id", "spot")
     return relational.range_join(g, r, "spot", "lo", "hi", 4096).select("spot", "doc_id", (F.col("spot") - F.col("lo")).alias("offset_in"))
@@ -517,8 +523,9 @@ def m_rows_stop_after(s, d):
 
 @query("m_two_level", N + f"SELECT doc_id, n, cum FROM ({STOP}) WHERE cum - n < 20000")
 def m_two_level(s, d):
-    """Running totals in two levels, as m_rows_stop_after."""
-    return sampling.stop_after(counts(s, d).select("doc_id", "n"), "doc_id", "n", 20_000, SEED)
+    """The rule of m_rows_stop_after by the other way to a running total: parts of a sort by range, not digits of the key."""
+    rows = counts(s, d).select("doc_id", "n").withColumn("k", fx.order_key(F.col("doc_id"), F.lit(SEED)))
+    return sampling.running_total(rows, [F.asc("k"), F.asc("doc_id")], F.col("n"), "cum").where(F.col("cum") - F.col("n") < 20_000).select("doc_id", "n", "cum")
 
 
 @query("m_rows_stop_before", N + f"SELECT doc_id, n, cum FROM ({STOP}) WHERE cum <= 20000")
@@ -596,3 +603,63 @@ def t_subword_rechunk(s, d):
     """Chunks of 512 ids, each encoded anew where its text does not begin with a space; totals by document."""
     chunks = tokens.chunk(subwords.encode(table(s, d, "documents").select("doc_id", "text"), "byte_bpe_50k"), ChunkRule(512, 100, 20), "doc_id")
     return subwords.reencode(chunks, "byte_bpe_50k", 512).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("len").alias("tokens"), F.sum("lost").alias("lost"))
+
+
+# --- folder trees, sketches, batches, export
+
+LEAF = "concat_ws('/', coalesce(lang, 'none'), coalesce(source, 'none'), 'b' || doc_id % 3)"
+
+
+@query("a_tree_stats", f"""WITH RECURSIVE leaf AS (SELECT {LEAF} AS path, count(*) AS docs, sum(n_chars) AS chars, any_value(NOT (lang = 'de' AND source = 'src3' AND doc_id % 3 = 1)) AS there FROM documents GROUP BY 1),
+up AS (SELECT path, docs, chars, there FROM leaf UNION ALL SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END, docs, chars, there FROM up WHERE path <> '')
+SELECT path, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END::INTEGER AS depth, count(*) AS leaves, count(*) FILTER (there) AS present, bool_and(there) AS complete,
+CASE WHEN bool_and(there) THEN sum(docs)::BIGINT END AS docs, CASE WHEN bool_and(there) THEN sum(chars)::BIGINT END AS chars FROM up GROUP BY path""")
+def a_tree_stats(s, d):
+    """Totals of language / source / part, one part of which is not there yet."""
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), F.concat(F.lit("b"), F.col("doc_id") % 3))
+    docs = table(s, d, "documents").select(path.alias("path"), "n_chars")
+    there = docs.where("path <> 'de/src3/b1'").groupBy("path").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+    return tree.tree_totals(docs.select("path"), there)
+
+
+@query("a_sketch_bounds", "SELECT event_type, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS total, TRUE AS items_ok, TRUE AS median_ok FROM events GROUP BY 1 UNION ALL SELECT 'all', count(*), sum(floor(value)::BIGINT)::BIGINT, TRUE, TRUE FROM events")
+def a_sketch_bounds(s, d):
+    """Sketches of each folder and of their union, held against the exact counts and ranks."""
+    e = table(s, d, "events").select("event_type", "user_id", F.floor("value").alias("value"))
+    each = tree.folder_sketches(e, "event_type", "user_id", "value")
+    said = tree.read_sketches(each.unionByName(tree.merge_sketches(each, [F.lit("all").alias("event_type")])), [50])
+    true = e.unionByName(e.withColumn("event_type", F.lit("all"))).join(said, "event_type").groupBy("event_type", "n", "total", "distinct").agg(
+        F.count_distinct("user_id").alias("exact"), F.avg((F.col("value") < F.col("percentiles")["50"]).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("percentiles")["50"]).cast("double")).alias("upto"))
+    return true.select("event_type", "n", "total", (F.abs(F.col("distinct") / F.col("exact") - 1) < 0.05).alias("items_ok"), ((F.col("below") < 0.53) & (F.col("upto") > 0.47)).alias("median_ok"))
+
+
+@query("m_warm_up", f"""WITH RECURSIVE r AS (SELECT doc_id, row_number() OVER (ORDER BY {PERMUTED}, doc_id) - 1 AS place_no FROM documents), b AS (SELECT 0::BIGINT AS batch_no, 0::BIGINT AS lo, 2::BIGINT AS size
+UNION ALL SELECT batch_no + 1, lo + size, CASE WHEN lo + size < 150 THEN least(16, greatest(2, 16 * (lo + size) // 150)) ELSE 16 END FROM b WHERE lo + size < (SELECT count(*) FROM documents))
+SELECT doc_id, batch_no, size::INTEGER AS batch_size FROM r JOIN b ON place_no >= lo AND place_no < lo + size""")
+def m_warm_up(s, d):
+    """Batches that grow from 2 to 16 rows over the first 150 rows."""
+    return batching.warm_up_batches(table(s, d, "documents").select("doc_id"), "doc_id", SEED, 150, 2, 16).select("doc_id", "batch_no", "batch_size")
+
+
+@query("m_distinct_batches", f"""WITH c AS (SELECT text, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1), o AS (SELECT doc_id, row_number() OVER (ORDER BY coalesce(copies, 1) DESC, md5(concat_ws('-', text, '{SEED}')), text, doc_id) - 1 AS place_no, count(*) OVER () // 4 AS batches FROM documents LEFT JOIN c USING (text))
+SELECT doc_id, (place_no % batches)::BIGINT AS batch_no FROM o WHERE place_no < batches * 4""")
+def m_distinct_batches(s, d):
+    """Full batches of four documents, no text twice in one."""
+    return batching.distinct_batches(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id", 4, SEED).select("doc_id", "batch_no")
+
+
+@query("s_block_shuffle", f"""WITH b AS (SELECT doc_id // 16 AS block, (row_number() OVER (ORDER BY md5((doc_id // 16)::VARCHAR || '-{SEED}')) - 1) // 4 AS g FROM documents GROUP BY 1)
+SELECT doc_id, row_number() OVER (ORDER BY g, md5(block::VARCHAR || '-' || doc_id::VARCHAR || '-{SEED}')) AS place FROM documents JOIN b ON block = doc_id // 16""")
+def s_block_shuffle(s, d):
+    """A shuffled read: blocks of 16 ids in random order, the rows of four blocks mixed."""
+    rows = table(s, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 16).alias("block"))
+    return batching.block_shuffle(rows, "block", "doc_id", SEED, 4).select("doc_id", "place")
+
+
+@query("s_export_manifest", "SELECT lang AS folder, count(*) AS rows, count(*) AS found_rows, TRUE AS same FROM documents GROUP BY 1")
+def s_export_manifest(s, d):
+    """Documents exported by language in two commits, the second of which finds one folder done."""
+    rows, target = table(s, d, "documents").select("doc_id", "lang", "source"), shared_folder(s)
+    export.export_folders(rows.where("lang = 'de'"), target, "lang", "first")
+    export.export_folders(rows, target, "lang", "second")
+    return export.verify(s, target, rows.schema, "lang")

@@ -214,12 +214,6 @@ def f_json(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("f_softmax", "WITH l AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM l) SELECT vec_id, round(list_max(e) / list_sum(e), 9) AS top FROM e")
-def f_softmax(s, d):
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
-    return table(s, d, "embeddings").select("vec_id", F.round(F.array_max(bias.softmax(v)), 9).alias("top"))
-
-
 @query("f_softmax_whole", "WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM l) SELECT vec_id, round(list_max(e) / list_sum(e), 9) AS top FROM e")
 def f_softmax_whole(s, d):
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -232,23 +226,10 @@ COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(lis
 VEC = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
 
 
-@query("r_cosine_topk", f"WITH e AS ({VEC}), c AS (SELECT q.vec_id AS query_id, e.vec_id, round({COS.format('q.v', 'e.v')}, 9) AS sim FROM e JOIN e q ON q.vec_id < 10 AND e.vec_id <> q.vec_id) SELECT query_id, vec_id, sim, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM c) WHERE r <= 5")
-def r_cosine_topk(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))  # ten rows by the query itself
-    c = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("qv"), F.col("v")), 9).alias("sim"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-
-
 @query("r_cosine_topk_all", f"WITH e AS ({VEC}), c AS (SELECT q.vec_id AS query_id, e.vec_id, round({COS.format('q.v', 'e.v')}, 9) AS sim FROM e JOIN e q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, vec_id, sim, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM c) WHERE r <= 5")
 def r_cosine_topk_all(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    q = q.repartition(-(-q.count() // 1000) or 1)  # blocks of 1,000 or so meet every part of the rows; nothing is broadcast
-    c = e.join(q.hint("shuffle_replicate_nl"), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("qv"), F.col("v")), 9).alias("sim"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    """Every hundredth row as a query against all rows."""
+    return retrieval.cosine_top_k(table(s, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5)
 
 
 TRIPLETS = f"WITH e AS ({VEC}), t AS (SELECT a.v AS a, p.v AS p, n.v AS n FROM e a JOIN e p ON p.vec_id = a.vec_id + 1 JOIN e n ON n.vec_id = a.vec_id + 2) "
