@@ -613,13 +613,13 @@ LEAF = "concat_ws('/', coalesce(lang, 'none'), coalesce(source, 'none'), 'b' ||
 @query("a_tree_stats", f"""WITH RECURSIVE leaf AS (SELECT {LEAF} AS path, count(*) AS docs, sum(n_chars) AS chars, any_value(NOT (lang = 'de' AND source = 'src3' AND doc_id % 3 = 1)) AS there FROM documents GROUP BY 1),
 up AS (SELECT path, docs, chars, there FROM leaf UNION ALL SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END, docs, chars, there FROM up WHERE path <> '')
 SELECT path, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, '/')) END::INTEGER AS depth, count(*) AS leaves, count(*) FILTER (there) AS present, bool_and(there) AS complete,
-CASE WHEN bool_and(there) THEN sum(docs)::BIGINT END AS docs, CASE WHEN bool_and(there) THEN sum(chars)::BIGINT END AS chars FROM up GROUP BY path""")
+CASE WHEN bool_and(there) THEN sum(docs)::BIGINT ELSE -1 END AS docs, CASE WHEN bool_and(there) THEN sum(chars)::BIGINT ELSE -1 END AS chars FROM up GROUP BY path""")
 def a_tree_stats(s, d):
-    """Totals of language / source / part, one part of which is not there yet."""
+    """Totals of language / source / part, one part of which is not there yet; -1 where totals are not complete."""
     path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.coalesce("source", F.lit("none")), F.concat(F.lit("b"), F.col("doc_id") % 3))
     docs = table(s, d, "documents").select(path.alias("path"), "n_chars")
     there = docs.where("path <> 'de/src3/b1'").groupBy("path").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
-    return tree.tree_totals(docs.select("path"), there)
+    return tree.tree_totals(docs.select("path"), there).fillna(-1, ["docs", "chars"])
 
 
 @query("a_sketch_bounds", "SELECT event_type, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS total, TRUE AS items_ok, TRUE AS median_ok FROM events GROUP BY 1 UNION ALL SELECT 'all', count(*), sum(floor(value)::BIGINT)::BIGINT, TRUE, TRUE FROM events")
