@@ -93,3 +93,17 @@ def model_family(name: Column) -> Column:
 
 def model_size(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"(\d+[mb])", 1), F.lit(""))
+
+
+def other_direction(name: Column) -> Column:
+    """A model's name with what it was made from turned round: enc-from-dec to dec-from-enc, encoder to decoder, and back."""
+    swaps = [("enc-from-dec", "dec-from-enc"), ("dec-from-enc", "enc-from-dec"), ("encoder", "decoder"), ("decoder", "encoder")]
+    out = name
+    for a, b in reversed(swaps):
+        out = F.when(F.contains(name, F.lit(a)), F.replace(name, F.lit(a), F.lit(b))).otherwise(out)
+    return out
+
+
+def clock(at: Column | None = None) -> Column:
+    """A time as text, now by default."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd HH:mm:ss")

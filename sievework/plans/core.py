@@ -663,3 +663,34 @@ def s_export_manifest(s, d):
     export.export_folders(rows.where("lang = 'de'"), target, "lang", "first")
     export.export_folders(rows, target, "lang", "second")
     return export.verify(s, target, rows.schema, "lang")
+
+
+@query("o_numeric_suffix_last", "SELECT source, (row_number() OVER (ORDER BY try_cast(nullif(regexp_extract(source, '(\\d+)$', 1), '') AS BIGINT) DESC NULLS LAST, source))::INTEGER AS place FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def o_numeric_suffix_last(s, d):
+    """The reverse order of the folders: by the number at the end, the greatest first; one row a folder."""
+    names = table(s, d, "documents").where("source IS NOT NULL").select("source").distinct()
+    return sampling.ordinal(names, [F.desc_nulls_last(relational.numeric_suffix(F.col("source"))), F.asc("source")], "place").select("source", F.col("place").cast("int").alias("place"))
+
+
+@query("p_other_direction", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'decoder-' WHEN 1 THEN 'encoder-' WHEN 2 THEN 'enc-from-dec-' WHEN 3 THEN 'dec-from-enc-' ELSE 'other-' END || p_size || 'm' AS name FROM part")
+def p_other_direction(s, d):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("encoder-", "decoder-", "dec-from-enc-", "enc-from-dec-", "other-")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(s, d, "part").select("p_partkey", fx.other_direction(F.concat(kind, F.col("p_size").cast("string"), F.lit("m"))).alias("name"))
+
+
+@query("f_json_write", "SELECT doc_id, json_object('id', doc_id, 'lang', coalesce(lang, ''), 'n', n_chars)::VARCHAR AS line FROM documents")
+def f_json_write(s, d):
+    line = F.to_json(F.struct(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("n_chars").alias("n")))
+    return table(s, d, "documents").select("doc_id", line.alias("line"))
+
+
+@query("f_clock", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS clock FROM events")
+def f_clock(s, d):
+    return table(s, d, "events").select("event_id", fx.clock(F.col("ts")).alias("clock"))
+
+
+@query("p_shard_ids", "SELECT doc_id, (p // 30)::BIGINT AS shard, ((p // 30) * 30 + p % 30)::BIGINT::VARCHAR AS id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)")
+def p_shard_ids(s, d):
+    """Ids from the shard's number and the place in it, in shards of 30 rows."""
+    rows = sampling.ordinal(table(s, d, "documents").select("doc_id"), [F.asc("doc_id")], "rn").select("doc_id", F.floor((F.col("rn") - 1) / 30).alias("shard"), ((F.col("rn") - 1) % 30).alias("place"))
+    return files.shard_ids(rows, "shard", "place", 30).select("doc_id", "shard", "id")

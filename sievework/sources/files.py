@@ -117,6 +117,60 @@ def narrow(df: DataFrame, keep: list[str], casts: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in keep])
 
 
+def rewrite_shards(spark: SparkSession, source: str, target: str, keep: list[str] | None = None, casts: dict[str, str] | None = None, compression: str = "none") -> None:
+    """The shards of a tree written anew: some columns, narrower types and another compression, folder by folder.
+
+    Folders stay as they are (`name=value` folders as partition columns); a value that does not fit its new type ends the rewrite with an error
+    before the target is committed, never with a changed value.  `keep` must name columns that are there.
+    """
+    rows = spark.read.parquet(source)
+    missing = set(keep or []) - set(rows.columns)
+    if missing:
+        raise ValueError(f"{sorted(missing)} not in {rows.columns}")
+    keep = keep or rows.columns
+    folders = [p for p in partition_columns(rows) if p in keep]
+    checked = {c: F.when(F.col(c).isNull() | _fits(F.col(c), rows.schema[c].dataType.simpleString(), k), F.col(c).cast(k)).otherwise(F.raise_error(F.lit(f"a value of {c} does not fit {k}"))) for c, k in (casts or {}).items() if c in keep}
+    write_records(rows.select(*[checked[c].alias(c) if c in checked else F.col(c) for c in keep]), target, by=folders or None, compression=compression)
+
+
+def partition_columns(rows: DataFrame) -> list[str]:
+    """The columns of a file table whose values come from its folders' names."""
+    some = rows.select(F.input_file_name().alias("f")).limit(1).collect()
+    return [part.split("=", 1)[0] for part in some[0].f.split("/")[:-1] if "=" in part and part.split("=", 1)[0] in rows.columns] if some else []
+
+
+def _fits(value, was: str, kind: str):
+    """Whether a value, or each element of an array, is the same after a cast there and back."""
+    if was.startswith("array<"):
+        element = kind.removeprefix("array<").removesuffix(">")
+        return F.forall(value, lambda x: x.isNull() | x.try_cast(element).cast(was.removeprefix("array<").removesuffix(">")).eqNullSafe(x))
+    return value.try_cast(kind).cast(was).eqNullSafe(value)
+
+
+def shard_ids(rows: DataFrame, shard: str, place: str, shard_rows: int = 30_000, text: str | None = None) -> DataFrame:
+    """`rows` with id: shard * shard_rows + place in the shard, or a hash of the text and the place where `text` is named.
+
+    The hash does not change when rows are read in other shards, except for rows of one text.
+    """
+    number = F.col(shard).cast("bigint") * shard_rows + F.col(place).cast("bigint")
+    return rows.withColumn("id", number.cast("string") if text is None else F.md5(F.concat_ws(" ", F.coalesce(text, F.lit("")), number.cast("string")).cast("binary")))
+
+
+def each_folder(spark: SparkSession, folders: list[str], work) -> DataFrame:
+    """(folder, ok, error): work(folder) for each, those that fail listed instead of ending the run.
+
+    The work is a Spark job of its own; what is kept here is a line for each folder.
+    """
+    lines = []
+    for f in folders:
+        try:
+            work(f)
+            lines.append((f, True, None))
+        except Exception as e:  # noqa: BLE001  whatever a folder's job ends with goes into its line
+            lines.append((f, False, f"{type(e).__name__}: {e}".split("\n")[0][:300]))
+    return spark.createDataFrame(lines, "folder string, ok boolean, error string")
+
+
 def read_folder_stats(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Every stats.json under a root."""
     return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "stats.json").option("multiLine", "true").json(root)

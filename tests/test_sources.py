@@ -133,3 +133,37 @@ def test_softmax_of_many_candidates(spark):
 def test_last_token_of_a_masked_row(spark):
     df = spark.createDataFrame([([[1.0], [2.0], [3.0]], [1, 1, 0]), ([[1.0]], [0])], "v array<array<double>>, m array<int>")
     assert [r[0] for r in df.select(retrieval.last_token(F.col("v"), F.col("m"))).collect()] == [[2.0], None]
+
+
+def test_rewrite_shards(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    df = spark.createDataFrame([(k, [k, 2 * k], f"t{k}", "ab"[k % 2]) for k in range(40)], "id long, input_ids array<long>, text string, folder string")
+    df.write.partitionBy("folder").parquet(src)
+    files.rewrite_shards(spark, src, f"{tmp_path}/out", ["id", "input_ids", "folder"], {"input_ids": "array<smallint>", "id": "int"})
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert dict(out.dtypes) == {"id": "int", "input_ids": "array<smallint>", "folder": "string"} and out.count() == 40
+    assert sorted((r.id, list(r.input_ids), r.folder) for r in out.collect()) == [(k, [k, 2 * k], "ab"[k % 2]) for k in range(40)]
+    import glob
+
+    import pyarrow.parquet as pq
+
+    assert {pq.read_metadata(f).row_group(0).column(0).compression for f in glob.glob(f"{tmp_path}/out/folder=a/*.parquet")} == {"UNCOMPRESSED"}
+    spark.createDataFrame([(1, [70_000])], "id long, input_ids array<long>").write.parquet(f"{tmp_path}/big")
+    with pytest.raises(Exception, match="does not fit"):
+        files.rewrite_shards(spark, f"{tmp_path}/big", f"{tmp_path}/never", casts={"input_ids": "array<smallint>"})
+    assert not glob.glob(f"{tmp_path}/never/*.parquet")
+    with pytest.raises(ValueError, match="not in"):
+        files.rewrite_shards(spark, src, f"{tmp_path}/no", ["nothing"])
+
+
+def test_failed_folders_are_listed(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/good")
+    got = {r.folder: (r.ok, r.error) for r in files.each_folder(spark, ["good", "none"], lambda f: spark.read.parquet(f"{tmp_path}/{f}").write.parquet(f"{tmp_path}/copy-{f}")).collect()}
+    assert got["good"] == (True, None) and got["none"][0] is False and "PATH_NOT_FOUND" in got["none"][1]
+    assert spark.read.parquet(f"{tmp_path}/copy-good").count() == 3
+
+
+def test_shard_ids_by_content(spark):
+    df = spark.createDataFrame([(0, 0, "a"), (0, 1, "a"), (1, 0, "b"), (1, 1, None)], "shard int, place int, text string")
+    assert [r.id for r in files.shard_ids(df, "shard", "place", 10).orderBy("shard", "place").collect()] == ["0", "1", "10", "11"]
+    assert len({r.id for r in files.shard_ids(df, "shard", "place", 10, "text").collect()}) == 4
