@@ -68,7 +68,7 @@ def g_theta_join(s, d):
 @query("g_asof_join", "SELECT p.event_id, v.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
 def g_asof_join(s, d):
     e = table(s, d, "events")
-    return relational.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'"), "user_id", "ts", "value", "last_view").select("event_id", "last_view")
+    return relational.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'"), "user_id", "ts", "value", "last_view", width=6 * 3600).select("event_id", "last_view")
 
 
 @query("g_lag_ntile", "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, ntile(4) OVER (PARTITION BY user_id ORDER BY value, event_id)::INTEGER AS quarter FROM events")

@@ -134,3 +134,16 @@ def test_stream_interval_join_drops_late_rows(spark, tmp_path):
     put(spark, f"{tmp_path}/l", [(1, 4, at(195)), (2, 5, at(0))], 1002, left)  # 5 is later than the watermark
     put(spark, f"{tmp_path}/r", [(2, 21, at(6))], 1002, right)
     assert run() == [(1, 10), (2, 20), (3, 13), (4, 13)]
+
+
+@pytest.mark.parametrize("width", [None, 10, 1, 10**6])
+def test_asof_join_of_a_hot_key(spark, width):
+    """Cells of any width give what one window gives; values carry over cells without rows, and nulls are passed over."""
+    from sievework.operators import relational
+
+    rnd = random.Random(9)
+    left = [(i, rnd.choice(["hot", "hot", "hot", "a", None]), rnd.randrange(200)) for i in range(300)]
+    right = [(rnd.choice(["hot", "hot", "a", None]), t, rnd.choice([t * 10, None])) for t in rnd.sample(range(200), 60)]
+    got = relational.asof_join(spark.createDataFrame(left, "i int, k string, t int"), spark.createDataFrame(right, "k string, t int, v int"), "k", "t", "v", "seen", width)
+    want = {i: max(((t2, v) for k2, t2, v in right if k2 == k and t2 <= t and v is not None), default=(0, None))[1] for i, k, t in left}
+    assert {r.i: r.seen for r in got.collect()} == want
