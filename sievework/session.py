@@ -24,6 +24,29 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return b.getOrCreate()
 
 
+#: Shared folders that this process has made and not released.
+_MADE: list[str] = []
+
+
+def made(path: str) -> str:
+    """Notes a folder of intermediate results for release()."""
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables made so far, and says how many.
+
+    Results are lazy: call it when the results of all queries begun so far have been written.  Checkpoint files
+    go with their tables where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    n = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Written once as a table in the shared folder and read again, so that no part of it is computed anew."""
     path = f"{shared_folder(df.sparkSession)}/{what}"
@@ -39,4 +62,4 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root}/sievework-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="sievework-")
+    return made(f"{root}/sievework-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="sievework-"))

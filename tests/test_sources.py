@@ -167,3 +167,15 @@ def test_shard_ids_by_content(spark):
     df = spark.createDataFrame([(0, 0, "a"), (0, 1, "a"), (1, 0, "b"), (1, 1, None)], "shard int, place int, text string")
     assert [r.id for r in files.shard_ids(df, "shard", "place", 10).orderBy("shard", "place").collect()] == ["0", "1", "10", "11"]
     assert len({r.id for r in files.shard_ids(df, "shard", "place", 10, "text").collect()}) == 4
+
+
+def test_intermediate_tables_are_released(spark):
+    import os
+
+    from sievework import session
+
+    session.release(spark)
+    df = session.stored(spark.range(5), "some")
+    folders = list(session._MADE)
+    assert df.count() == 5 and len(folders) == 1 and os.path.isdir(folders[0])
+    assert session.release(spark) == 1 and not os.path.exists(folders[0]) and session.release(spark) == 0
