@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.session import made
+
 #: Stands for a null id in join keys; ids themselves are passed through unchanged.
 NULL_ID = -(2**63)
 
@@ -38,8 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Written as a table in the shared checkpoint folder and read again: no lineage to recompute."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/sievework-{what}-{uuid.uuid4().hex}"
+    """Written as a table in the shared checkpoint folder and read again: no lineage to recompute.  See session.release()."""
+    path = made(f"{ensure_checkpoint_dir(df.sparkSession)}/sievework-{what}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -79,7 +81,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
 
     The rows are those with the smallest hash of their id, so the choice does not depend on the
     partitioning.  Rows with a null id or label take no part; of an id labelled twice the larger
-    label counts.  The bound makes the id list safe to broadcast: texts are not shuffled.
+    label counts, and of an id that several rows of `docs` have the row with the smallest text hash.  The bound makes
+    the id list safe to broadcast; only the texts of chosen ids are shuffled.
     """
     ok = _labelled(labels, label, allowed)
     halves = [
@@ -89,7 +92,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     rows = chosen.collect()  # at most 2 * per_class pairs
     spark = docs.sparkSession
     small = spark.createDataFrame([(r.doc_id, r.label) for r in rows], "doc_id long, label int")
-    return docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", F.make_valid_utf8("text").alias("text")).join(F.broadcast(small), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("doc_id", "text", "label")
 
 
 def text_slices(column, most: int) -> Iterator[tuple[int, int]]:
@@ -125,12 +129,13 @@ def add_columns(docs: DataFrame, keep: list[str], fields: str, make: Callable[[]
     make() runs once for each task and gives a function from a list of texts (null: empty) to one list or
     array for each new column.  Kept columns pass through as Arrow arrays, so nulls and large integers
     stay exact; a new column takes the place of a kept one of its name.  No shuffle; rows keep their
-    number.  A block holds about block_bytes bytes of text, or one text.
+    number.  A block holds about block_bytes bytes of text, or one text.  Bytes that are no UTF-8 come as replacement
+    characters, unless `binary` asks for the bytes.
     """
     new = T.StructType.fromDDL(fields)
     names = {f.name for f in new.fields}
     keep = [c for c in keep if c not in names]
-    src = _packed(docs, keep, F.col(f"`{text}`").cast("binary" if binary else "string"))
+    src = _packed(docs, keep, F.col(f"`{text}`").cast("binary") if binary else F.make_valid_utf8(F.col(f"`{text}`").cast("string")))
     made = T.StructType([T.StructField(f"n{k}", f.dataType) for k, f in enumerate(new.fields)])
     out = T.StructType([src.schema["kept"], T.StructField("made", made)])
 
@@ -155,8 +160,11 @@ def add_columns(docs: DataFrame, keep: list[str], fields: str, make: Callable[[]
 
 
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text", block_bytes: int = 1_000_000) -> DataFrame:
-    """The rows, all columns, for whose text the function that make() gives says True (null text: None)."""
-    src = _packed(docs, docs.columns, F.col(f"`{text}`"))
+    """The rows, all columns, for whose text the function that make() gives says True (null text: None).
+
+    Bytes that are no UTF-8 come as replacement characters; the rows themselves stay as they are.
+    """
+    src = _packed(docs, docs.columns, F.make_valid_utf8(F.col(f"`{text}`").cast("string")))
 
     def run(batches):
         import pyarrow as pa

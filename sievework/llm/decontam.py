@@ -215,7 +215,7 @@ def _covered(p: np.ndarray, n: int, size: int) -> int:
 def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Items]:
     """The benchmark in blocks of about `block_chars` characters, one after the other."""
     rows, size = [], 0
-    for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
+    for r in benchmark.select("item_id", F.make_valid_utf8("text").alias("text")).where(F.col("text").isNotNull()).toLocalIterator():
         rows.append((r.item_id, r.text))
         size += len(r.text)
         if size >= block_chars:
@@ -239,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     other columns are left out; empty tables give an empty result.
     """
     sc, kind, spark = docs.sparkSession.sparkContext, T.StructType.fromDDL(SCHEMA), docs.sparkSession
-    src = docs.select("doc_id", F.col("text").alias("body")).where(F.col("body").isNotNull())
+    src = docs.select("doc_id", F.make_valid_utf8("text").alias("body")).where(F.col("body").isNotNull())
     parts: list[DataFrame] = []
     shared = None
     for items in item_blocks(benchmark, block_chars):

@@ -80,7 +80,7 @@ def train(docs: DataFrame, allowed: Column, per_language: int = 1500) -> tuple[l
                 some = np.flatnonzero(n)
                 yield pd.DataFrame({"lang": lang, "gram": some, "n": n[some].astype(np.int64)})
 
-    got = rows.where(draw < share).select("text", "lang").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.where(draw < share).select(F.make_valid_utf8("text").alias("text"), "lang").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(langs)), 0.1)
     np.add.at(table, (got["gram"].to_numpy(np.int64), got["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(np.int64)), got["n"].to_numpy(float))
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
