@@ -95,3 +95,11 @@ def x_addressed_ingest(s, d):
     for _ in range(2):
         rows = streams.to_table(addressed.read_stream(s, d, split="documents", columns=["doc_id", "source"]), out, "append", available_now=False)
     return rows.select("doc_id", "source")
+
+
+@query("s_point_read", "SELECT doc_id, lang, rn FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents) WHERE rn IN (3, 77, n // 2, n - 1)")
+def s_point_read(s, d):
+    """Rows by their ordinals: the reader opens the blocks that hold them only."""
+    n = s.read.parquet(f"{d}/documents.parquet").count()
+    out = addressed.read_rows(s, [3, 77, n // 2, n - 1, n + 5], d, split="documents", columns=["doc_id", "lang"], block_rows=64)
+    return out.select("doc_id", "lang", F.col("_row").alias("rn"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ class Corpus:
         self.root = "/".join(x.strip("/") if k else x.rstrip("/") for k, x in enumerate((options["path"], options.get("config", ""), options.get("split", ""))) if x)
         self.columns = [c.strip() for c in options["columns"].split(",")] if options.get("columns") else None
         self.rows = int(options.get("blockrows", BLOCK_ROWS))
+        self.at = sorted({int(x) for x in options["at"].split(",")}) if options.get("at") else None
 
     def files(self) -> list[tuple[int, str, int]]:
         """(time, name, rows) of each file, by time and then by name."""
@@ -76,7 +78,11 @@ class Corpus:
                     out.append(Block(number, []))
                 out[-1].pieces.append((name, row, row + take, at))
                 row, at = row + take, at + take
-        return out
+        if self.at is None:
+            return out
+        # of the blocks, pieces and rows only those that hold a wanted ordinal: one piece for each
+        wanted = [Block(b.number, [(name, row + r - first, row + r - first + 1, r) for name, row, end, first in b.pieces for r in self.at[bisect_left(self.at, first) : bisect_left(self.at, first + end - row)]]) for b in out]
+        return [b for b in wanted if b.pieces]
 
     def read(self, block: Block) -> Iterator:
         """Record batches of a block: the wanted columns only, and the row groups that it touches only."""
@@ -168,6 +174,17 @@ def read(spark: SparkSession, path: str, config: str = "", split: str = "", colu
     return spark.read.format("corpus").options(**_options(path, config, split, columns, block_rows)).load()
 
 
+def read_rows(spark: SparkSession, ordinals: list[int], path: str, config: str = "", split: str = "", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Of read() the rows with these ordinals: other blocks are no tasks, other files and row groups are not opened.
+
+    Ordinals beyond the last row give nothing; an ordinal given twice gives one row.
+    """
+    spark.dataSource.register(CorpusSource)
+    if not ordinals:
+        return read(spark, path, config, split, columns, block_rows).limit(0)
+    return spark.read.format("corpus").options(**_options(path, config, split, columns, block_rows), at=",".join(map(str, ordinals))).load()
+
+
 def read_stream(spark: SparkSession, path: str, config: str = "", split: str = "", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """read() as a stream: a run takes the files that came after the saved position, and goes on numbering.
 

@@ -81,3 +81,12 @@ def test_broken_and_restarted_runs_give_each_row_once(spark, tmp_path):
     put(spark, src, 37, 5, 1002)
     assert run() == [(k, k, k // 10) for k in range(42)]
     assert run() == [(k, k, k // 10) for k in range(42)]
+
+
+def test_point_reads_open_their_blocks_only(spark, tmp_path):
+    put(spark, f"{tmp_path}/d", 0, 95, 1000)
+    put(spark, f"{tmp_path}/d", 500, 40, 1001)
+    got = addressed.read_rows(spark, [94, 0, 95, 134, 94, 999], str(tmp_path), "d", columns=["id"], block_rows=10)
+    assert sorted((r._row, r.id) for r in got.collect()) == [(0, 0), (94, 94), (95, 500), (134, 539)]
+    assert got.rdd.getNumPartitions() == 3  # 94 and 95 share a block
+    assert addressed.read_rows(spark, [], str(tmp_path), "d").count() == 0
