@@ -112,14 +112,19 @@ def postings(sets: DataFrame, matches: int) -> DataFrame:
     return met.groupBy("node", "c").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("toks")).where(F.size("toks") >= matches)  # COORDINATES at most
 
 
-def coordinates_of(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Rows x 64 values, and which coordinates a row has, from lists of tokens: others than the shared ones agree with none."""
-    flat = np.concatenate([np.asarray(t, np.int64) for t in tokens])
-    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    value, have = np.zeros((len(tokens), 64), np.int32), np.zeros((len(tokens), 64), bool)
-    value[row, flat >> 32] = (flat & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
-    have[row, flat >> 32] = True
-    return value, have
+def _values(toks: Column) -> list[Column]:
+    """The shared postings of a set in little room: which coordinates it has (a bit each), and their values in that order."""
+    by = F.array_sort(F.transform(toks, lambda t: t["token"]))
+    have = F.aggregate(by, F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(_bit(F.shiftright(t, 32).cast("int"))))
+    return [have.alias("have"), F.transform(by, lambda t: F.shiftright(F.shiftleft(t, 32), 32).cast("int")).alias("vals")]
+
+
+def coordinates_of(have: pd.Series, vals: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x 64 values, and which coordinates a row has, of _values(): others than the shared ones agree with none."""
+    on = np.unpackbits(have.to_numpy(np.int64).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    value = np.zeros(on.shape, np.int32)
+    value[on] = np.concatenate([np.asarray(v, np.int32) for v in vals])
+    return value, on
 
 
 def stars(live: DataFrame, matches: int) -> DataFrame:
@@ -142,7 +147,7 @@ def candidates(pdf: pd.DataFrame, matches: int, percent: int, most: int = 32_768
     node, root, n, part = (pdf[c].to_numpy(np.int64) for c in ("node", "root", "n", "part"))
     before = pdf["before"].to_numpy(np.int64).view(np.uint64)
     key = pdf[["token", "i", "j"]].to_numpy(np.int64)
-    value, have = coordinates_of(pdf["tokens"])
+    value, have = coordinates_of(pdf["have"], pdf["vals"])
     fresh = np.ones(len(pdf), bool)
     fresh[1:] = (key[1:] != key[:-1]).any(axis=1)
     end = np.append(np.flatnonzero(fresh)[1:], len(pdf))[np.cumsum(fresh) - 1]  # of each row's posting
@@ -216,12 +221,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     coordinate = lambda t: F.shiftright(t["token"], 32).cast("int")
     marked = F.transform(F.col("head"), lambda t, k: F.struct(t["token"].alias("token"), F.aggregate(F.slice("head", F.lit(1), k), F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), coordinate(e)))).alias("before")))
     posted = cut(state.withColumn("head", head).select("node", "c", "root", F.explode(marked).alias("t")).select("node", "c", "root", "t.token", "t.before"))
-    facts = facts.join(live.select("node", F.col("toks.token").alias("tokens")), "node")
+    facts = facts.join(live.select("node", *_values(F.col("toks"))), "node")
     mixed = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_or(_bit(F.col("c"))).alias("mask")).where("lo <> hi").select("token", "m", "mask", F.ceil(F.col("m") / PART).alias("parts")))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("i"), F.greatest(F.col("part"), k).alias("j")))
-    open_ = posted.join(mixed, "token").where(_meets("m", "mask")).drop("c", "m", "mask").join(facts.select("node", "tokens", "n", F.col("home").alias("pivot"), "sub"), "node").withColumn("part", part)
-    dealt = open_.withColumn("at", F.explode(meet)).select("token", "at.i", "at.j", "part", "node", "root", "n", "before", "tokens", "pivot", "sub")
+    open_ = posted.join(mixed, "token").where(_meets("m", "mask")).drop("c", "m", "mask").join(facts.select("node", "have", "vals", "n", F.col("home").alias("pivot"), "sub"), "node").withColumn("part", part)
+    dealt = open_.withColumn("at", F.explode(meet)).select("token", "at.i", "at.j", "part", "node", "root", "n", "before", "have", "vals", "pivot", "sub")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return candidates(pdf, matches, percent)
