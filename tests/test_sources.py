@@ -2,7 +2,7 @@
 
 import gzip
 import json
-import time
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,9 +86,11 @@ def test_streams_resume_with_new_files_and_batches(spark, tmp_path):
 
 def test_late_rows_are_dropped_after_the_watermark(spark, tmp_path):
     src = str(tmp_path / "in")
-    for batch in ([("a", "2024-01-01 10:00:00")], [("b", "2024-01-02 10:00:00")], [("c", "2024-01-03 10:00:00")], [("late", "2024-01-01 09:00:00")], [("d", "2024-01-04 10:00:00")]):
+    for k, batch in enumerate(([("a", "2024-01-01 10:00:00")], [("b", "2024-01-02 10:00:00")], [("c", "2024-01-03 10:00:00")], [("late", "2024-01-01 09:00:00")], [("d", "2024-01-04 10:00:00")])):
         spark.createDataFrame(batch, "k string, t string").selectExpr("k", "cast(t as timestamp) ts").coalesce(1).write.mode("append").parquet(src)
-        time.sleep(0.05)  # files are taken in the order of their times
+        for f in (f"{src}/{x}" for x in os.listdir(src)):  # files are taken in the order of their times
+            if os.path.getmtime(f) > 10**9:
+                os.utime(f, (1000 + k, 1000 + k))
     e = streams.file_stream(spark, src, "k string, ts timestamp", 1)
     got = streams.to_table(streams.tumbling(e, "ts", "1 hour", "1 hour", F.count("*").alias("n")), str(tmp_path / "t"), "append")
     starts = [r.t for r in got.select(F.date_format("window.start", "dd HH").alias("t")).collect()]
