@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -23,19 +24,21 @@ class Block(InputPartition):
 
 
 class Corpus:
-    """The files of <path>/<config>/<split>, a folder or one Parquet file, in the order in which they came.
+    """The files of <path>/<config>/<split>, a folder or one Parquet file, in the order in which they came or of their names.
 
     The address may be in any store that Arrow reaches.  Only footers are read here.
     """
 
     def __init__(self, options: dict):
         self.root = "/".join(x.strip("/") if k else x.rstrip("/") for k, x in enumerate((options["path"], options.get("config", ""), options.get("split", ""))) if x)
+        self.root = re.sub("^file:/(?!/)", "file:///", self.root)
+        self.by_name = {"time": False, "name": True}[options.get("order", "time")]
         self.columns = [c.strip() for c in options["columns"].split(",")] if options.get("columns") else None
         self.rows = int(options.get("blockrows", BLOCK_ROWS))
         self.at = sorted({int(x) for x in options["at"].split(",")}) if options.get("at") else None
 
     def files(self) -> list[tuple[int, str, int]]:
-        """(time, name, rows) of each file, by time and then by name."""
+        """(time, name, rows) of each file, by time and then by name; or by name alone, numbers in it as numbers."""
         import pyarrow.parquet as pq
         from pyarrow import fs
 
@@ -45,7 +48,8 @@ class Corpus:
         for i in infos:
             if i.type == fs.FileType.Directory:
                 found += [x for x in store.get_file_info(fs.FileSelector(i.path, recursive=True)) if x.is_file and x.extension == "parquet" and not x.base_name.startswith(("_", "."))]
-        return sorted((i.mtime_ns, i.path, pq.read_metadata(i.path, filesystem=store).num_rows) for i in found)
+        out = sorted((i.mtime_ns, i.path, pq.read_metadata(i.path, filesystem=store).num_rows) for i in found)
+        return sorted(out, key=lambda f: [int(x) if x.isdigit() else x for x in re.split("([0-9]+)", f[1])]) if self.by_name else out
 
     def schema(self) -> T.StructType:
         import pyarrow.parquet as pq
@@ -106,6 +110,8 @@ class Corpus:
                                 names = self.columns or part.schema.names
                                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in part.schema.names if c in names], number, ordinal], names=[*[c for c in part.schema.names if c in names], "_block", "_row"])
                             row += batch.num_rows
+                            if row >= b:
+                                break
                     begin = end
 
 
@@ -145,7 +151,7 @@ class CorpusStream(DataSourceStreamReader):
 
 
 class CorpusSource(DataSource):
-    """Format "corpus": options path, config, split, columns (names with commas) and blockRows."""
+    """Format "corpus": options path, config, split, columns (names with commas), blockRows and order (time, or name in batch)."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,31 +164,44 @@ class CorpusSource(DataSource):
         return CorpusReader(self.options)
 
     def streamReader(self, schema) -> CorpusStream:
+        if self.options.get("order", "time") != "time":
+            raise ValueError("a stream takes files by their times")
         return CorpusStream(self.options)
 
 
-def _options(path: str, config: str, split: str, columns: list[str] | None, block_rows: int) -> dict[str, str]:
-    return {"path": path, "config": config, "split": split, "columns": ",".join(columns or []), "blockRows": str(block_rows)}
+def _options(path: str, config: str, split: str, columns: list[str] | None, block_rows: int, order: str = "time") -> dict[str, str]:
+    return {"path": path, "config": config, "split": split, "columns": ",".join(columns or []), "blockRows": str(block_rows), "order": order}
 
 
-def read(spark: SparkSession, path: str, config: str = "", split: str = "", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def read(spark: SparkSession, path: str, config: str = "", split: str = "", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS, order: str = "time") -> DataFrame:
     """The rows of one configuration and split, of the wanted columns only, with _block and _row.
 
-    A row's ordinal (_row) counts all rows in the order of the files; a block of block_rows of them is one task.
+    A row's ordinal (_row) counts all rows in the order of the files, by their times or (order="name") their names; a block
+    of block_rows of them is one task.
     """
     spark.dataSource.register(CorpusSource)
-    return spark.read.format("corpus").options(**_options(path, config, split, columns, block_rows)).load()
+    return spark.read.format("corpus").options(**_options(path, config, split, columns, block_rows, order)).load()
 
 
-def read_rows(spark: SparkSession, ordinals: list[int], path: str, config: str = "", split: str = "", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def write_sorted(rows: DataFrame, path: str, order: list[Column]) -> None:
+    """`rows` sorted by range in files whose names rise with `order`: read with order="name", _row is the place in it.
+
+    Files hold BLOCK_ROWS rows at most, so that a reader of a block decodes little besides.
+    """
+    from sievework.sources.files import write_records
+
+    write_records(rows.repartitionByRange(*order).sortWithinPartitions(*order), path, rows_per_file=BLOCK_ROWS)
+
+
+def read_rows(spark: SparkSession, ordinals: list[int], path: str, config: str = "", split: str = "", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS, order: str = "time") -> DataFrame:
     """Of read() the rows with these ordinals: other blocks are no tasks, other files and row groups are not opened.
 
     Ordinals beyond the last row give nothing; an ordinal given twice gives one row.
     """
     spark.dataSource.register(CorpusSource)
     if not ordinals:
-        return read(spark, path, config, split, columns, block_rows).limit(0)
-    return spark.read.format("corpus").options(**_options(path, config, split, columns, block_rows), at=",".join(map(str, ordinals))).load()
+        return read(spark, path, config, split, columns, block_rows, order).limit(0)
+    return spark.read.format("corpus").options(**_options(path, config, split, columns, block_rows, order), at=",".join(map(str, ordinals))).load()
 
 
 def read_stream(spark: SparkSession, path: str, config: str = "", split: str = "", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -90,3 +90,32 @@ def test_point_reads_open_their_blocks_only(spark, tmp_path):
     assert sorted((r._row, r.id) for r in got.collect()) == [(0, 0), (94, 94), (95, 500), (134, 539)]
     assert got.rdd.getNumPartitions() == 3  # 94 and 95 share a block
     assert addressed.read_rows(spark, [], str(tmp_path), "d").count() == 0
+
+
+@pytest.mark.parametrize("name", ["s_addressed"])
+def test_ordinals_by_id_whatever_the_files(spark, tmp_path, name):
+    """Files that came in another order than their ids, and ids that are in no order within them."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sievework.plans import catalog
+
+    os.makedirs(f"{tmp_path}/documents.parquet")
+    ids = [(k * 617) % 1000 for k in range(1000)]
+    for k in range(4):
+        part = ids[k * 250 : k * 250 + 250]
+        pq.write_table(pa.table({"doc_id": pa.array(part, pa.int64()), "lang": [f"l{i % 7}" for i in part]}), f"{tmp_path}/documents.parquet/part-{k}.parquet", row_group_size=40)
+        os.utime(f"{tmp_path}/documents.parquet/part-{k}.parquet", (2000 - k, 2000 - k))
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(catalog.ORACLES[name]).fetchall())
+
+
+def test_names_with_numbers(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k, n in enumerate(["f-c1000", "f-c101", "f-c9"]):
+        pq.write_table(pa.table({"id": pa.array([k], pa.int64())}), f"{tmp_path}/{n}.parquet")
+    assert [r.id for r in sorted(addressed.read(spark, f"file:{tmp_path}", order="name").collect(), key=lambda r: r._row)] == [2, 1, 0]
