@@ -28,7 +28,7 @@ def ordinal(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
 
     The order must not have ties.  The bounds of a range partitioning are drawn anew whenever it is computed,
     so the sorted rows are written once to the shared folder with their part and place, and both the rows
-    and the counts are read from there.  Nothing but one count for each partition meets in a single task.
+    and the counts are read from there.  Nothing but one count for each partition meets in a single task, or is broadcast.
     """
     name = "__" + out
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
@@ -37,7 +37,7 @@ def ordinal(df: DataFrame, order: list[Column], out: str = "rn") -> DataFrame:
     numbered = stored(ranged.withColumn("__p", part).withColumn("__i", local), "ordinal")
     counts = numbered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__base")
-    return numbered.join(base, "__p").withColumn(out, (F.col("__i") + 1 + F.col("__base")).cast("bigint")).drop(name, "__p", "__i", "__base")
+    return numbered.join(F.broadcast(base), "__p").withColumn(out, (F.col("__i") + 1 + F.col("__base")).cast("bigint")).drop(name, "__p", "__i", "__base")
 
 
 def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:

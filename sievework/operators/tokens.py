@@ -59,21 +59,155 @@ def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "
 def look_up(df: DataFrame, key: str, values: Column, table: DataFrame, by: str, what: str, frequent: Column) -> DataFrame:
     """(key, __got): the array `values` of each row with each element replaced by the `what` of its row in `table`.
 
-    Elements that the table lacks are left out, and rows of which nothing is left.  Each row gets an identity,
-    in a stored copy, and the rows are dealt by it before they are exploded: elements found in the `frequent` part
-    of the table, which is broadcast, need no shuffle to come together again.  Only the others are shuffled.
+    Elements that the table lacks are left out, and rows of which nothing is left.  The `frequent` part of the table, which
+    must be of bounded size, is numbered and broadcast: arrays are exploded to parts of bounded length, whose elements are looked
+    up and put together again as they stream by, without a shuffle or a sort.  If the table has more, each row is stored once,
+    as packed numbers and the elements not yet found; only these are shuffled to the rest of the table, and only rows that have
+    any, still packed, to what it gave.
     """
-    rows = stored(df.select(F.col(key), values.alias("__v")).withColumn("__row", F.monotonically_increasing_id()), "rows").repartition("__row")
-    places = rows.select("__row", key, F.posexplode("__v").alias("pos", by))
-    found = places.join(F.broadcast(table.where(frequent)), by, "left")
-    pair, none = F.struct("pos", F.col(what).alias("w")), F.array()
-    got = found.groupBy("__row").agg(F.first(key).alias(key), F.collect_list(F.when(F.col(what).isNotNull(), pair)).alias("__a"))
-    rest = table.where(~frequent)
-    if not rest.isEmpty():
-        rare = found.where(F.col(what).isNull()).drop(what, key).join(rest, by).groupBy("__row").agg(F.collect_list(pair).alias("__b"))
-        kind = got.schema["__a"].dataType
-        got = got.join(rare, "__row", "left").withColumn("__a", F.concat("__a", F.coalesce("__b", none.cast(kind))))
-    return got.where(F.size("__a") > 0).select(key, F.transform(F.array_sort("__a"), lambda x: x["w"]).alias("__got"))
+    spark = df.sparkSession
+    kind = df.select(values.alias("__v")).schema["__v"].dataType.elementType
+    types = {key: df.schema[key].dataType, by: kind, what: table.schema[what].dataType}
+    head = table.where(frequent & F.col(what).isNotNull()).select(F.col(by).cast(kind), what).toArrow().combine_chunks()
+    known = spark.sparkContext.broadcast(tuple(_one(head[c]) for c in (by, what)))
+    rest = table.where(~frequent & F.col(what).isNotNull()).select(by, what)
+    more = not rest.isEmpty()
+
+    rows = df.select(F.col(key), values.alias("__v")).withColumn("__row", F.monotonically_increasing_id())
+    cuts = F.when(F.size("__v") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("__v") - 1) / PART).cast("int")), lambda k: F.slice("__v", k * PART + 1, F.lit(PART))))
+    parts = rows.select(F.col(key).alias("key"), "__row", F.posexplode(cuts).alias("pos", "part"))
+    got = T.StructType([T.StructField(key, types[key]), T.StructField("__got", T.ArrayType(types[what]))])
+    if not more:
+        return parts.mapInArrow(_together(False, known), got)
+    packed = T.StructType([T.StructField(key, types[key]), T.StructField("__row", T.LongType()), T.StructField("__ids", T.BinaryType()), T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__by", T.ArrayType(types[by]))])
+    coded = stored(parts.mapInArrow(_together(True, known), packed), "rows")
+    none = F.array().cast(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("w", types[what])])))
+    lacking = coded.where(F.size("__at") > 0)
+    wanted = lacking.select("__row", F.explode(F.arrays_zip("__at", "__by")).alias("z")).select("__row", F.col("z.__at").alias("at"), F.col("z.__by").alias(by))
+    given = wanted.join(rest, by).groupBy("__row").agg(F.collect_list(F.struct("at", F.col(what).alias("w"))).alias("__a"))
+    late = lacking.select(key, "__row", "__ids").join(given, "__row", "left").select(key, "__ids", F.coalesce("__a", none).alias("__a"))
+    return coded.where(F.size("__at") == 0).select(key, "__ids", none.alias("__a")).unionByName(late).mapInArrow(_unpacked(known), got)
+
+
+#: Elements of a part of an array, at most, and elements that are looked up in one step, about.
+PART, _STEP = 1 << 16, 1 << 20
+
+
+def _together(more: bool, known):
+    """From parts of arrays in their order (key, __row, pos, part) to rows: (key, __got), or packed ones with what was not found."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def rows(held, at_end: bool):
+            """One batch of the whole rows in `held`, and the parts of the row that may go on."""
+            t = pa.Table.from_batches(held).combine_chunks()
+            pos, ids = t["pos"].to_numpy(), t["__row"].to_numpy()
+            start = np.flatnonzero(pos == 0)
+            end = len(pos) if at_end else int(start[-1])
+            start = start[start < end]
+            size = np.diff(np.append(start, end))
+            if not np.array_equal(pos[:end], np.arange(end) - np.repeat(start, size)) or not np.array_equal(ids[:end], np.repeat(ids[start], size)):
+                raise ValueError("the parts of a row came in another order")
+            left, t = t.slice(end).to_batches(), t.slice(0, end)
+            part = _one(t["part"])
+            edge = np.append(0, np.cumsum(part.value_lengths().to_numpy()))[np.append(start, end)]
+            values = part.flatten()
+            number = pc.index_in(values, value_set=known.value[0]).fill_null(-1).to_numpy()
+            key = _one(t["key"]).take(pa.array(start))
+            lost = number < 0
+            if not more:
+                return pa.RecordBatch.from_arrays(_whole(key, edge, number, known.value[1]), names=["key", "__got"]), left
+            packed = [_pack(number[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            there = pa.array(np.append(0, np.cumsum(lost))[edge].astype(np.int32))
+            at = (np.arange(len(number)) - np.repeat(edge[:-1], np.diff(edge)))[lost].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(there, v) for v in (pa.array(at), values.filter(pa.array(lost)))]
+            return pa.RecordBatch.from_arrays([key, pa.array(ids[start]), pa.array(packed, pa.binary()), *lists], names=["key", "__row", "__ids", "__at", "__by"]), left
+
+        held: list = []
+        size = 0
+        whole = False  # whether a row has ended in `held`
+        for batch in batches:
+            for b in _steps(batch, batch.column(3).value_lengths().to_numpy()):
+                whole = whole or np.count_nonzero(b.column(2).to_numpy() == 0) > (not held)
+                held.append(b)
+                size += len(b.column(3).flatten())
+                if size >= _STEP and whole:
+                    out, held = rows(held, False)
+                    size, whole = sum(len(x.column(3).flatten()) for x in held), False
+                    yield out
+        if held:
+            yield rows(held, True)[0]
+
+    return run
+
+
+def _one(column):
+    """A column as one Arrow array."""
+    import pyarrow as pa
+
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _steps(batch, sizes):
+    """A batch in slices of about _STEP elements."""
+    import numpy as np
+
+    step = np.cumsum(sizes) // _STEP
+    cut = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step)).tolist() if len(step) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _whole(key, edge, number, values) -> list:
+    """Keys and arrays of the rows between the edges: the values of their numbers, none for -1, and no row without any."""
+    import numpy as np
+    import pyarrow as pa
+
+    there = number >= 0
+    cut = np.append(0, np.cumsum(there))[edge]
+    some = np.diff(cut) > 0
+    return [key.filter(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.append(cut[:-1][some], cut[-1]).astype(np.int32)), values.take(pa.array(number[there])))]
+
+
+def _pack(numbers) -> bytes:
+    """Numbers as compressed bytes, with their count before them."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw = np.ascontiguousarray(numbers, np.int32)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes):
+    import numpy as np
+    import pyarrow as pa
+
+    return np.frombuffer(pa.decompress(data[4:], 4 * int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True), np.int32)
+
+
+def _unpacked(known):
+    """From packed rows (key, __ids, __a: places and values found later) to (key, __got)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for b in _steps(batch, [int.from_bytes(x.as_py()[:4], "little") for x in batch.column(1)]):
+                each = [_unpack(x.as_py()) for x in b.column(1)]
+                number, edge = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
+                late, values = b.column(2).flatten(), known.value[1]
+                if len(late):
+                    number[np.repeat(edge[:-1], b.column(2).value_lengths().to_numpy()) + late.field(0).to_numpy()] = len(values) + np.arange(len(late))
+                    values = pa.concat_arrays([values, late.field(1).cast(values.type)])
+                yield pa.RecordBatch.from_arrays(_whole(b.column(0), edge, number, values), names=["key", "__got"])
+
+    return run
 
 
 def decode(ids: DataFrame, vocab: DataFrame, key: str = "doc_id", column: str = "input_ids") -> DataFrame:

@@ -95,3 +95,15 @@ def test_reencode_odd_rows(spark):
     assert got[2, 0].len == 20 and got[2, 0].lost == len(encode([" " + "xylophone " * 30])[0]) + 2 - 20
     assert subwords.reencode(spark.createDataFrame([], "doc_id long, chunk_no int, input_ids array<long>"), NAME, 20).count() == 0
     assert F.col  # keeps the import for the fixtures
+
+
+def test_only_places_of_rarer_words_are_shuffled(spark, monkeypatch):
+    """Rows come back whole from parts of three words, and no exchange deals the texts themselves."""
+    monkeypatch.setattr(tokens, "HEAD", 2)
+    monkeypatch.setattr(tokens, "PART", 3)
+    docs = [(1, "a b a c d a b e a a"), (1, "c d e"), (2, "a a a"), (3, ""), (None, "b f " * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    v = tokens.vocabulary(df)
+    coded = tokens.encode(df, v)
+    assert "REPARTITION" not in coded._jdf.queryExecution().executedPlan().toString()
+    assert Counter((r.doc_id, r.text) for r in tokens.decode(coded, v).collect()) == Counter((i, " ".join(t.split())) for i, t in docs if t)
