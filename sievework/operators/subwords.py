@@ -1,4 +1,4 @@
-"""Subword tokenizers by name: every distinct piece of the corpus is encoded once, texts are put together by lookup."""
+"""Subword tokenizers by name: every frequent piece of the corpus is encoded once, texts are put together by lookup."""
 
 from __future__ import annotations
 
@@ -86,36 +86,61 @@ def pieces(text: Column, prefix_space: bool = True) -> Column:
     return F.regexp_extract_all(led, F.lit(PIECES), F.lit(1))
 
 
-def piece_table(docs: DataFrame, name: str, text: str = "text", prefix_space: bool = True) -> DataFrame:
-    """(piece, n, place, ids): the distinct pieces of the texts by falling count, each encoded once.
+def _piece_counts(docs: DataFrame, name: str, text: str, prefix_space: bool) -> DataFrame:
+    """(piece, n): the distinct pieces of the texts; counts are summed before the shuffle."""
+    if not by_name(name).byte_level:
+        raise ValueError(f"{name} merges across pieces; use encode_whole")
+    return docs.select(F.explode(pieces(F.col(text), prefix_space)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
-    Counts are summed before the shuffle; a piece is one call's work however often it stands.  Stored.
-    """
-    from sievework.operators.sampling import ordinal
 
+def _coded(counts: DataFrame, name: str) -> DataFrame:
+    """(piece, n, ids): a piece is one call's work however often it stands."""
     t = by_name(name)
-    if not t.byte_level:
-        raise ValueError(f"{name} merges across pieces; use encode_whole")
-    n = docs.select(F.explode(pieces(F.col(text), prefix_space)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, _ = loaded(t)
         for pdf in batches:
             yield pdf.assign(ids=encode(pdf["piece"].tolist()))
 
-    coded = n.mapInPandas(run, "piece string, n long, ids array<long>")
-    return stored(ordinal(coded, [F.desc("n"), F.asc("piece")], "place"), "pieces")
+    return counts.mapInPandas(run, "piece string, n long, ids array<long>")
+
+
+def piece_table(docs: DataFrame, name: str, text: str = "text", prefix_space: bool = True) -> DataFrame:
+    """(piece, n, place, ids): the distinct pieces of the texts by falling count, each encoded once (T2). Stored."""
+    from sievework.operators.sampling import ordinal
+
+    return stored(ordinal(_coded(_piece_counts(docs, name, text, prefix_space), name), [F.desc("n"), F.asc("piece")], "place"), "pieces")
+
+
+def head_table(docs: DataFrame, name: str, text: str = "text", prefix_space: bool = True) -> DataFrame:
+    """(piece, n, ids) of the most frequent pieces that come twice or more, at most HEAD: whole classes of counts that differ by 5 % or less.
+
+    Only pieces that come twice are stored, and no ordinal is needed: totals of at most 1,100 classes say where to end.
+    """
+    again = stored(_piece_counts(docs, name, text, prefix_space).where("n > 1").withColumn("class", F.floor(16 * F.log2("n")).cast("int")), "counts")
+    total, least = 0, None
+    for r in again.groupBy("class").count().orderBy(F.desc("class")).collect():
+        total += r["count"]
+        if total > HEAD:
+            break
+        least = r["class"]
+    return _coded(again.where(F.col("class") >= least if least is not None else F.lit(False)).select("piece", "n"), name)
 
 
 def encode(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", prefix_space: bool = True, table: DataFrame | None = None) -> DataFrame:
     """(key, input_ids) by the tokenizer `name`, neither truncated nor padded.
 
-    The ids of a text are those of its pieces one after the other, looked up in piece_table() (made here if it is not
-    given): the HEAD most frequent pieces by broadcast, the others by a shuffle of their places.  Null and empty texts
+    The ids of a text are those of its pieces one after the other.  Those of head_table() are encoded once and looked up by
+    broadcast; others are encoded where they stand, each once in about a million places, so that nothing but counts is
+    shuffled.  With a `table` (piece_table()) the others come from there, by a shuffle of their places.  Null and empty texts
     give no row; repeated rows, and rows of one key or none, stay apart; very long texts are whole.
     """
-    table = piece_table(docs, name, text, prefix_space) if table is None else table
-    got = look_up(docs, key, pieces(F.col(text), prefix_space), table.select("piece", "ids", "place"), "piece", "ids", F.col("place") <= HEAD)
+    values = pieces(F.col(text), prefix_space)
+    if table is None:
+        t = by_name(name)
+        got = look_up(docs, key, values, head_table(docs, name, text, prefix_space), "piece", "ids", F.lit(True), lambda x: loaded(t)[0](x))
+    else:
+        got = look_up(docs, key, values, table.select("piece", "ids", "place"), "piece", "ids", F.col("place") <= HEAD)
     return got.select(key, F.flatten("__got").alias("input_ids"))
 
 

@@ -56,14 +56,15 @@ def encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "
     return got.select(key, F.col("__got").alias("input_ids"))
 
 
-def look_up(df: DataFrame, key: str, values: Column, table: DataFrame, by: str, what: str, frequent: Column) -> DataFrame:
+def look_up(df: DataFrame, key: str, values: Column, table: DataFrame, by: str, what: str, frequent: Column, other: Callable[[list], list] | None = None) -> DataFrame:
     """(key, __got): the array `values` of each row with each element replaced by the `what` of its row in `table`.
 
     Elements that the table lacks are left out, and rows of which nothing is left.  The `frequent` part of the table, which
     must be of bounded size, is numbered and broadcast: arrays are exploded to parts of bounded length, whose elements are looked
     up and put together again as they stream by, without a shuffle or a sort.  If the table has more, each row is stored once,
     as packed numbers and the elements not yet found; only these are shuffled to the rest of the table, and only rows that have
-    any, still packed, to what it gave.
+    any, still packed, to what it gave.  Where a function `other` gives the values of elements that the broadcast part lacks,
+    it is asked as the parts stream by, for each of them once a step, and nothing is stored or shuffled.
     """
     spark = df.sparkSession
     kind = df.select(values.alias("__v")).schema["__v"].dataType.elementType
@@ -71,14 +72,14 @@ def look_up(df: DataFrame, key: str, values: Column, table: DataFrame, by: str,
     head = table.where(frequent & F.col(what).isNotNull()).select(F.col(by).cast(kind), what).toArrow().combine_chunks()
     known = spark.sparkContext.broadcast(tuple(_one(head[c]) for c in (by, what)))
     rest = table.where(~frequent & F.col(what).isNotNull()).select(by, what)
-    more = not rest.isEmpty()
+    more = other is None and not rest.isEmpty()
 
     rows = df.select(F.col(key), values.alias("__v")).withColumn("__row", F.monotonically_increasing_id())
     cuts = F.when(F.size("__v") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("__v") - 1) / PART).cast("int")), lambda k: F.slice("__v", k * PART + 1, F.lit(PART))))
     parts = rows.select(F.col(key).alias("key"), "__row", F.posexplode(cuts).alias("pos", "part"))
     got = T.StructType([T.StructField(key, types[key]), T.StructField("__got", T.ArrayType(types[what]))])
     if not more:
-        return parts.mapInArrow(_together(False, known), got)
+        return parts.mapInArrow(_together(False, known, other), got)
     packed = T.StructType([T.StructField(key, types[key]), T.StructField("__row", T.LongType()), T.StructField("__ids", T.BinaryType()), T.StructField("__at", T.ArrayType(T.IntegerType())), T.StructField("__by", T.ArrayType(types[by]))])
     coded = stored(parts.mapInArrow(_together(True, known), packed), "rows")
     none = F.array().cast(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("w", types[what])])))
@@ -93,8 +94,11 @@ def look_up(df: DataFrame, key: str, values: Column, table: DataFrame, by: str,
 PART, _STEP = 1 << 16, 1 << 20
 
 
-def _together(more: bool, known):
-    """From parts of arrays in their order (key, __row, pos, part) to rows: (key, __got), or packed ones with what was not found."""
+def _together(more: bool, known, other=None):
+    """From parts of arrays in their order (key, __row, pos, part) to rows: (key, __got), or packed ones with what was not found.
+
+    `other` gives what was not found.
+    """
 
     def run(batches):
         import numpy as np
@@ -119,7 +123,13 @@ def _together(more: bool, known):
             key = _one(t["key"]).take(pa.array(start))
             lost = number < 0
             if not more:
-                return pa.RecordBatch.from_arrays(_whole(key, edge, number, known.value[1]), names=["key", "__got"]), left
+                found = known.value[1]
+                if other is not None and lost.any():
+                    rare = values.filter(pa.array(lost)).dictionary_encode()
+                    number = np.where(lost, 0, number)
+                    number[lost] = len(found) + rare.indices.to_numpy()
+                    found = pa.concat_arrays([found, pa.array(other(rare.dictionary.to_pylist()), found.type)])
+                return pa.RecordBatch.from_arrays(_whole(key, edge, number, found), names=["key", "__got"]), left
             packed = [_pack(number[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
             there = pa.array(np.append(0, np.cumsum(lost))[edge].astype(np.int32))
             at = (np.arange(len(number)) - np.repeat(edge[:-1], np.diff(edge)))[lost].astype(np.int32)

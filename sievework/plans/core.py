@@ -593,7 +593,7 @@ def m_no_duplicates(s, d):
 
 @query("t_subword_encode")
 def t_subword_encode(s, d):
-    """Every document's ids by a byte-level vocabulary, every distinct piece encoded once."""
+    """Every document's ids by a byte-level vocabulary, every frequent piece encoded once."""
     coded = subwords.encode(table(s, d, "documents").select("doc_id", "text"), "byte_bpe_50k")
     return coded.select("doc_id", F.size("input_ids").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_md5"))
 

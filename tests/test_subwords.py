@@ -107,3 +107,24 @@ def test_only_places_of_rarer_words_are_shuffled(spark, monkeypatch):
     coded = tokens.encode(df, v)
     assert "REPARTITION" not in coded._jdf.queryExecution().executedPlan().toString()
     assert Counter((r.doc_id, r.text) for r in tokens.decode(coded, v).collect()) == Counter((i, " ".join(t.split())) for i, t in docs if t)
+
+
+@pytest.mark.parametrize("head", [200_000, 3, 0])
+def test_rare_pieces_are_encoded_where_they_stand(spark, monkeypatch, head):
+    """No table of the rarer pieces is stored or joined, and no row or chunk is shuffled."""
+    monkeypatch.setattr(subwords, "HEAD", head)
+    monkeypatch.setattr(tokens, "PART", 3)
+    rows = [(1, "the cat the dog"), (1, "the cat the dog"), (2, "a zebra, 12 é"), (None, "the é"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    coded = subwords.encode(df, NAME)
+    encode, _ = subwords.loaded(subwords.by_name(NAME))
+    assert Counter((r.doc_id, tuple(r.input_ids)) for r in coded.collect()) == Counter((i, tuple(encode([" " + t])[0])) for i, t in rows if t)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_the_head_is_the_most_frequent_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " a a a b b" + " c" * (k % 2) + " d" * (k == 0)) for k in range(40)], "doc_id long, text string")
+    for head, want in ((9, {" a": 120, " b": 80, " c": 20}), (2, {" a": 120, " b": 80}), (0, {})):
+        monkeypatch.setattr(subwords, "HEAD", head)
+        assert {r.piece: r.n for r in subwords.head_table(df, NAME).collect()} == want
