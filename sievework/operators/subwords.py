@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators.tokens import HEAD, look_up
 from sievework.schemas import BOS, EOS
@@ -17,6 +18,9 @@ from sievework.session import stored
 #: Fixed value: the split of a text into pieces before byte-level merges, with Unicode classes.
 PIECES = r"(?U)('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
 
+#: Chunks that are decoded and encoded in one call.
+CHUNKS = 1000
+
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -168,32 +172,35 @@ def decode(rows: DataFrame, name: str, column: str = "input_ids", out: str = "te
 def reencode(chunks: DataFrame, name: str, chunk_size: int, key: str = "doc_id", ids: str = "input_ids") -> DataFrame:
     """(key, chunk_no, input_ids, len, lost) of chunks (key, chunk_no, ids): each begins with a space and with BOS.
 
-    A table function, one call for a document, in the order of its chunks.  A chunk whose text begins with a space stays
-    as it is; another one is encoded anew with a space before it, which may change its length, and is cut to
+    A chunk needs no other one, so chunks are taken where they are, without a shuffle.  A chunk whose text begins with a space
+    stays as it is; another one is encoded anew with a space before it, which may change its length, and is cut to
     chunk_size ids with BOS and EOS; lost counts the ids that the cut has taken.  A chunk of special ids alone stays as it is; a null
-    chunk gives no row; rows of a null key are one document.
+    chunk gives no row; repeated rows, and rows of a null key, stay apart.
     """
     t = by_name(name)
 
-    class Reencode:
-        def eval(self, row, size: int):
-            own = row["ids"]
-            if own is None:
-                return
-            encode, back = loaded(t)
-            text = back([[x for x in own if x not in (BOS, EOS)]])[0]
-            lost = 0
-            if text and not text.startswith(" "):
-                new = [BOS, *encode([" " + text])[0], EOS]
-                own, lost = new[:size], max(0, len(new) - size)
-            elif not own or own[0] != BOS:
-                own = [BOS, *own]
-            yield row["key"], row["chunk_no"], own, len(own), lost
-
-    kind = chunks.schema[key].dataType.simpleString()
-    run = F.udtf(Reencode, returnType=f"key {kind}, chunk_no long, input_ids array<long>, len long, lost long")
-    src = chunks.select(F.col(key).alias("key"), F.col("chunk_no").cast("long").alias("chunk_no"), F.col(ids).cast("array<long>").alias("ids"))
-    return run(src.asTable().partitionBy("key").orderBy("chunk_no"), F.lit(chunk_size)).withColumnRenamed("key", key)
+    def run(batches):
+        import pyarrow as pa
+
+        encode, back = loaded(t)
+        for batch in batches:
+            for b in (batch.slice(k, CHUNKS) for k in range(0, batch.num_rows, CHUNKS)):
+                b = b.filter(b.column(2).is_valid())
+                own, lost = b.column(2).to_pylist(), [0] * b.num_rows
+                texts = back([[x for x in ids if x not in (BOS, EOS)] for ids in own])
+                led = [bool(x) and not x.startswith(" ") for x in texts]
+                anew = iter(encode([" " + x for x, y in zip(texts, led) if y]))
+                for k, y in enumerate(led):
+                    if y:
+                        new = [BOS, *next(anew), EOS]
+                        own[k], lost[k] = new[:chunk_size], max(0, len(new) - chunk_size)
+                    elif not own[k] or own[k][0] != BOS:
+                        own[k] = [BOS, *own[k]]
+                columns = [b.column(0), b.column(1), pa.array(own, pa.list_(pa.int64())), pa.array([len(x) for x in own], pa.int64()), pa.array(lost, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "chunk_no", "input_ids", "len", "lost"])
+
+    src = chunks.select(F.col(key), F.col("chunk_no").cast("long").alias("chunk_no"), F.col(ids).cast("array<long>").alias("input_ids"))
+    return src.mapInArrow(run, T.StructType([*src.schema, T.StructField("len", T.LongType()), T.StructField("lost", T.LongType())]))
 
 
 def _public() -> None:

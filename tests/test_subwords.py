@@ -119,7 +119,9 @@ def test_rare_pieces_are_encoded_where_they_stand(spark, monkeypatch, head):
     coded = subwords.encode(df, NAME)
     encode, _ = subwords.loaded(subwords.by_name(NAME))
     assert Counter((r.doc_id, tuple(r.input_ids)) for r in coded.collect()) == Counter((i, tuple(encode([" " + t])[0])) for i, t in rows if t)
-    plan = coded._jdf.queryExecution().executedPlan().toString()
+    out = subwords.reencode(tokens.chunk(coded, tokens.ChunkRule(4, 1, 0), "doc_id"), NAME, 4)
+    assert sum(r.len - 2 + r.lost for r in out.collect()) >= sum(len(encode([" " + t])[0]) for _, t in rows if t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
 
 
