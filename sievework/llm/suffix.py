@@ -17,23 +17,47 @@ FILTER_BITS = 27
 #: Starts in a piece of a run, bytes of a collection, and runs of one key beyond which its runs are cut finer.
 #: HOT changes how keys are cut, not what is found: finer keys are equal for equal strings too.
 PIECE, COLLECTION, HOT = 128, 1_000_000, 20_000
-#: Bytes of text whose snippets are collapsed before they are sent.
-SENT = 4_000_000
+#: Bytes of text whose snippets are collapsed before they are sent, and of neighbouring texts that are hashed at once.
+SENT, BLOCK = 4_000_000, 1 << 14
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-def run_keys(data: np.ndarray, length: int, most: int) -> np.ndarray:
-    """The key of each run; once more for a run in which the key's gram stands twice, as it may repeat itself."""
+def blocks(texts, length: int):
+    """(number of the first text, texts joined, their offsets, their sizes) of neighbours of about BLOCK bytes; none under `length`."""
+    held: list[bytes] = []
+    first = size = 0
+    for k, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size >= BLOCK or k + 1 == len(texts):
+            n = np.array([len(x) for x in held], np.int64)
+            yield first, b"".join(held), np.cumsum(n) - n, n
+            held, first, size = [], k + 1, 0
+
+
+def block_runs(data: np.ndarray, off: np.ndarray, size: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, starts, key) of the runs of all texts of a block, which none crosses, as runs() gives them; and the grams' hashes."""
     w = window_of(length)
     h = gram_hash(data, length - w + 1)
-    first, size, key = _cut_runs(window_min(h, w), most)
-    if not len(key):
-        return key
-    span = size + w - 1
+    key = window_min(h, w)
+    new = np.append(True, key[1:] != key[:-1])
+    new[off] = True
+    end = off + size - length + 1  # the starts from here to the next text reach into it
+    new[end[end < len(new)]] = True
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(key)))
+    own = first < end[np.searchsorted(off, first, "right") - 1]
+    return *_cut(first[own], n[own], key, most), h
+
+
+def run_keys(data: np.ndarray, off: np.ndarray, size: np.ndarray, length: int, most: int) -> np.ndarray:
+    """The key of each run of a block; once more for a run in which the key's gram stands twice, as it may repeat itself."""
+    first, n, key, h = block_runs(data, off, size, length, most)
+    span = n + window_of(length) - 1
     begin = np.cumsum(span) - span
     same = h[np.repeat(first - begin, span) + np.arange(span.sum())] == np.repeat(key, span)
-    return np.concatenate([key, key[np.add.reduceat(same.astype(np.int32), begin) > 1]])
+    return np.concatenate([key, key[np.add.reduceat(same, begin, dtype=np.int32) > 1]])
 
 
 def window_of(length: int) -> int:
@@ -50,12 +74,14 @@ def gram_hash(data: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
             if out is None:
                 out, have = h, n
             else:
-                out = out[: len(h) - have] * _M[(level + 3) % 8] + h[have:] if len(h) > have else out[:0]
+                out = out[: max(0, len(h) - have)] * _M[(level + 3) % 8]
+                out += h[have:]
                 have += n
         left >>= 1
         level += 1
         if left:
-            h = (h[:-n] * _M[level % 8] + h[n:]) if len(h) > n else h[:0]
+            h, more = h[:-n] * _M[level % 8], h[n:]
+            h += more
             h ^= h >> np.uint64(31)
             n *= 2
     out = out * _M[7]
@@ -87,7 +113,11 @@ def _cut_runs(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
+    return _cut(first, np.diff(np.append(first, len(key))), key, most)
+
+
+def _cut(first: np.ndarray, size: np.ndarray, key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut at `most` starts, with their keys."""
     if size.max() > most:
         pieces = -(-size // most)
         base = np.repeat(first, pieces)
@@ -125,6 +155,9 @@ class Index:
         self._write(self.lcp, np.zeros(m, kind))
         #: places of the transform by (byte, place), and how often each byte stands there
         self.sorted, self.counts = np.argsort(back[0], kind="stable").astype(np.int32), np.bincount(back[0], minlength=self.symbols)
+        # memory that all rounds share: lists of this size would be asked from the system anew each round
+        most = m + int(self.size.sum())
+        self.places, self.room = np.arange(most, dtype=np.int32), [np.empty(most, np.int32) for _ in range(3)]
         at = np.arange(m)  # place of each document's newest suffix, and that place's number in self.sorted
         number = np.empty(m, np.int64)
         number[self.sorted] = at
@@ -161,19 +194,23 @@ class Index:
         self._write(self.lcp, l2)
         self.n = n + a
         # the same for the places by (byte, place): old ones move up, new ones find theirs in their byte's part
-        moved = np.flatnonzero(keep).astype(np.int32)[order]
         by = np.argsort(put, kind="stable")
         s, q = put[by], new[by]
+        old = new - np.arange(a)  # how many old ones stand before each new one
         cut = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), a)
-        part = np.append(0, np.cumsum(self.counts))
+        part, of, small = np.append(0, np.cumsum(self.counts)).tolist(), s[cut[:-1]].tolist(), old[by].astype(np.int32)
         spot = np.empty(a, np.int64)
-        for x, y in zip(cut[:-1], cut[1:]):
-            lo, hi = part[s[x]], part[s[x] + 1]
-            spot[x:y] = lo + np.searchsorted(moved[lo:hi], q[x:y])
+        for x, y, c in zip(cut[:-1].tolist(), cut[1:].tolist(), of):  # one type on both sides, or the part would be copied to another
+            spot[x:y] = order[part[c] : part[c + 1]].searchsorted(small[x:y])
+            spot[x:y] += part[c]
         spot += np.arange(a)
+        shift = np.repeat(self.places[: a + 1], np.diff(old, prepend=0, append=n))
+        shift += self.places[:n]
+        moved = np.take(shift, order, out=self.room[2][:n], mode="clip")
         keep[:] = True
         keep[spot] = False
-        self.sorted = np.empty(n + a, np.int32)
+        self.room = [self.room[1], self.room[0], self.room[2]]
+        self.sorted = self.room[0][: n + a]  # the old list is in the other one
         self.sorted[keep], self.sorted[spot] = moved, q
         self.counts = self.counts + np.bincount(s, minlength=self.symbols)
         at2, number2 = np.empty(a, np.int64), np.empty(a, np.int64)
@@ -319,10 +356,10 @@ def io_folder() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="sievework-index-")
 
 
-def _candidates(text: bytes, length: int, seen: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, starts, key) of the runs whose key may come twice, hot ones cut finer."""
+def _candidates(text: bytes, off: np.ndarray, size: np.ndarray, length: int, seen: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start in the block, starts, key) of the runs whose key may come twice, hot ones cut finer."""
     data = np.frombuffer(text, np.uint8)
-    first, n, key = runs(data, length, PIECE)
+    first, n, key, _ = block_runs(data, off, size, length, PIECE)
     on = _has(seen, key)
     first, n, key = first[on], n[on], key[on]
     much = _has(hot, key)
@@ -355,8 +392,8 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
 
         for b in batches:
             found = [np.zeros(0, np.uint64)]
-            for t in b.column(0):
-                found.append(run_keys(np.frombuffer(t.as_py(), np.uint8), length, PIECE))
+            for _, t, off, size in blocks(b.column(0), length):
+                found.append(run_keys(np.frombuffer(t, np.uint8), off, size, length, PIECE))
             k, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["key", "n"])
         tidy()
@@ -371,11 +408,12 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
         hash_of = xxhash.xxh3_64_intdigest
         for b in batches:
             out: list = [[np.zeros(0, np.int64)] for _ in range(6)]
-            for x, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                t = t.as_py()
-                first, n, key = _candidates(t, length, *shared.value)
+            r1, r2 = (b.column(k).to_numpy() for k in (0, 1))
+            for at, t, off, size in blocks(b.column(2), length):
+                first, n, key = _candidates(t, off, size, length, *shared.value)
                 ids = np.array([hash_of(t[a : a + m + length - 1]) for a, m in zip(first.tolist(), n.tolist())], np.uint64).view(np.int64)
-                for k, v in enumerate((np.full(len(first), x), np.full(len(first), y), first, n, key, ids)):
+                owner = np.searchsorted(off, first, "right") - 1
+                for k, v in enumerate((r1[at + owner], r2[at + owner], first - off[owner], n, key, ids)):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int32 if k in (2, 3) else np.int64)) for k, v in enumerate(out)], names=["r1", "r2", "first", "n", "key", "sid"])
         tidy()
@@ -390,9 +428,8 @@ def repeated_starts(docs: DataFrame, length: int = 200) -> DataFrame:
         for b in batches:
             for at, rows in text_slices(b.column(0), SENT):
                 seen: dict[tuple[int, bytes], int] = {}
-                for t in b.column(0).slice(at, rows):
-                    t = t.as_py()
-                    for a, m, k in zip(*(x.tolist() for x in _candidates(t, length, *shared.value))):
+                for _, t, off, size in blocks(b.column(0).slice(at, rows), length):
+                    for a, m, k in zip(*(x.tolist() for x in _candidates(t, off, size, length, *shared.value))):
                         one = (k, t[a : a + m + length - 1])
                         seen[one] = seen.get(one, 0) + 1
                 ids = [xxhash.xxh3_64_intdigest(x) for _, x in seen]

@@ -41,3 +41,28 @@ def test_clean_keeps_the_bytes(spark, folder):
     kept = decontam.clean(docs, spark.createDataFrame([(1, "nothing of this")], "item_id long, text string"))
     assert {r.h for r in kept.select(F.hex("text").alias("h")).collect()} == {r.h for r in docs.select(F.hex("text").alias("h")).collect()}
     assert langid and quality and toxicity
+
+
+def test_runs_of_a_block_are_those_of_its_texts():
+    """Texts hashed at once give each text's own runs and keys: none crosses from one text to the next."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sievework.llm import suffix
+
+    rnd = random.Random(3)
+    texts = [bytes(rnd.choices(b"ab", k=n)) for n in (40, 41, 700, 90, 3000, 40)] + [b"a" * 400, b"\xff" * 55]
+    texts += texts[:3]
+    got, keys = [], []
+    for at, t, off, size in suffix.blocks(pa.array(texts), 40):
+        data = np.frombuffer(t, np.uint8)
+        first, n, key, _ = suffix.block_runs(data, off, size, 40, 16)
+        owner = np.searchsorted(off, first, "right") - 1
+        got += zip((at + owner).tolist(), (first - off[owner]).tolist(), n.tolist(), key.tolist())
+        keys += suffix.run_keys(data, off, size, 40, 16).tolist()
+    want = [(i, *r) for i, t in enumerate(texts) for r in zip(*(x.tolist() for x in suffix.runs(np.frombuffer(t, np.uint8), 40, 16)))]
+    assert got == want and len(keys) > len(want)  # the gram of some keys stands twice in its run
+    alone = [k for t in texts for k in suffix.run_keys(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), 40, 16).tolist()]
+    assert sorted(keys) == sorted(alone)
