@@ -19,7 +19,7 @@ AGREEMENT = (("they was", "they were"), ("They was", "They were"), ("they is", "
 
 def tokens(text: Column) -> Column:
     """Words between white space; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), F.lit(""))
 
 
 def split_name(url: Column) -> Column:

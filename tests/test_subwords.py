@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions.text import tokens as words
 from sievework.operators import subwords, tokens
 from sievework.schemas import BOS, EOS
 
@@ -130,3 +131,10 @@ def test_the_head_is_the_most_frequent_pieces(spark, monkeypatch):
     for head, want in ((9, {" a": 120, " b": 80, " c": 20}), (2, {" a": 120, " b": 80}), (0, {})):
         monkeypatch.setattr(subwords, "HEAD", head)
         assert {r.piece: r.n for r in subwords.head_table(df, NAME).collect()} == want
+
+
+def test_words_are_split_without_a_function_for_each(spark):
+    rows = [(None, []), ("", []), (" \t", []), (" a  b ", ["a", "b"]), ("\ta\x0bb\n\fc", ["a\x0bb", "c"])]
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, text string").select("k", words(F.col("text")).alias("w"))
+    assert {r.k: r.w for r in got.collect()} == {k: w for k, (_, w) in enumerate(rows)}
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
