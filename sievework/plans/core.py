@@ -241,7 +241,8 @@ def t_frame_checked(s, d):
 
 @query("t_truncate", f"SELECT doc_id, list_sum({LENGTHS}[1:100])::BIGINT AS total FROM documents")
 def t_truncate(s, d):
-    return length_ids(s, d).select("doc_id", F.aggregate(F.slice("input_ids", 1, 100), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    total = F.aggregate(F.slice("input_ids", 1, 100), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return length_ids(s, d).select("doc_id", F.when(F.size("input_ids") > 0, total).alias("total"))  # no words: null, as a sum of none
 
 
 @query("t_batches", f"SELECT doc_id, rn, batch_no FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '-21'), doc_id) AS rn, ((row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '-21'), doc_id) - 1) // 48)::BIGINT AS batch_no, count(*) OVER () AS total FROM documents) WHERE batch_no < total // 48")
