@@ -107,9 +107,28 @@ def _meets(f: str, mask: str) -> Column:
 def postings(sets: DataFrame, matches: int) -> DataFrame:
     """(node, c, toks) of the sets with at least `matches` postings shared by sets of a like size: (f, token), the rarest first."""
     flat = sets.select("node", "c", F.posexplode("sig").alias("k", "v")).select("node", "c", _token(F.col("k"), F.col("v")).alias("token"))
+    return shared_postings(flat).where(F.size("toks") >= matches)  # COORDINATES at most
+
+
+def shared_postings(flat: DataFrame) -> DataFrame:
+    """(node, c, toks) of sets posted as (node, c, token): those of its postings that sets of a like size share, (f, token), the rarest first."""
     shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.bit_or(_bit(F.col("c"))).alias("mask")).where("f > 1")
     met = flat.join(shared, "token").where(_meets("f", "mask"))
-    return met.groupBy("node", "c").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("toks")).where(F.size("toks") >= matches)  # COORDINATES at most
+    return met.groupBy("node", "c").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("toks"))
+
+
+def meeting(posted: DataFrame, facts: DataFrame, size: int, together: int) -> tuple[DataFrame, int]:
+    """Rows (node, c, root, token, ...) of postings where sets of several classes meet, with their `facts` (node, ...), dealt to pairs of parts.
+
+    A posting has parts of about `size` rows, and every pair (i, j) of parts the rows of both.  The number is that of tasks of
+    about `together` rows.
+    """
+    mixed = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_or(_bit(F.col("c"))).alias("mask")).where("lo <> hi").select("token", "m", "mask", F.ceil(F.col("m") / size).alias("parts")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("i"), F.greatest(F.col("part"), k).alias("j")))
+    open_ = posted.join(mixed, "token").where(_meets("m", "mask")).drop("c", "m", "mask").join(facts, "node").withColumn("part", part)
+    rows = mixed.agg(F.sum(F.col("m") * F.col("parts"))).first()[0] or 0
+    return open_.withColumn("at", F.explode(meet)).select("*", "at.i", "at.j").drop("at", "parts"), max(1, -(-rows // together))
 
 
 def _values(toks: Column) -> list[Column]:
@@ -222,18 +241,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, coordi
     marked = F.transform(F.col("head"), lambda t, k: F.struct(t["token"].alias("token"), F.aggregate(F.slice("head", F.lit(1), k), F.lit(0).cast("long"), lambda s, e: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), coordinate(e)))).alias("before")))
     posted = cut(state.withColumn("head", head).select("node", "c", "root", F.explode(marked).alias("t")).select("node", "c", "root", "t.token", "t.before"))
     facts = facts.join(live.select("node", *_values(F.col("toks"))), "node")
-    mixed = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_or(_bit(F.col("c"))).alias("mask")).where("lo <> hi").select("token", "m", "mask", F.ceil(F.col("m") / PART).alias("parts")))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(F.col("part"), k).alias("i"), F.greatest(F.col("part"), k).alias("j")))
-    open_ = posted.join(mixed, "token").where(_meets("m", "mask")).drop("c", "m", "mask").join(facts.select("node", "have", "vals", "n", F.col("home").alias("pivot"), "sub"), "node").withColumn("part", part)
-    dealt = open_.withColumn("at", F.explode(meet)).select("token", "at.i", "at.j", "part", "node", "root", "n", "before", "have", "vals", "pivot", "sub")
+    dealt, tasks = meeting(posted, facts.select("node", "have", "vals", "n", F.col("home").alias("pivot"), "sub"), PART, TOGETHER)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return candidates(pdf, matches, percent)
 
-    rows_of = mixed.agg(F.sum(F.col("m") * F.col("parts"))).first()[0] or 0
-    group = F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, -(-rows_of // TOGETHER))))
-    found = dealt.groupBy(group.alias("g")).applyInPandas(merge, CELLS)
+    found = dealt.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(tasks)).alias("g")).applyInPandas(merge, CELLS)
     second = pair_links(found, texts, shingle, percent)
 
     last = connected_components(first.unionByName(second))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, stored, tidy
+from .graph import connected_components
 from .simhash import shingles
 from .suffix import _bitmap, _has
 
@@ -22,6 +23,8 @@ from .suffix import _bitmap, _has
 BLOCK_BYTES = 1 << 20
 #: Rows of a cell, named by its two blocks: a node, and its proposed partners in the cell.
 CELLS = "xp long, xs long, yp long, ys long, node long, partners array<long>"
+#: Proposed pairs without a cell: a node and its partners; rows of a forest (tree) join all nodes that any of the pairs join.
+PAIRS = "node long, partners array<long>, tree boolean"
 
 
 def placed(nodes: DataFrame) -> DataFrame:
@@ -77,6 +80,17 @@ def pair_links(found: DataFrame, texts: Texts, shingle: int, percent: int) -> Da
     return _links(cells.join(texts.of(cells.select("node").distinct()), "node"), ["xp", "xs", "yp", "ys"], shingle, percent)
 
 
+def cells(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of CELLS for the rows PAIRS, of nodes (node, bytes): nodes that pairs join have one home, cut into blocks of bounded bytes."""
+    home = connected_components(found.where("tree").select(F.col("node").alias("u"), F.explode("partners").alias("v"))).withColumnRenamed("root", "home")
+    room = home.join(nodes.select("node", "bytes"), "node").groupBy("home").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("subs"))
+    sub = lambda c: F.when(F.col("subs") > 1, F.pmod(F.xxhash64(c), F.col("subs"))).otherwise(F.lit(0).cast("long"))
+    pair = found.where("NOT tree").join(home.join(room, "home"), "node").select("home", "subs", "node", sub("node").alias("s"), F.explode("partners").alias("p")).withColumn("t", sub("p"))
+    none = F.array().cast("array<long>")
+    both = F.array(F.struct("node", F.array("p").alias("partners")), F.struct(F.col("p").alias("node"), none.alias("partners")))
+    return pair.select(F.col("home").alias("xp"), F.least("s", "t").alias("xs"), F.col("home").alias("yp"), F.greatest("s", "t").alias("ys"), F.explode(both).alias("b")).select("xp", "xs", "yp", "ys", "b.*")
+
+
 def no_cells() -> pd.DataFrame:
     return pd.DataFrame(columns=["xp", "xs", "yp", "ys", "node", "partners"], dtype=object)
 

@@ -18,6 +18,11 @@ BLOCK_ROWS, MOST_ROWS, GRID = 8_192, 131_072, 48
 #: keep_one() looks at pairs that differ in at most so many of the first 64 and of all 192 bits.  Sets of equal
 #: size at Jaccard 0.8 differ in 10 (standard deviation 3) and 29 (5) on average, unrelated ones in 32 and 96.
 NEAR, NEAR_ALL = 25, 58
+#: keep_one() compares the fingerprints of sets that have some of their smallest shingle hashes in common: at most KEYS of
+#: each set are looked at, so many that two sets at the threshold share too few of them with a chance of 2 * MISS at most.
+KEYS, MISS = 32, 1e-11
+#: Sets with one key that meet in a task, and rows of keys that a task takes at once, or so.
+PART, TOGETHER = 2048, 16_384
 
 
 def _majority(h: np.ndarray) -> np.ndarray:
@@ -49,16 +54,28 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(_majority(h[:, None])[0]) if len(h) else 0
 
 
-def wide_fingerprint(parts: list[bytes]) -> tuple[int, bytes]:
-    """The majority of 64 and of 128 more bits of the shingles."""
+def wide_fingerprint(parts: list[bytes]) -> tuple[int, bytes, np.ndarray]:
+    """The majority of 64 and of 128 more bits of the shingles, and the 64 bits of each."""
     import xxhash
 
     if not parts:
-        return 0, bytes(16)
+        return 0, bytes(16), np.zeros(0, np.uint64)
     one, two = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
     h = np.column_stack([np.array([one(x, 42) for x in parts], np.uint64), np.frombuffer(b"".join([two(x, 42) for x in parts]), np.uint64).reshape(-1, 2)])
     got = _majority(h)
-    return int(got[0]), got[1:].tobytes()
+    return int(got[0]), got[1:].tobytes(), h[:, 0]
+
+
+def smallest(h: np.ndarray, matches: int, percent: int) -> np.ndarray:
+    """Of the hashes of a set so many of the smallest that it has `matches` in common with any set similar enough; KEYS at most.
+
+    Two sets of n shingles or fewer that are similar share percent / 100 * n at least; what is not shared can come before the
+    first `matches` that are.  Of a set of so few shingles that it cannot share `matches`, all are taken.  For sets that KEYS
+    cuts short, the chance of fewer common ones is that of fewer than `matches` successes among KEYS draws (least_matches).
+    """
+    n = len(h)
+    take = min(KEYS, n, n - -(-percent * n // 100) + matches)
+    return np.partition(h, take)[:take] if take < n else h
 
 
 def add_fingerprint(docs: DataFrame, shingle: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -71,8 +88,8 @@ def add_fingerprint(docs: DataFrame, shingle: int = 4, keep: list[str] | None =
     return add_columns(docs, keep, "fp long", make, binary=True)
 
 
-def add_set_fingerprint(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """The columns `keep` and, of the set of distinct shingles: fp, 16 bytes more of the fingerprint (more), n, a digest (sid)."""
+def add_set_fingerprint(docs: DataFrame, shingle: int, keep: list[str], matches: int, percent: int) -> DataFrame:
+    """The columns `keep` and, of the set of distinct shingles: fp, 16 bytes more of the fingerprint (more), n, a digest (sid), keys (smallest())."""
 
     def make():
         import xxhash
@@ -80,11 +97,12 @@ def add_set_fingerprint(docs: DataFrame, shingle: int, keep: list[str]) -> DataF
         def run(texts):
             sets = [sorted(set(shingles(t, shingle))) for t in texts]
             got = [wide_fingerprint(s) for s in sets]
-            return [np.array([g[0] for g in got], np.uint64).view(np.int64), [g[1] for g in got], [len(s) for s in sets], [xxhash.xxh3_128_digest(b"\n".join(s)) for s in sets]]
+            keys = [smallest(g[2], matches, percent).view(np.int64) for g in got]
+            return [np.array([g[0] for g in got], np.uint64).view(np.int64), [g[1] for g in got], [len(s) for s in sets], [xxhash.xxh3_128_digest(b"\n".join(s)) for s in sets], keys]
 
         return run
 
-    return add_columns(docs, keep, "fp long, more binary, n long, sid binary", make, binary=True)
+    return add_columns(docs, keep, "fp long, more binary, n long, sid binary, keys array<long>", make, binary=True)
 
 
 def components(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, grid: int = GRID) -> DataFrame:
@@ -258,40 +276,102 @@ def with_component(rows: DataFrame, fps: DataFrame, classes: DataFrame, key: str
     return rows.join(by_key, key)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, total_radius: int, percent: int, tile: int = 128, wide: int = 4096) -> pd.DataFrame:
-    """The pairs that keep_one() settles in its second round, as rows of settle.CELLS.
+def stars(live: DataFrame, percent: int) -> DataFrame:
+    """(node, pivot): of the least sets of its keys the least one that is near to a set in fingerprint and like it in size.
 
-    Rows are (fp, more, more, n, root, home, sub, node).  A pair is near in the first word and in all three, its sizes
-    allow the similarity, and its nodes are not of one class already.
+    Each row of a key meets one other, so the rows grow with the sets, whatever the size of a key.
     """
-    from .settle import as_cells, no_cells
+    flat = live.select("node", "n", "fp", "m1", "m2", F.explode("toks.token").alias("token"))
+    pivot = flat.groupBy("token").agg(F.min(F.struct("node", "n", "fp", "m1", "m2")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "p")
+    first, *more = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"p.{c}"))) for c in ("fp", "m1", "m2")]
+    alike = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+    met = flat.join(pivot, "token").where((F.col("p.node") < F.col("node")) & alike & (first <= NEAR) & (first + more[0] + more[1] <= NEAR_ALL))
+    return met.groupBy("node").agg(F.min("p.node").alias("pivot"))
 
-    a = _ordered(a)
-    same = b is None
-    b = a if same else _ordered(b)
-    every = a if same else np.concatenate([a, b])
-    base, box_a, box_b = 0 if same else len(a), _boxes(a[:, 0], tile), _boxes(b[:, 0], tile)
-    wa, wb = a[:, :3].view(np.uint64), b[:, :3].view(np.uint64)
-    pairs = []
-    for i in range(0, len(a), tile):
-        gap = np.maximum(np.maximum(box_a[0][i // tile] - box_b[1], box_b[0] - box_a[1][i // tile]), 0).sum(axis=1)
-        cols = (np.flatnonzero(gap <= radius)[:, None] * tile + np.arange(tile)).ravel()
-        cols = cols[(cols < len(b)) & ((cols > i) if same else True)]
-        for k in range(0, len(cols), wide):
-            c = cols[k : k + wide]
-            x, y = np.nonzero(np.bitwise_count(wa[i : i + tile, None, 0] ^ wb[None, c, 0]) <= radius)
-            x, y = x + i, c[y]
-            on = (a[x, 4] != b[y, 4]) & (100 * np.minimum(a[x, 3], b[y, 3]) >= percent * np.maximum(a[x, 3], b[y, 3]))
-            x, y = x[on], y[on]
-            if same:
-                x, y = x[x < y], y[x < y]
-            on = np.bitwise_count(wa[x] ^ wb[y]).sum(axis=1) <= total_radius
-            if on.any():
-                pairs.append(np.stack([x[on], y[on] + base]))
+
+def _common(group: np.ndarray, lists: pd.Series) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that says of the rows x and y, which lie in one group each, whether their lists have an element in common.
+
+    Elements that come twice or more in a group are its bits, the most frequent first; rows are sorted by group.
+    """
+    owner = np.repeat(np.arange(len(lists)), [len(e) for e in lists])
+    element = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+    order = np.lexsort((element, group[owner]))
+    owner, element = owner[order], element[order]
+    first = np.flatnonzero(np.append(True, (group[owner][1:] != group[owner][:-1]) | (element[1:] != element[:-1]))[: len(owner)])
+    count = np.diff(np.append(first, len(owner)))
+    kind = np.repeat(np.arange(len(first)), count)  # of each element: the group's
+    home = group[owner[first]]
+    rank = np.zeros(len(first), np.int64)
+    by_count = np.lexsort((-count, home))
+    rank[by_count] = np.arange(len(first)) - np.searchsorted(home, home)
+    twice = count > 1
+    width = np.zeros(group[-1] + 1 if len(group) else 0, np.int64)  # words of a group's rows
+    np.maximum.at(width, home[twice], rank[twice] // 64 + 1)
+    wide = width[group]
+    base = np.cumsum(wide) - wide
+    bits = np.zeros(wide.sum(), np.uint64)
+    on = twice[kind]
+    np.bitwise_or.at(bits, base[owner[on]] + rank[kind[on]] // 64, np.uint64(1) << (rank[kind[on]] % 64).astype(np.uint64))
+
+    def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        left, k = np.flatnonzero(wide[x] > 0), 0
+        while len(left):
+            got = (bits[base[x[left]] + k] & bits[base[y[left]] + k]) != 0
+            out[left[got]] = True
+            k += 1
+            left = left[~got & (wide[x[left]] > k)]
+        return out
+
+    return common
+
+
+def near_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs that keep_one() settles in its second round, as rows of settle.PAIRS.
+
+    Rows with equal token, i and j are the sets of a key, or two parts of them.  A pair is taken if it is near in the first
+    word and in all three, its sizes allow the similarity, its nodes are not of one class already, and neither of its
+    sets' earlier keys is common to both.  Rows at each distance in turn are compared, in all keys at once; as the sets of
+    a key rise in size, those that differ too much from the next ones are left out of all further ones.
+    """
+    pdf = pdf.sort_values(["token", "i", "j", "n"], kind="stable")
+    node, root, n, part = (pdf[c].to_numpy(np.int64) for c in ("node", "root", "n", "part"))
+    words = [pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "m1", "m2")]
+    key = pdf[["token", "i", "j"]].to_numpy(np.int64)
+    fresh = np.ones(len(pdf), bool)
+    fresh[1:] = (key[1:] != key[:-1]).any(axis=1)
+    end = np.append(np.flatnonzero(fresh)[1:], len(pdf))[np.cumsum(fresh) - 1]  # of each row's key
+    across = key[:, 1] != key[:, 2]  # two parts: only pairs between them
+    met_before = _common(np.cumsum(fresh) - 1, pdf["earlier"])
+    pairs: list[np.ndarray] = []
+    left = np.arange(len(pdf))
+    for d in range(1, len(pdf)):
+        left = left[left + d < end[left]]
+        left = left[100 * n[left] >= percent * n[left + d]]
+        if not len(left):
+            break
+        x, y = left, left + d
+        on = (np.bitwise_count(words[0][x] ^ words[0][y]) <= NEAR) & (root[x] != root[y]) & (~across[x] | (part[x] != part[y]))
+        x, y = x[on], y[on]
+        on = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words) <= NEAR_ALL
+        x, y = x[on], y[on]
+        on = ~met_before(x, y)
+        if on.any():
+            pairs.append(np.stack([x[on], y[on]]))
     if not pairs:
-        return no_cells()
+        return pd.DataFrame(columns=["node", "partners", "tree"])
     x, y = np.concatenate(pairs, axis=1)
-    return as_cells(every[:, 5:7], every[:, 7], x, y)
+    names, at = np.unique(node, return_inverse=True)
+    parent = np.arange(len(names))
+    _unite(parent, at[x], at[y])
+    moved = np.flatnonzero(parent != np.arange(len(names)))
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    out = pd.DataFrame({"node": np.append(node[x[begin]], names[moved]), "tree": np.arange(len(begin) + len(moved)) >= len(begin)})
+    out["partners"] = [*np.split(node[y], begin[1:]), *names[parent[moved]][:, None]]
+    return out[["node", "partners", "tree"]]
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -300,45 +380,48 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     Two texts are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more.
     Fingerprints of the distinct sets only propose pairs (NEAR and NEAR_ALL, made for 0.8 and above); each pair is
     settled by its texts, in cells of bounded size (settle.py), before any class is formed, so that chance proposals
-    join nothing.  First every set is held against one set near it in fingerprint, which joins groups of
-    near-copies; then all proposed pairs whose sets are not in one class yet are settled.  Sets of so few shingles
-    that only an equal set can be similar enough are not compared at all.
+    join nothing.  Fingerprints are compared where sets have keys in common, their smallest shingle hashes: similar sets share
+    `matches` of them at least (smallest()), so sets with fewer that any other has are left out, and pairs are looked for
+    among all but the matches - 1 most frequent of the others' keys.  First every set is held against one set near it in
+    fingerprint, which joins groups of near-copies; then all proposed pairs whose sets are not in one class yet are settled.
+    Sets of so few shingles that only an equal set can be similar enough are not compared at all.
 
     Null ids come last, and of rows with one id in one class that with the smaller text hash stays.  Texts are
     shuffled to meet the keys of proposed members and of those that stay.  Texts without words have the empty set
     and are one class; of equal ids the tie goes to the smaller text hash; very long texts are whole; an
     empty table gives an empty result; columns of any other name pass through.
     """
-    from .settle import CELLS, Texts, pair_links, placed, star_links
+    from .minhash import least_matches, meeting, shared_postings, size_class
+    from .settle import PAIRS, Texts, cells, pair_links, placed, star_links
 
-    percent = round(100 * similarity)
+    percent, matches = round(100 * similarity), least_matches(KEYS, similarity, MISS)
     i, th = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.xxhash64(F.lit("row"), "text")
-    rows = stored(add_set_fingerprint(docs.select("doc_id", th.alias("th"), F.octet_length("text").cast("long").alias("bytes"), "text"), shingle, ["doc_id", "th", "bytes"]), "fingerprints")
+    rows = stored(add_set_fingerprint(docs.select("doc_id", th.alias("th"), F.octet_length("text").cast("long").alias("bytes"), "text"), shingle, ["doc_id", "th", "bytes"], matches, percent), "fingerprints")
     word = lambda k: F.conv(F.hex(F.substring("more", k, 8)), 16, -10).cast("long")
-    sets = rows.groupBy("sid").agg(F.min(F.struct(i.alias("i"), "th", "bytes")).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("more").alias("more"))
-    sets = stored(sets.select("sid", "r.*", "n", "fp", word(1).alias("m1"), word(9).alias("m2"), F.monotonically_increasing_id().alias("node")), "sets")
+    sets = rows.groupBy("sid").agg(F.min(F.struct(i.alias("i"), "th", "bytes")).alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("keys").alias("keys"))
+    sets = stored(sets.select("sid", "r.*", "n", "fp", word(1).alias("m1"), word(9).alias("m2"), "keys", F.monotonically_increasing_id().alias("node")), "sets")
     fewest = -(-100 // (100 - percent)) - 1  # sets of a and a + 1 shingles are similar at best by a / (a + 1)
     some = sets.where(F.col("n") >= fewest)
 
-    def stars(a: np.ndarray, b: np.ndarray | None) -> pd.DataFrame:
-        return pd.DataFrame(forest(a, b, NEAR, NEAR_ALL), columns=["node", "pivot"])
-
-    def pairs(a: np.ndarray, b: np.ndarray | None) -> pd.DataFrame:
-        return near_pairs(a, b, NEAR, NEAR_ALL, percent)
-
-    edges = compared(some, ["fp", "m1", "m2", "node"], NEAR, stars, "node long, pivot long")
-    links = rows.sparkSession.createDataFrame([], "u long, v long")
-    if edges is not None:
-        near = cut(edges)
-        pivot = near.groupBy("node").agg(F.min("pivot").alias("pivot"))
-        alone = near.select(F.col("pivot").alias("node")).distinct().join(pivot, "node", "left_anti").withColumn("pivot", F.lit(None).cast("long"))
-        facts = placed(some.join(pivot.unionByName(alone), "node"))
-        texts = Texts(docs, rows, facts)
-        first = cut(star_links(facts, texts, shingle, percent))
-        roots = connected_components(first)
-        state = facts.select("node", "fp", "m1", "m2", "n", "home", "sub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = compared(cut(state), ["fp", "m1", "m2", "n", "root", "home", "sub", "node"], NEAR, pairs, CELLS)
-        links = first if found is None else cut(first.unionByName(pair_links(found, texts, shingle, percent)))
+    least = F.least(F.lit(matches), F.ceil(F.col("n") * percent / 100)).cast("int")  # keys in common with any similar set
+    flat = some.select("node", size_class(F.col("n"), percent).alias("c"), F.explode("keys").alias("token"))
+    live = stored(shared_postings(flat).join(some.select("node", "n", "fp", "m1", "m2"), "node").withColumn("least", least).where(F.size("toks") >= F.col("least")), "live")
+    star = cut(live.select("node").join(stars(live, percent), "node", "left"))
+    facts = placed(sets.select("node", "i", "th", "bytes").join(star, "node"))
+    texts = Texts(docs, rows, facts)
+    first = cut(star_links(facts, texts, shingle, percent))
+    roots = connected_components(first)
+
+    # the rarest keys, where sets of several classes meet
+    state = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("head", F.slice("toks.token", F.lit(1), F.size("toks") - F.col("least") + 1))
+    posted = cut(state.select("node", "c", "root", "head", F.posexplode("head").alias("pos", "token")).select("node", "c", "root", "token", F.slice("head", F.lit(1), F.col("pos")).alias("earlier")))
+    dealt, tasks = meeting(posted, state.select("node", "n", "fp", "m1", "m2"), PART, TOGETHER)
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        return near_pairs(pdf, percent)
+
+    found = dealt.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(tasks)).alias("g")).applyInPandas(pairs, PAIRS)
+    links = first.unionByName(pair_links(cells(stored(found, "proposed"), facts), texts, shingle, percent))
     classes = sets.select("sid", "node").join(connected_components(links), "node", "left").select("sid", F.coalesce("root", "node").alias("root"))
     named = rows.select("doc_id", "th", "sid")
     cand = with_component(named, named, cut(classes), "sid").where(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -146,3 +146,44 @@ def test_hot_group_in_small_blocks(spark, monkeypatch, block):
     want = sorted(set(jaccard_roots(texts)))
     got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("part", [2048, 7])
+def test_only_sets_with_common_keys_are_compared(spark, monkeypatch, part):
+    """No grid over all fingerprints; a line that all texts have, texts of up to 500 words, and copies on both sides of 0.8."""
+
+    def grid(*a, **b):
+        raise AssertionError("every fingerprint is held against every other")
+
+    monkeypatch.setattr(simhash, "compared", grid)
+    monkeypatch.setattr(simhash, "PART", part, raising=False)
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    line = " ".join(word() for _ in range(12))
+    texts = [line]
+    for n in [5, 8, 9, 10, 11, 12, 20, 40, 119, 121, 130, 250, 500] * 4:
+        base = [word() for _ in range(n)]
+        texts.append(" ".join([line, *base]))
+        for share in (0.01, 0.02, 0.025, 0.03):
+            own = [word() if rnd.random() < share else w for w in base]
+            texts.append(" ".join([line, *own, *[word() for _ in range(rnd.randrange(3))]]))
+        texts.append(" ".join([line, *base[: round(n * rnd.choice([0.78, 0.8, 0.82]))]]))
+    roots = jaccard_roots(texts)
+    assert 60 < len(set(roots)) < 250
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == sorted(set(roots))
+
+
+def test_similar_sets_have_keys_in_common():
+    """Of sets that KEYS does not cut short as many as promised, exactly at the threshold; of others all but surely."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for n in [*range(1, 140), 400, 5000]:
+        for m in {n, -(-4 * n // 5), max(1, n - n // 10)}:
+            both = min(m, -(-4 * (n + m) // 9))  # the fewest in common at 0.8
+            if 10 * both < 8 * (n + m - both):
+                continue
+            h = rnd.integers(0, 2**63, n + m - both, dtype=np.uint64)
+            a, b = (simhash.smallest(x, 8, 80) for x in (h[:n], np.concatenate([h[:both], h[n:]])))
+            assert len(set(a.tolist()) & set(b.tolist())) >= min(8, -(-4 * max(n, m) // 5))
