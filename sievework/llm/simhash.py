@@ -69,8 +69,8 @@ def wide_fingerprint(parts: list[bytes]) -> tuple[int, bytes, np.ndarray]:
 def smallest(h: np.ndarray, matches: int, percent: int) -> np.ndarray:
     """Of the hashes of a set so many of the smallest that it has `matches` in common with any set similar enough; KEYS at most.
 
-    Two sets of n shingles or fewer that are similar share percent / 100 * n at least; what is not shared can come before the
-    first `matches` that are.  Of a set of so few shingles that it cannot share `matches`, all are taken.  For sets that KEYS
+    A set of n shingles shares percent / 100 * n at least with any similar one, and all its others may come before the first
+    `matches` of these.  Of a set of so few shingles that it cannot share `matches`, all are taken.  For sets that KEYS
     cuts short, the chance of fewer common ones is that of fewer than `matches` successes among KEYS draws (least_matches).
     """
     n = len(h)
